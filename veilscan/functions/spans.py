@@ -210,10 +210,3 @@ def rewrite(chunks: Column, length: Column, findings: Column) -> Column:
     return F.when(F.size(findings) == 0, F.array_join(chunks, "")).otherwise(
         F.concat(F.array_join(pieces, ""), tail)
     )
-
-
-def strip(text: Column) -> Column:
-    """Trim with the full white-space class."""
-    from .patterns import SPACE
-
-    return F.regexp_replace(F.regexp_replace(text, f"^[{SPACE}]++", ""), f"(?<![{SPACE}])[{SPACE}]++\\z", "")

@@ -50,8 +50,23 @@ def resolve_column(df: DataFrame, hits: str, out: str = "findings") -> DataFrame
     ).drop("_kept")
 
 
-def with_findings(df: DataFrame, text: str, rules: list[TextRule] | None = None, out: str = "findings") -> DataFrame:
-    return resolve_column(raw_findings(df, text, rules, "_hits"), "_hits", out).drop("_hits")
+def with_findings(
+    df: DataFrame,
+    text: str,
+    rules: list[TextRule] | None = None,
+    out: str = "findings",
+    disabled: str | None = None,
+) -> DataFrame:
+    """Settled and numbered findings of a text column.
+
+    ``disabled`` names an array column of rule ids that are off for that row.
+    """
+    hits = raw_findings(df, text, rules, "_hits")
+    if disabled is not None:
+        hits = hits.withColumn(
+            "_hits", F.filter("_hits", lambda h: ~F.array_contains(F.col(disabled), h["rule_id"]))
+        )
+    return resolve_column(hits, "_hits", out).drop("_hits")
 
 
 def resolve_mode(mode: str) -> str:
