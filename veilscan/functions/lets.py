@@ -15,6 +15,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fixed(value: Column) -> Column:
+    """A column the optimizer must compute where it stands.
+
+    Filters on a costly column would otherwise be pushed below it with the whole
+    expression copied into them, and explode adds such a filter by itself. The
+    condition is always true but not foldable, and not deterministic by type.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def strip(text: Column) -> Column:
     """Trim with the full white-space class."""
     left = F.regexp_replace(text, f"^[{SPACE}]++", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import REDACTED_LABEL, RISK_RANK
+from ..functions.lets import fixed
 from ..functions.rules import FOLDED, TextRule, select_rules
 from ..functions.scoring import category_of, generalized_label
 from ..functions.spans import (
@@ -32,7 +33,7 @@ def raw_findings(df: DataFrame, text: str, rules: list[TextRule] | None = None,
         FOLDED, F.lower(F.col("_match"))
     )
     hits = F.concat(*[rule.findings(F.col("_match")) for rule in rules])
-    staged = staged.withColumn(out, hits)
+    staged = staged.withColumn(out, fixed(hits))
     # Where the text itself holds a mark, spell the surface out of the original.
     true_surface = F.transform(
         F.col(out),
@@ -45,8 +46,8 @@ def raw_findings(df: DataFrame, text: str, rules: list[TextRule] | None = None,
 
 def resolve_column(df: DataFrame, hits: str, out: str = "findings") -> DataFrame:
     """Settle overlaps, then number the placeholders, each in its own projection."""
-    return df.withColumn("_kept", resolve_overlaps(F.col(hits))).withColumn(
-        out, number_placeholders(F.col("_kept"))
+    return df.withColumn("_kept", fixed(resolve_overlaps(F.col(hits)))).withColumn(
+        out, fixed(number_placeholders(F.col("_kept")))
     ).drop("_kept")
 
 
