@@ -15,14 +15,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sql_text(value: str) -> str:
+    """A string literal for a SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_value(value: str | int | float | None) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return sql_text(value) if isinstance(value, str) else f"{value!r}{'D' if isinstance(value, float) else ''}"
+
+
+def literal_array(values: list) -> Column:
+    """A constant array, spelled as one SQL expression rather than call by call."""
+    return F.expr(f"array({', '.join(_sql_value(v) for v in values)})")
+
+
+def literal_map(table: dict) -> Column:
+    return F.expr(f"map({', '.join(f'{_sql_value(k)}, {_sql_value(v)}' for k, v in table.items())})")
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """Value of a constant table, null where the key is missing."""
+    return F.element_at(literal_map(table), key)
+
+
 def fixed(value: Column) -> Column:
     """A column the optimizer must compute where it stands.
 
     Filters on a costly column would otherwise be pushed below it with the whole
     expression copied into them, and explode adds such a filter by itself. The
-    condition is always true but not foldable, and not deterministic by type.
+    condition is always true (a random number is never negative), so the value does
+    not depend on it, but the optimizer takes the column as not to be copied.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.rand(0) >= 0, value)
 
 
 def strip(text: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .fixed import DEFAULT_RULE_CONFIDENCE, RISK_MESSAGE, RISK_RANK, RULE_BY_ID, RULE_CONFIDENCE, RULE_IDS, RULES
-from .spans import FINDINGS_TYPE, empty, find_spans
+from .lets import literal_array
+from .spans import FINDINGS_TYPE, empty, find_spans, marked_pieces, spans_of_pieces
 
 
 # Name of the staged lower-cased text that some guards search.
@@ -21,23 +22,28 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _phone(text: Column) -> Column:
-    return F.filter(find_spans(text, P.PHONE), lambda s: F.length(_digits(s["text"])).between(10, 11))
-
-
 def luhn_valid(digits: Column) -> Column:
     """Luhn checksum; a number made of zeros only does not count."""
     return F.call_function("luhn_check", digits) & F.rlike(digits, F.lit("[1-9]"))
 
 
-def _credit_card(text: Column) -> Column:
-    return F.filter(
-        find_spans(text, P.CREDIT_CARD),
-        lambda s: F.length(_digits(s["text"])).between(13, 19) & luhn_valid(_digits(s["text"])),
-    )
+# What a hit must also satisfy, by the name a detector gives its check.
+_CHECKS: dict[str, Callable[[Column], Column]] = {
+    "phone": lambda t: F.length(_digits(t)).between(10, 11),
+    "card": lambda t: F.length(_digits(t)).between(13, 19) & luhn_valid(_digits(t)),
+    "marker": lambda t: F.rlike(t, F.lit(P.INTERNAL_MARKER)),
+    "host": lambda t: F.length(t) >= 4,
+}
+
 
+def _passes(check: Column, text: Column) -> Column:
+    out = F.lit(True)
+    for name, test in _CHECKS.items():
+        out = F.when(check == name, test(text)).otherwise(out)
+    return out
 
-def _my_number(text: Column) -> Column:
+
+def id_numbers(text: Column) -> Column:
     """Twelve digits, but only on a line that names the ID scheme."""
 
     def in_line(line: Column) -> Column:
@@ -53,17 +59,6 @@ def _my_number(text: Column) -> Column:
     return F.flatten(F.transform(find_spans(text, P.ID_SCHEME_LINE), in_line))
 
 
-def _internal_url(text: Column) -> Column:
-    """Addresses and bare hosts with a marker; overlaps are settled later."""
-    urls = F.filter(find_spans(text, P.URL), lambda s: F.rlike(s["text"], F.lit(P.INTERNAL_MARKER)))
-    hosts = F.filter(find_spans(text, P.INTERNAL_HOST), lambda s: F.length(s["text"]) >= 4)
-    return F.concat(urls, hosts)
-
-
-def _plain(pattern: str) -> Callable[[Column], Column]:
-    return lambda text: find_spans(text, pattern)
-
-
 def _has(*needles: str) -> Callable[[Column], Column]:
     """Byte search for text a hit cannot do without."""
 
@@ -95,33 +90,43 @@ def _like(pattern: str) -> Callable[[Column], Column]:
     return lambda text: F.rlike(text, F.lit(pattern))
 
 
-# rule id -> (needed for any hit at all, spans)
-_DETECTORS: dict[str, tuple[Callable[[Column], Column] | None, Callable[[Column], Column]]] = {
-    "email": (_has("@"), _plain(P.EMAIL)),
-    "phone": (_has("0"), _phone),
-    "jwt": (_like("\\.[A-Za-z0-9_-]{10,}+\\."), _plain(P.JWT)),
-    "aws_access_key": (_has("AKIA", "ASIA"), _plain(P.AWS_ACCESS_KEY)),
-    "github_token": (_has("gh"), _plain(P.GITHUB_TOKEN)),
-    "slack_token": (_has("xox"), _plain(P.SLACK_TOKEN)),
-    "stripe_secret_key": (_has("k_live_", "k_test_"), _plain(P.STRIPE_KEY)),
-    "openai_api_key": (_has("sk-"), _plain(P.OPENAI_KEY)),
-    "npm_token": (_has("npm_"), _plain(P.NPM_TOKEN)),
-    "oauth_client_secret": (_has_folded("clientsecret", "client_secret"), _plain(P.OAUTH_SECRET)),
-    "webhook_url": (_has("https://hooks.", "/webhooks/"), _plain(P.WEBHOOK)),
-    "private_key": (_has("-----BEGIN "), _plain(P.PRIVATE_KEY)),
-    "env_secret": (_all(_has("="), _has("SECRET", "TOKEN", "_KEY", "PASSWORD", "DATABASE_URL")), _plain(P.ENV_SECRET)),
-    "basic_auth_url": (_has("@"), _plain(P.BASIC_AUTH_URL)),
-    "database_url": (_has("@"), _plain(P.DATABASE_URL)),
-    "credit_card": (_like("[0-9]"), _credit_card),
-    "my_number": (_has(*P.ID_SCHEME_WORDS.split("|")), _my_number),
-    "url": (_has("://"), _plain(P.URL)),
-    "ip_address": (_like("[0-9]\\.[0-9]"), _plain(P.IP_ADDRESS)),
-    "amount": (_has("円", "¥", "￥"), _plain(P.AMOUNT)),
-    "confidential_text": (_has_folded(*[w.lower() for w in P.CONFIDENTIAL_WORDS.split("|")]), _plain(P.CONFIDENTIAL_LINE)),
-    "internal_url": (_has_folded(*P.INTERNAL_MARKERS.split("|")), _internal_url),
-    "date": (_like("[0-9]"), _plain(P.DATE)),
-    "postal_code": (_like("[0-9]-[0-9]"), _plain(P.POSTAL_CODE)),
-    "long_id": (_like("[0-9]"), _plain(P.LONG_ID)),
+# rule id -> (test a text must pass for any hit at all, [(pattern, check)])
+_DETECTORS: dict[str, tuple[Callable[[Column], Column], list[tuple[str, str]]]] = {
+    "email": (_has("@"), [(P.EMAIL, "")]),
+    "phone": (_has("0"), [(P.PHONE, "phone")]),
+    "jwt": (_like("\\.[A-Za-z0-9_-]{10,}+\\."), [(P.JWT, "")]),
+    "aws_access_key": (_has("AKIA", "ASIA"), [(P.AWS_ACCESS_KEY, "")]),
+    "github_token": (_has("gh"), [(P.GITHUB_TOKEN, "")]),
+    "slack_token": (_has("xox"), [(P.SLACK_TOKEN, "")]),
+    "stripe_secret_key": (_has("k_live_", "k_test_"), [(P.STRIPE_KEY, "")]),
+    "openai_api_key": (_has("sk-"), [(P.OPENAI_KEY, "")]),
+    "npm_token": (_has("npm_"), [(P.NPM_TOKEN, "")]),
+    "oauth_client_secret": (_has_folded("clientsecret", "client_secret"), [(P.OAUTH_SECRET, "")]),
+    "webhook_url": (_has("https://hooks.", "/webhooks/"), [(P.WEBHOOK, "")]),
+    "private_key": (_has("-----BEGIN "), [(P.PRIVATE_KEY, "")]),
+    "env_secret": (
+        _all(_has("="), _has("SECRET", "TOKEN", "_KEY", "PASSWORD", "DATABASE_URL")),
+        [(P.ENV_SECRET, "")],
+    ),
+    "basic_auth_url": (_all(_has("@"), _has("://")), [(P.BASIC_AUTH_URL, "")]),
+    "database_url": (_all(_has("@"), _has("://")), [(P.DATABASE_URL, "")]),
+    "credit_card": (_like("[0-9]"), [(P.CREDIT_CARD, "card")]),
+    "my_number": (_has(*P.ID_SCHEME_WORDS.split("|")), []),  # see id_numbers
+    "url": (_has("://"), [(P.URL, "")]),
+    "ip_address": (_like("[0-9]\\.[0-9]"), [(P.IP_ADDRESS, "")]),
+    "amount": (_has("円", "¥", "￥"), [(P.AMOUNT, "")]),
+    "confidential_text": (
+        _has_folded(*[w.lower() for w in P.CONFIDENTIAL_WORDS.split("|")]),
+        [(P.CONFIDENTIAL_LINE, "")],
+    ),
+    # Addresses with a marker, and bare hosts; overlaps are settled later.
+    "internal_url": (
+        _has_folded(*P.INTERNAL_MARKERS.split("|")),
+        [(P.URL, "marker"), (P.INTERNAL_HOST, "host")],
+    ),
+    "date": (_like("[0-9]"), [(P.DATE, "")]),
+    "postal_code": (_like("[0-9]-[0-9]"), [(P.POSTAL_CODE, "")]),
+    "long_id": (_like("[0-9]"), [(P.LONG_ID, "")]),
 }
 
 
@@ -140,37 +145,73 @@ class TextRule:
     id_source: str = "rule"
     enabled: bool = True
 
-    def spans(self, text: Column) -> Column:
+    def cuts(self, text: Column) -> list[tuple[Column, str]]:
+        """Pieces of the text at the hits of this rule, with the check a hit must pass."""
         if self.pattern is not None:
-            return find_spans(text, self.pattern)
-        return _DETECTORS[self.id][1](text)
-
-    def guard(self, text: Column) -> Column | None:
-        need = None if self.pattern is not None else _DETECTORS[self.id][0]
-        return None if need is None else need(text)
-
-    def findings(self, text: Column) -> Column:
-        """Findings of this rule. Bundled findings carry no category of their own."""
-        id_stem = f"{self.id_source}:{self.id.removeprefix(self.id_source + ':')}"
-        found = F.transform(
-            self.spans(text),
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.lit(self.id).alias("rule_id"),
-                F.lit("rule").alias("source"),
-                F.lit(self.label).alias("label"),
-                F.lit(self.risk_level).alias("risk_level"),
-                F.lit(self.category).cast("string").alias("category"),
-                s["text"].alias("text"),
-                F.lit(f"[{self.prefix}_1]").alias("placeholder"),
-                F.lit(self.message).alias("message"),
-                F.lit(self.confidence).alias("confidence"),
-                F.concat_ws(":", F.lit(id_stem), s["start"].cast("string"), s["end"].cast("string")).alias("id"),
-            ),
+            return [(marked_pieces(text, self.pattern), "")]
+        guard, patterns = _DETECTORS[self.id]
+        return [(F.when(guard(text), marked_pieces(text, pattern)), check) for pattern, check in patterns]
+
+
+def all_findings(text: Column, rules: list[TextRule]) -> Column:
+    """Findings of all rules, unsettled.
+
+    Per rule the plan holds a guard and one regex pass; offsets, checks and the
+    finding's fields are spelled once for all rules. A bundled finding carries no
+    category of its own.
+    """
+    entries = []
+    for number, rule in enumerate(rules, start=1):
+        for pieces, check in rule.cuts(text):
+            entries.append(
+                F.struct(F.lit(number).alias("rule"), F.lit(check).alias("check"), pieces.alias("pieces"))
+            )
+    stems = [f"{r.id_source}:{r.id.removeprefix(r.id_source + ':')}" for r in rules]
+
+    def field(number: Column, values: list) -> Column:
+        return F.element_at(literal_array(values), number)
+
+    def finding(span: Column, number: Column) -> Column:
+        return F.struct(
+            span["start"].alias("start"),
+            span["end"].alias("end"),
+            field(number, [r.id for r in rules]).alias("rule_id"),
+            F.lit("rule").alias("source"),
+            field(number, [r.label for r in rules]).alias("label"),
+            field(number, [r.risk_level for r in rules]).alias("risk_level"),
+            field(number, [r.category for r in rules]).alias("category"),
+            span["text"].alias("text"),
+            field(number, [f"[{r.prefix}_1]" for r in rules]).alias("placeholder"),
+            field(number, [r.message for r in rules]).alias("message"),
+            field(number, [float(r.confidence) for r in rules]).alias("confidence"),
+            F.concat_ws(
+                ":", field(number, stems), span["start"].cast("string"), span["end"].cast("string")
+            ).alias("id"),
         )
-        guard = self.guard(text)
-        return found if guard is None else F.when(guard, found).otherwise(empty(FINDINGS_TYPE))
+
+    parts = []
+    if entries:
+        found = F.filter(F.array(*entries), lambda e: e["pieces"].isNotNull() & (F.size(e["pieces"]) > 1))
+        parts.append(
+            F.flatten(
+                F.transform(
+                    found,
+                    lambda e: F.transform(
+                        F.filter(spans_of_pieces(e["pieces"]), lambda s: _passes(e["check"], s["text"])),
+                        lambda s: finding(s, e["rule"]),
+                    ),
+                )
+            )
+        )
+    for number, rule in enumerate(rules, start=1):
+        if rule.id == "my_number" and rule.pattern is None:
+            numbers = _transform_spans(id_numbers(text), finding, number)
+            parts.append(F.when(_DETECTORS["my_number"][0](text), numbers).otherwise(empty(FINDINGS_TYPE)))
+    return F.concat(*parts).cast(FINDINGS_TYPE)
+
+
+def _transform_spans(spans: Column, finding: Callable[[Column, Column], Column], number: int) -> Column:
+    return F.transform(spans, lambda s: finding(s, F.lit(number)))
 
 
 def _bundled(rule_id: str) -> TextRule:

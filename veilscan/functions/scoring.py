@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +18,7 @@ from .fixed import (
     RULES,
     SCORE_CAP,
 )
-
-
-def lookup(table: dict, key: Column) -> Column:
-    """Value of a literal table, null where the key is missing."""
-    literal = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    return F.element_at(literal, key)
+from .lets import lookup
 
 
 def category_of(finding: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import RISK_RANK
+from .lets import lookup
 
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 FINDING_TYPE = (
@@ -37,13 +38,19 @@ def without_marks(text: Column) -> Column:
     return F.when(has_marks(text), F.translate(text, OPEN + CLOSE, _SPARE)).otherwise(text)
 
 
-def find_spans(text: Column, pattern: str) -> Column:
-    """All leftmost, non-overlapping, non-empty hits of a pattern with offsets.
+def marked_pieces(text: Column, pattern: str) -> Column:
+    """The text cut up at the leftmost, non-overlapping hits of a pattern.
 
-    One pass of the regex puts marks around the hits; offsets then come from
-    the lengths of the pieces between marks. ``text`` must be free of marks.
+    One pass of the regex puts marks around the hits. Each piece is a hit, the
+    closing mark, and the text up to the next hit; the first piece has an empty
+    hit. ``text`` must be free of marks.
     """
     marked = F.concat(F.lit(CLOSE), F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"))
+    return F.split(marked, OPEN, -1)
+
+
+def spans_of_pieces(pieces: Column) -> Column:
+    """Spans with offsets, from the lengths of the pieces. Empty hits do not count."""
     start = F.struct(F.lit(0).alias("pos"), empty(SPAN_TYPE).alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -57,37 +64,47 @@ def find_spans(text: Column, pattern: str) -> Column:
             F.when(size > 0, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(F.split(marked, OPEN, -1), start, step, lambda acc: acc["out"])
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def find_spans(text: Column, pattern: str) -> Column:
+    """All leftmost, non-overlapping, non-empty hits of a pattern with offsets."""
+    return spans_of_pieces(marked_pieces(text, pattern))
 
 
-def find_literal(text: Column, term: str | Column) -> Column:
-    """Offsets of a literal term, left to right without overlap."""
+def literal_pieces(text: Column, term: str | Column) -> Column:
+    """The text cut up at a literal term, left to right without overlap."""
     if isinstance(term, str):
-        quoted, size, surface = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E", F.lit(len(term)), F.lit(term)
+        quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     else:
         quoted = F.concat(
             F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
         )
-        size, surface = F.char_length(term), term
-    pieces = F.split(text, quoted, -1)
+    return F.split(text, quoted, -1)
+
+
+def spans_between(pieces: Column, term: Column) -> Column:
+    """Spans of the term between pieces; there is none after the last piece."""
+    size = F.char_length(term)
     start = F.struct(F.lit(0).alias("pos"), empty(SPAN_TYPE).alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         at = acc["pos"] + F.char_length(piece)
-        span = F.struct(at.alias("start"), (at + size).alias("end"), surface.alias("text"))
+        span = F.struct(at.alias("start"), (at + size).alias("end"), term.alias("text"))
         return F.struct((at + size).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    # The last piece has no term after it, so its entry is dropped again.
     return F.aggregate(
         pieces, start, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1)
     )
 
 
+def find_literal(text: Column, term: Column) -> Column:
+    """Offsets of a literal term."""
+    return spans_between(literal_pieces(text, term), term)
+
+
 def risk_rank(level: Column) -> Column:
-    out = F.lit(0)
-    for name, rank in RISK_RANK.items():
-        out = F.when(level == name, rank).otherwise(out)
-    return out
+    return F.coalesce(lookup(RISK_RANK, level), F.lit(0))
 
 
 def placeholder_base(placeholder: Column) -> Column:

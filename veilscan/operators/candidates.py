@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import context_fixed as C
-from ..functions.lets import contains_any, distinct_sorted_by_length, let, strip
+from ..functions.lets import contains_any, distinct_sorted_by_length, fixed, let, lookup, strip
 from ..functions.patterns import EDGE, NOT_AFTER_WORD, SP
-from ..functions.scoring import lookup
 from ..functions.spans import FINDINGS_TYPE, SPAN_TYPE, empty, find_literal
 
 TERM_TYPE = (
@@ -223,7 +222,7 @@ def with_candidate_findings(
             ),
         )
     )
-    staged = df.withColumn("_spread", F.transform(spread, lambda s, i: s.withField("seq", i)))
+    staged = df.withColumn("_spread", fixed(F.transform(spread, lambda s, i: s.withField("seq", i))))
     prefixes = F.array_distinct(F.transform(F.col("_spread"), lambda s: s["prefix"]))
 
     def finding(s: Column, number: Column) -> Column:
@@ -257,7 +256,7 @@ def with_candidate_findings(
         )
     )
     return staged.withColumn(
-        out, F.transform(F.array_sort(numbered), lambda n: n["f"]).cast(FINDINGS_TYPE)
+        out, fixed(F.transform(F.array_sort(numbered), lambda n: n["f"]).cast(FINDINGS_TYPE))
     ).drop("_spread")
 
 
@@ -287,13 +286,15 @@ def with_context_analysis(
     staged = (
         df.withColumn(
             "_terms",
-            let(
-                F.when(failed, F.col(text)).otherwise(F.substring(F.col(text), 1, max_input_chars)),
-                residual_terms,
+            fixed(
+                let(
+                    F.when(failed, F.col(text)).otherwise(F.substring(F.col(text), 1, max_input_chars)),
+                    residual_terms,
+                )
             ),
         )
-        .withColumn("_model", distinct_candidates(model, max_candidates))
-        .withColumn("_all", merge_residual(F.col("_model"), F.col("_terms"), max_candidates))
+        .withColumn("_model", fixed(distinct_candidates(model, max_candidates)))
+        .withColumn("_all", fixed(merge_residual(F.col("_model"), F.col("_terms"), max_candidates)))
     )
     warnings = F.array_compact(
         F.array(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import context_fixed as C
 from ..functions.lets import strip
 from ..functions.patterns import SPACE
-from ..functions.scoring import lookup
+from ..functions.lets import lookup
+
 
 
 def segments(text: Column, max_input_chars: int = C.MAX_INPUT_CHARS, max_segments: int = C.MAX_SEGMENTS) -> Column:

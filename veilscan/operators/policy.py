@@ -16,14 +16,15 @@ from ..functions.fixed import (
     RISK_RANK,
     SEVERITY_BY_RANK,
 )
-from ..functions.scoring import category_of, decision_rank, lookup, risk_score
+from ..functions.lets import fixed, literal_array, lookup
+from ..functions.scoring import category_of, decision_rank, risk_score
 from ..functions.spans import risk_rank
 
 
 def with_risk(df: DataFrame, findings: str = "findings", out: str = "risk", block_at_level: str = "high") -> DataFrame:
     return (
-        df.withColumn("_categories", F.transform(F.col(findings), category_of))
-        .withColumn(out, risk_score(F.col(findings), F.col("_categories"), block_at_level))
+        df.withColumn("_categories", fixed(F.transform(F.col(findings), category_of)))
+        .withColumn(out, fixed(risk_score(F.col(findings), F.col("_categories"), block_at_level)))
         .drop("_categories")
     )
 
@@ -58,9 +59,9 @@ def with_policy(df: DataFrame, findings: str = "findings", out: str = "policy")
     act = F.col("_action")
     return staged.withColumn(
         out,
-        F.struct(
+        fixed(F.struct(
             act.alias("action"),
-            F.element_at(F.array(*[F.lit(s) for s in SEVERITY_BY_RANK]), strongest + 1).alias("severity"),
+            F.element_at(literal_array(SEVERITY_BY_RANK), strongest + 1).alias("severity"),
             lookup(POLICY_REASON, act).alias("reason"),
             F.col("_required").alias("required_ids"),
             F.filter(_ids(found), lambda i: ~F.array_contains(F.col("_required"), i)).alias("optional_ids"),
@@ -68,7 +69,7 @@ def with_policy(df: DataFrame, findings: str = "findings", out: str = "policy")
             (act == "sanitize_required").alias("requires_sanitization"),
             risk.alias("risk"),
             lookup(POLICY_REASON, act).alias("message"),
-        ),
+        )),
     ).drop("_risk", "_must", "_action", "_required")
 
 
@@ -123,7 +124,7 @@ def category_groups(df: DataFrame, keys: list[str], findings: str = "findings",
             f["id"].alias("id"),
         ),
     )
-    staged = df.withColumn("_found", found)
+    staged = df.withColumn("_found", fixed(found))
     key = F.transform(F.col("_found"), lambda f: F.struct(f["category"].alias("category"), f["required"].alias("required")))
     groups = F.transform(
         F.array_distinct(key),
@@ -147,7 +148,7 @@ def category_groups(df: DataFrame, keys: list[str], findings: str = "findings",
         ),
     )
     out = staged.select(*keys, F.posexplode(F.array_sort(groups)).alias("position", "g"))
-    levels = F.array(*[F.lit(level) for level in RISK_RANK])
+    levels = literal_array(list(RISK_RANK))
     return out.select(
         *keys,
         (F.col("position") + 1).alias("position"),

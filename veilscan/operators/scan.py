@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import REDACTED_LABEL, RISK_RANK
 from ..functions.lets import fixed
-from ..functions.rules import FOLDED, TextRule, select_rules
+from ..functions.rules import FOLDED, TextRule, all_findings, select_rules
 from ..functions.scoring import category_of, generalized_label
 from ..functions.spans import (
     FINDINGS_TYPE,
@@ -32,8 +32,7 @@ def raw_findings(df: DataFrame, text: str, rules: list[TextRule] | None = None,
     staged = df.withColumn("_match", without_marks(F.coalesce(F.col(text), F.lit("")))).withColumn(
         FOLDED, F.lower(F.col("_match"))
     )
-    hits = F.concat(*[rule.findings(F.col("_match")) for rule in rules])
-    staged = staged.withColumn(out, fixed(hits))
+    staged = staged.withColumn(out, fixed(all_findings(F.col("_match"), rules)))
     # Where the text itself holds a mark, spell the surface out of the original.
     true_surface = F.transform(
         F.col(out),

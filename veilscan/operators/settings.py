@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.fixed import RULE_IDS, SETTINGS_MESSAGE, SETTINGS_VERSION, SITE_BY_HOST, SITE_IDS
-from ..functions.scoring import lookup
+from ..functions.lets import lookup
+
 
 
 def _known_flags(flags: Column, ids: list[str]) -> Column:
