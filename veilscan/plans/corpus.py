@@ -115,6 +115,16 @@ def memos(spark: SparkSession, folder: str) -> DataFrame:
     return orders.select("o_orderkey", "o_custkey", F.expr(MEMO_SQL).alias("text"))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Spread texts over the cores when the input comes in too few splits.
+
+    Scanning is bound by the processor, and a small table may sit in one row group.
+    With as many splits as cores, which is any large input, nothing is moved.
+    """
+    wanted = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(wanted) if texts.rdd.getNumPartitions() < wanted else texts
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """All texts as ``key`` and ``text``: documents, pages, chat turns and memos."""
     documents = read_table(spark, folder, "documents").select(
@@ -130,4 +140,4 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
     notes = memos(spark, folder).select(
         F.concat(F.lit("memo:"), F.col("o_orderkey").cast("string")).alias("key"), "text"
     )
-    return documents.unionByName(pages).unionByName(turns).unionByName(notes)
+    return spread(documents.unionByName(pages).unionByName(turns).unionByName(notes))
