@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lets import contains_any, let, strip
+from ..functions.lets import contains_any, fixed, let, strip
 from ..functions.patterns import EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, SP, SPACE, WORD
 
 REDACTED = "[redacted]"
@@ -185,7 +185,8 @@ def line_scan(
         hits_of(kind, F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
         for kind, pattern in LINE_SHAPES
     ]
-    hits = lines.select("path", (F.col("_at") + 1).alias("line"), F.explode(F.concat(single, *shapes)).alias("_hit"))
+    hits = lines.select("path", (F.col("_at") + 1).alias("line"), fixed(F.concat(single, *shapes)).alias("_hits"))
+    hits = hits.select("path", "line", F.explode("_hits").alias("_hit"))
     found = hits.select("path", "line", F.col("_hit")["kind"].alias("kind"), F.col("_hit")["value"].alias("value"))
     if allowed is None:
         found = found.where(F.col("value").isNull() | ~F.col("value").isin(ALLOWED_VALUES))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import RULE_IDS
+from ..functions.lets import fixed
 from ..sources.readers import parse_signed_bundles, read_table
 from ..sources.schemas import FIXTURE_SCHEMA
 from .corpus import memos
@@ -221,11 +222,19 @@ def words_as_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Entity tokens from chat turns: each word of a turn, labelled by its length."""
     turns = read_table(spark, folder, "conversations")
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key")
-    words = turns.select(key, "text", F.posexplode(F.split("text", " ")).alias("index", "word"), F.split("text", " ").alias("w"))
-    before = F.aggregate(
-        F.slice("w", 1, F.col("index")), F.lit(0), lambda total, x: total + F.char_length(x) + 1
-    )
-    n = F.char_length("word")
+    kind = "array<struct<start:int,word:string>>"
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
+
+    def step(acc, word):
+        entry = F.struct(acc["pos"].alias("start"), word.alias("word"))
+        return F.struct(
+            (acc["pos"] + F.char_length(word) + 1).alias("pos"), F.concat(acc["out"], F.array(entry)).alias("out")
+        )
+
+    placed = fixed(F.aggregate(F.split("text", " "), start, step, lambda acc: acc["out"]))
+    words = turns.select(key, "text", placed.alias("w")).select("key", "text", F.posexplode("w").alias("index", "w"))
+    words = words.select("key", "text", "index", F.col("w")["word"].alias("word"), F.col("w")["start"].alias("start"))
+    n, before = F.char_length("word"), F.col("start")
     label = (
         F.when(n % 9 == 1, "O").when(n % 9 == 2, "B-PER").when(n % 9 == 3, "I-PER").when(n % 9 == 4, "LOC")
         .when(n % 9 == 5, "B-ORG").when(n % 9 == 6, "PRD").when(n % 9 == 7, "ORG-P").when(n % 9 == 8, "X").otherwise("EVT")

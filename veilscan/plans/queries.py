@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lets import fixed
 from ..functions.rules import BUNDLED_RULES, TextRule, select_rules
 from ..functions.scoring import category_of
 from ..operators import bundles as B
@@ -355,7 +356,7 @@ def candidate_occurrences(spark, folder):
     )
     hits = C.occurrences(F.col("text"), F.col("candidate"))
     staged = orders.withColumn("candidate", candidate)
-    return staged.select("o_orderkey", F.explode(hits).alias("o")).select(
+    return staged.select("o_orderkey", fixed(hits).alias("hits")).select("o_orderkey", F.explode("hits").alias("o")).select(
         "o_orderkey", F.col("o")["start"].alias("span_start"), F.col("o")["end"].alias("span_end"), F.col("o")["text"].alias("surface")
     )
 
@@ -491,7 +492,8 @@ def context_input(spark, folder):
 
 @query("sentence_segments")
 def sentence_segments(spark, folder):
-    return corpus(spark, folder).select("key", F.posexplode(M.segments(F.col("text"))).alias("position", "segment"))
+    texts = corpus(spark, folder).select("key", fixed(M.segments(F.col("text"))).alias("s"))
+    return texts.select("key", F.posexplode("s").alias("position", "segment"))
 
 
 def _label_prototypes(spark: SparkSession, folder: str) -> DataFrame:
@@ -549,7 +551,8 @@ def entity_spans(spark, folder):
 @query("residual_entities")
 def residual_entities(spark, folder):
     t = F.col("t")
-    return corpus(spark, folder).select("key", F.explode(C.residual_entity_terms(F.col("text"))).alias("t")).select(
+    texts = corpus(spark, folder).select("key", fixed(C.residual_entity_terms(F.col("text"))).alias("terms"))
+    return texts.select("key", F.explode("terms").alias("t")).select(
         "key", t["surface"].alias("surface"), t["category"].alias("category"), t["prefix"].alias("prefix"), t["confidence"].alias("confidence")
     )
 
@@ -557,14 +560,15 @@ def residual_entities(spark, folder):
 @query("residual_business")
 def residual_business(spark, folder):
     t = F.col("t")
-    return corpus(spark, folder).select("key", F.explode(C.residual_business_terms(F.col("text"))).alias("t")).select(
+    texts = corpus(spark, folder).select("key", fixed(C.residual_business_terms(F.col("text"))).alias("terms"))
+    return texts.select("key", F.explode("terms").alias("t")).select(
         "key", t["surface"].alias("surface"), t["category"].alias("category"), t["confidence"].alias("confidence")
     )
 
 
 @query("residual_terms")
 def residual_terms(spark, folder):
-    terms = corpus(spark, folder).withColumn("terms", C.residual_terms(F.col("text")))
+    terms = corpus(spark, folder).withColumn("terms", fixed(C.residual_terms(F.col("text"))))
     return terms.select("key", F.posexplode("terms").alias("position", "t")).select(
         "key", "position", F.col("t")["prefix"].alias("prefix"), F.col("t")["surface"].alias("surface")
     )
@@ -590,8 +594,8 @@ def _given_candidates(text: Column) -> Column:
 @query("residual_merge")
 def residual_merge(spark, folder):
     notes = _note_texts(spark, folder)
-    staged = notes.withColumn("_t", C.residual_terms(F.col("text"))).withColumn("_c", _given_candidates(F.col("text")))
-    merged = staged.withColumn("m", C.merge_residual(F.col("_c"), F.col("_t"), 6))
+    staged = notes.withColumn("_t", fixed(C.residual_terms(F.col("text")))).withColumn("_c", _given_candidates(F.col("text")))
+    merged = staged.withColumn("m", fixed(C.merge_residual(F.col("_c"), F.col("_t"), 6)))
     c = F.col("c")
     return merged.select("key", F.posexplode("m").alias("position", "c")).select(
         "key", "position", c["id"].alias("id"), c["category"].alias("category"), c["surface"].alias("surface"),
