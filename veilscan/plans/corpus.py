@@ -110,7 +110,7 @@ def _memo_sql() -> str:
 MEMO_SQL = _memo_sql()
 
 
-def memos(spark: SparkSession, folder: str) -> DataFrame:
+def _memos(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders")
     return orders.select("o_orderkey", "o_custkey", F.expr(MEMO_SQL).alias("text"))
 
@@ -125,6 +125,11 @@ def spread(texts: DataFrame) -> DataFrame:
     return texts.repartition(wanted) if texts.rdd.getNumPartitions() < wanted else texts
 
 
+def memos(spark: SparkSession, folder: str) -> DataFrame:
+    """One note per order."""
+    return spread(_memos(spark, folder))
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """All texts as ``key`` and ``text``: documents, pages, chat turns and memos."""
     documents = read_table(spark, folder, "documents").select(
@@ -137,7 +142,7 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(":", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
         "text",
     )
-    notes = memos(spark, folder).select(
+    notes = _memos(spark, folder).select(
         F.concat(F.lit("memo:"), F.col("o_orderkey").cast("string")).alias("key"), "text"
     )
     return spread(documents.unionByName(pages).unionByName(turns).unionByName(notes))

@@ -9,7 +9,7 @@ from ..functions.fixed import RULE_IDS
 from ..functions.lets import fixed
 from ..sources.readers import parse_signed_bundles, read_table
 from ..sources.schemas import FIXTURE_SCHEMA
-from .corpus import memos
+from .corpus import memos, spread
 
 # Plain SQL that builds the same value in any engine.
 FILE_NAME_SQL = """source || '/' || CASE doc_id % 9
@@ -53,7 +53,7 @@ ELSE 'customer order ' || {_U} END"""
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
+    docs = spread(read_table(spark, folder, "documents"))
     return docs.select(
         "doc_id", "source", F.expr(BASE_NAME_SQL).alias("name"), F.expr(FILE_NAME_SQL).alias("path"), "text"
     )
@@ -61,7 +61,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def spans_of_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Twelve spans per order with all kinds of overlap, some of them not valid."""
-    orders = read_table(spark, folder, "orders")
+    orders = spread(read_table(spark, folder, "orders"))
     levels = F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")])
     ids = F.array(*[F.lit(x) for x in RULE_IDS])
 
@@ -220,7 +220,7 @@ def stored_cache_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def words_as_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Entity tokens from chat turns: each word of a turn, labelled by its length."""
-    turns = read_table(spark, folder, "conversations")
+    turns = spread(read_table(spark, folder, "conversations"))
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key")
     kind = "array<struct<start:int,word:string>>"
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
