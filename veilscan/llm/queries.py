@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bbit_minhash import near_duplicates
 from .best_fit import pack
 from .common import read
 from .decontaminate import decontamination
@@ -47,3 +48,8 @@ def op9_best_fit(spark, folder):
     import public_tokenizers
 
     return pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_bbit_minhash(spark, folder):
+    return near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
