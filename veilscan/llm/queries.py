@@ -11,6 +11,7 @@ from .bbit_minhash import near_duplicates
 from .best_fit import pack
 from .common import read
 from .decontaminate import decontamination
+from .secret_forest import secret_findings
 from .url_filter import url_verdicts
 from .weak_quality import judged
 
@@ -43,6 +44,12 @@ def op3_url_filter(spark, folder):
     return url_verdicts(read(spark, folder, "pages"), rules)
 
 
+@query
+def op6_secret_forest(spark, folder):
+    found, _, _ = secret_findings(read(spark, folder, "documents"), path="source")
+    return found.select("doc_id", "start", "end", F.col("run").alias("candidate"), "label", "score", "secret")
+
+
 @query
 def op9_best_fit(spark, folder):
     import public_tokenizers
