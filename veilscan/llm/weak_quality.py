@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, chunks, ship, stored, table_of
 
@@ -123,19 +124,19 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
     return (vote if good is None else vote.when(good, 1)).otherwise(-1)
 
 
-def votes() -> dict[str, Column]:
-    """The rules, over the columns of ``text_statistics``.
+def votes(at: str = "") -> dict[str, Column]:
+    """The rules, over the columns of ``text_statistics``, whose names may have a prefix.
 
     Lack of a fault is no sign of quality, so most rules vote bad or abstain; short texts make several abstain.
     """
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    words, length, stops = F.col("n_words"), share("word_chars", "n_words"), share("n_stops", "n_words")
+    share = lambda a, b: F.col(at + a) / F.greatest(F.col(at + b), F.lit(1))
+    words, length, stops = F.col(f"{at}n_words"), share("word_chars", "n_words"), share("n_stops", "n_words")
     odd, distinct = share("n_odd", "n_words"), share("n_distinct", "n_words")
     return {
         "few_symbols": _vote(share("n_symbols", "n_words") > 0.1),
         "plain_words": _vote(odd > 0.3, odd < 0.1),
         "few_repeats": _vote(share("n_repeat_words", "n_words") > 0.15),
-        "own_lines": _vote((F.col("n_lines") >= 4) & (share("n_dup_lines", "n_lines") > 0.3)),
+        "own_lines": _vote((F.col(f"{at}n_lines") >= 4) & (share("n_dup_lines", "n_lines") > 0.3)),
         "word_length": _vote((length < 2) | (length > 14), (length >= 3) & (length <= 10)),
         "lower_case": _vote(share("n_upper", "n_letters") > 0.35),
         "no_stutter": _vote(share("n_same", "n_words") > 0.1),
@@ -154,10 +155,11 @@ class VoteModel:
         up, down = np.log(self.good[:, 1] / self.good[:, 0]), np.log((1 - self.good[:, 1]) / (1 - self.good[:, 0]))
         return math.log(self.prior / (1 - self.prior)) + (pattern == 1) @ up + (pattern == 0) @ down
 
-    def column(self, names: list[str]) -> Column:
+    def column(self, rules: list[Column]) -> Column:
+        """Posterior probability of being good, from the rules' votes."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (bad, good) in zip(names, self.good.tolist(), strict=True):
-            total = total + F.when(F.col(name) == 1, math.log(good / bad)).when(F.col(name) == 0, math.log((1 - good) / (1 - bad))).otherwise(0.0)
+        for vote, (bad, good) in zip(rules, self.good.tolist(), strict=True):
+            total = total + F.when(vote == 1, math.log(good / bad)).when(vote == 0, math.log((1 - good) / (1 - bad))).otherwise(0.0)
         return F.lit(1.0) / (1 + F.exp(-total))
 
 
@@ -189,15 +191,44 @@ def fit_votes(
     return model
 
 
+def fit_rules(counts: DataFrame, prior: float = 0.9) -> VoteModel:
+    """The vote model of a table of text statistics; only counts of vote patterns come to the driver."""
+    names = list(votes())
+    voted = counts.where("n_words > 0").select(*(v.alias(n) for n, v in votes().items()))
+    rows = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(names)
+    pattern = np.array([[r[n] for n in names] for r in rows], np.int64).reshape(len(rows), len(names))
+    return fit_votes(pattern, np.array([r["n"] for r in rows]), prior)
+
+
+def _verdict(model: VoteModel, at: str, keep_from: float, min_words: int, most_repeats: int) -> tuple[Column, Column, Column]:
+    words = F.col(f"{at}n_words")
+    failed = (words < min_words) | (100 * F.col(f"{at}n_repeat_words") > most_repeats * words)
+    posterior = F.when(words > 0, model.column(list(votes(at).values()))).otherwise(0.0)
+    return failed, posterior, ~failed & (posterior >= keep_from)
+
+
 def judged(docs: DataFrame, keep_from: float = 0.5, min_words: int = 20, most_repeats: int = 30, prior: float = 0.9) -> DataFrame:
     """Counts, votes, posterior and verdict per document."""
     counts = stored(text_statistics(docs), "statistics")
-    rules = votes()
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    voted = counts.withColumns(rules).withColumn("base_failed", base)
-    names = list(rules)
-    rows = voted.where("n_words > 0").groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(names)
-    pattern = np.array([[r[n] for n in names] for r in rows], np.int64).reshape(len(rows), len(names))
-    model = fit_votes(pattern, np.array([r["n"] for r in rows]), prior)
-    posterior = F.when(F.col("n_words") > 0, model.column(names)).otherwise(0.0)
-    return voted.withColumn("posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
+    failed, posterior, kept = _verdict(fit_rules(counts, prior), "", keep_from, min_words, most_repeats)
+    return counts.select("*", *(v.alias(n) for n, v in votes().items()), failed.alias("base_failed"), posterior.alias("posterior"), kept.alias("kept"))
+
+
+def _annotate(names: list[str], text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks([batch], text):
+                counts = statistics([t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in counts)], names=[*part.schema.names, *names])
+
+    return run
+
+
+def keep_good(docs: DataFrame, text: str = "text", keep_from: float = 0.5, min_words: int = 20, most_repeats: int = 30, prior: float = 0.9) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns unchanged. Two narrow passes, no join."""
+    model = fit_rules(stored(text_statistics(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))), "statistics"), prior)
+    at = "_quality_"
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(at + c, T.LongType()) for c in COUNTS)])
+    counted = docs.mapInArrow(_annotate([at + c for c in COUNTS], text), schema)
+    _, _, kept = _verdict(model, at, keep_from, min_words, most_repeats)
+    return counted.where(kept).select(*docs.columns)
