@@ -11,7 +11,9 @@ from .bbit_minhash import near_duplicates
 from .best_fit import pack
 from .common import read
 from .decontaminate import decontamination
+from .edit_tokens import apply_edits, with_trees
 from .secret_forest import secret_findings
+from .unit_dedup import dedup_units
 from .url_filter import url_verdicts
 from .weak_quality import judged
 
@@ -44,12 +46,39 @@ def op3_url_filter(spark, folder):
     return url_verdicts(read(spark, folder, "pages"), rules)
 
 
+#: Three edits of each document, made from its own id and text: a cut, an insertion and a replacement.
+EDITS_SQL = """array(
+  named_struct('start', pmod(xxhash64(doc_id, 1), char_length(text) + 1), 'end', pmod(xxhash64(doc_id, 1), char_length(text) + 1) + 17, 'text', ''),
+  named_struct('start', pmod(xxhash64(doc_id, 2), char_length(text) + 1), 'end', 0L, 'text', concat(' revision ', doc_id, '\n')),
+  named_struct('start', pmod(xxhash64(doc_id, 3), char_length(text) + 1), 'end', pmod(xxhash64(doc_id, 3), char_length(text) + 1) + 40, 'text', right(text, 60)))"""
+
+
+@query
+def op5_edit_tokens(spark, folder):
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = with_trees(read(spark, folder, "documents"), ranks, pattern).withColumn("edits", F.expr(EDITS_SQL))
+    return apply_edits(trees, ranks, pattern).select(
+        "doc_id", "n_edits", "n_skipped", "n_tokens_before", "n_tokens", "n_chars_encoded",
+        F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"),
+    )
+
+
 @query
 def op6_secret_forest(spark, folder):
     found, _, _ = secret_findings(read(spark, folder, "documents"), path="source")
     return found.select("doc_id", "start", "end", F.col("run").alias("candidate"), "label", "score", "secret")
 
 
+@query
+def op8_unit_dedup(spark, folder):
+    return dedup_units(read(spark, folder, "documents")).select(
+        "doc_id", "n_units", "n_removed", "n_removed_chars", F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
 @query
 def op9_best_fit(spark, folder):
     import public_tokenizers
