@@ -17,6 +17,8 @@ than tokens still gets a bin, of its own.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,23 +41,45 @@ PLACED_DDL = PIECES_DDL + ", sequence_id long, offset long"
 class WordIds(dict):
     """Ids of a stretch of text without spaces, as little-endian 32-bit bytes; encoded when first met.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its stretches in turn.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its stretches in turn. A
+    plain stretch (letters of ASCII or Latin-1, then punctuation) is two words to it, each looked up in its common form and
+    given to the tokenizer's model as it is; every other stretch goes through the whole tokenizer.
     """
 
+    PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?*#$%&()+=~^@/-]*)")
+
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.words = self.tokenizer.model, {"": b""}
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.form = {i: split(chr(i))[0][0] for i in range(0xC0, 0x100)}  # letters as the model has them
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, stretch: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        if plain := self.PLAIN.fullmatch(stretch):
+            ids = self._word(plain[1].lower()) + self._word(plain[2])
+        else:
+            ids = self._bytes(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+        self[stretch] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= CACHE_WORDS:
+                self.words = {"": b""}
+            ids = self.words[word] = self._bytes([t.id for t in self.model.tokenize(word.translate(self.form))])
+        return ids
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
