@@ -12,6 +12,7 @@ from .best_fit import pack
 from .common import read
 from .decontaminate import decontamination
 from .edit_tokens import apply_edits, with_trees
+from .pii_bootstrap import personal_data, with_digests
 from .secret_forest import secret_findings
 from .unit_dedup import dedup_units
 from .url_filter import url_verdicts
@@ -71,6 +72,11 @@ def op6_secret_forest(spark, folder):
     return found.select("doc_id", "start", "end", F.col("run").alias("candidate"), "label", "score", "secret")
 
 
+@query
+def op7_pii_bootstrap(spark, folder):
+    return with_digests(personal_data(read(spark, folder, "documents")))
+
+
 @query
 def op8_unit_dedup(spark, folder):
     return dedup_units(read(spark, folder, "documents")).select(
