@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bbit_minhash import near_duplicates
 from .best_fit import pack
+from .bwt_dedup import dedup_bytes
 from .common import read
 from .decontaminate import decontamination
 from .edit_tokens import apply_edits, with_trees
@@ -47,6 +48,12 @@ def op3_url_filter(spark, folder):
     return url_verdicts(read(spark, folder, "pages"), rules)
 
 
+@query
+def op4_bwt_dedup(spark, folder):
+    found = dedup_bytes(read(spark, folder, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 #: Three edits of each document, made from its own id and text: a cut, an insertion and a replacement.
 EDITS_SQL = """array(
   named_struct('start', pmod(xxhash64(doc_id, 1), char_length(text) + 1), 'end', pmod(xxhash64(doc_id, 1), char_length(text) + 1) + 17, 'text', ''),
