@@ -101,4 +101,4 @@ def op9_best_fit(spark, folder):
 
 @query
 def op10_bbit_minhash(spark, folder):
-    return near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+    return near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

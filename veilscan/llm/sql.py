@@ -19,3 +19,68 @@ fit AS (
   WHERE (host = host_part OR ends_with(host, '.' || host_part)) AND starts_with(path, path_part) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fit USING (r)
 """
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op1_decontaminate"] = rf"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + 9], ' ') AS s
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS p FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+place AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, lens WHERE len(w) >= n),
+hit AS (SELECT r, place.n, p, item_id FROM place JOIN win ON place.n = win.n AND array_to_string(w[p:p + place.n - 1], ' ') = s),
+words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(p, p + n - 1)) AS q FROM hit) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLES["op4_bwt_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, s, md5(substr(h, 2 * s + 1, 400)) AS m FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 200)) AS s FROM d WHERE len(h) >= 400)),
+twice AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+starts AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM win SEMI JOIN twice USING (m)),
+runs AS (SELECT r, min(s) AS a, max(s) + 200 AS b FROM (SELECT r, s, count(*) FILTER (before IS NULL OR s > before + 200) OVER (PARTITION BY r ORDER BY s) AS k FROM starts) GROUP BY r, k),
+keep AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM (
+    SELECT r, h, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM d JOIN runs USING (r) WINDOW w AS (PARTITION BY r ORDER BY a)
+    UNION ALL SELECT r, any_value(h), max(b), any_value(len(h)) // 2 FROM d JOIN runs USING (r) GROUP BY r) GROUP BY r),
+cut AS (SELECT r, sum(b - a) AS n, count(*) AS c FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN keep USING (r)
+"""
+
+ORACLES["op8_unit_dedup"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {_LOWER} AS low FROM documents),
+cut AS (
+  SELECT doc_id, r, i, line, trim(regexp_replace(form, '[\x20\x09-\x0D]+', ' ', 'g')) AS form,
+    sum(len(line) + 1) OVER (PARTITION BY r ORDER BY i) - len(line) - 1 AS a
+  FROM (SELECT doc_id, r, unnest(string_split(text, chr(10))) AS line, unnest(string_split(low, chr(10))) AS form, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+ranked AS (SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id NULLS LAST, a) > 1 AS gone FROM cut),
+per AS (
+  SELECT r, count(*) FILTER (form <> '') AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(len(line)) FILTER (gone), 0) AS chars,
+    string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a AS BIGINT) + len(line) AS VARCHAR), ',' ORDER BY i) FILTER (gone) AS removed,
+    string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest
+  FROM ranked GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS n_removed_chars,
+  coalesce(removed, '') AS removed, md5(coalesce(rest, '')) AS kept_md5
+FROM d LEFT JOIN per USING (r)
+"""
+
+ORACLES["op10_bbit_minhash"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
