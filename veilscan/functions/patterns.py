@@ -29,7 +29,12 @@ ID_SCHEME_WORDS = "マイナンバー|個人番号"
 
 # --- fixed values: detector patterns ---------------------------------------
 
-EMAIL = f"(?i){EDGE}[A-Z0-9._%+-]++@[A-Z0-9.-]+\\.[A-Z]{{2,}}{NOT_BEFORE_WORD}"
+# All starts inside one run of local-part characters share its end, so only the first word edge of a run is tried, or the
+# end of the hit before.
+EMAIL = (
+    "(?i)(?:(?<![A-Z0-9._%+-])([.%+-]*+)|\\G(?<=[A-Z]))"
+    f"([A-Z0-9._%+-]++@[A-Z0-9.-]+\\.[A-Z]{{2,}}{NOT_BEFORE_WORD})"
+)
 PHONE = f"(?<![0-9])0[0-9]{{1,4}}[-{SPACE}]?[0-9]{{1,4}}[-{SPACE}]?[0-9]{{3,4}}(?![0-9])"
 CREDIT_CARD = f"{NOT_AFTER_WORD}(?:[0-9][ -]?){{13,19}}{EDGE}"
 MY_NUMBER = f"(?<![0-9])[0-9]{{4}}[-{SPACE}]?[0-9]{{4}}[-{SPACE}]?[0-9]{{4}}(?![0-9])"
@@ -52,25 +57,36 @@ AMOUNT = (
 # A whole line that holds a keyword. Anchoring at the line start and looking
 # ahead once keeps this linear in the length of the line.
 LINE_START = "(?<![^\\r\\n])"
-# The Latin words are spelled per letter and the others stand behind one range
+# Latin words are spelled per letter and the others stand behind one range
 # test, so that a character of running text costs three checks, not eight.
-_CONFIDENTIAL_TEST = (
-    "(?:[Nn][Dd][Aa]|[Cc][Oo][Nn][Ff][Ii][Dd][Ee][Nn][Tt][Ii][Aa][Ll]"
-    "|(?=[\\u3000-\\uFFFF])(?:社外秘|秘密|取扱注意|関係者限り|未公開|口外禁止))"
-)
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c.lower()}]" for c in word)
+
+
+def _confidential_test(words: list[str]) -> str:
+    latin = "|".join(_any_case(w) for w in words if w.isascii())
+    other = "|".join(w for w in words if not w.isascii())
+    return f"(?:{latin}|(?=[\\u3000-\\uFFFF])(?:{other}))"
+
+
+_CONFIDENTIAL_TEST = _confidential_test(CONFIDENTIAL_WORDS.split("|"))
 CONFIDENTIAL_LINE = f"{LINE_START}(?=[^\\r\\n]*?{_CONFIDENTIAL_TEST})[^\\r\\n]++"
 ID_SCHEME_LINE = f"{LINE_START}(?=[^\\r\\n]*?(?:{ID_SCHEME_WORDS}))[^\\r\\n]++"
-# A host with a marker. The look-ahead replaces a greedy scan and its
-# backtracking: if any marker follows in the run, the whole run belongs to the hit.
+# A host with a marker. If any marker follows in the run, the whole rest of the run belongs to the hit; if none does, no
+# later start in the run can match. So one start is tried per run: its first word edge, or the first one after a hit that
+# ends inside a run (a bare ``localhost``, or a port).
 INTERNAL_HOST = (
-    f"(?i){EDGE}(?:localhost|(?=[a-z0-9.-]*?(?:in(?:tra|ter)n|corp|staging|dev|test|local))"
-    "(?=[a-z0-9.-]*?(?:intranet|internal|corp|staging|dev|test|local))"
-    f"[a-z0-9.-]++(?::[0-9]+)?(?:/[^{SPACE}<>\"'）)]*+)?)"
+    "(?i)((?<![A-Z0-9_.-])[.-]*+|(?<=_)[A-Z0-9]*+|\\G(?<=[A-Z0-9])[A-Z0-9]*+)"
+    f"(localhost|(?=[A-Z0-9.-]*?(?:{INTERNAL_MARKERS}))[A-Z0-9.-]++(?::[0-9]+)?(?:/[^{SPACE}<>\"'）)]*+)?)"
 )
 INTERNAL_MARKER = f"(?i){INTERNAL_MARKERS}"
 
 # Secret shapes. These are this project's own definitions.
-JWT = f"{EDGE}[A-Za-z0-9_-]{{10,}}\\.[A-Za-z0-9_-]{{10,}}\\.[A-Za-z0-9_-]{{10,}}{EDGE}"
+# A run is entered at its first word edge, or where the hit before has ended.
+JWT = (
+    f"(?:(?<![A-Za-z0-9_-])(-*+)|\\G(?<={WORD}))"
+    f"([A-Za-z0-9_-]{{10,}}+\\.[A-Za-z0-9_-]{{10,}}+\\.[A-Za-z0-9_-]{{10,}}(?<={WORD}){NOT_BEFORE_WORD})"
+)
 AWS_ACCESS_KEY = f"{NOT_AFTER_WORD}(?:AKIA|ASIA)[0-9A-Z]{{16}}{NOT_BEFORE_WORD}"
 GITHUB_TOKEN = f"{NOT_AFTER_WORD}(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]{{20,}}{NOT_BEFORE_WORD}"
 SLACK_TOKEN = f"{NOT_AFTER_WORD}xox[baprs]-[A-Za-z0-9-]{{10,}}{EDGE}"
@@ -84,17 +100,26 @@ WEBHOOK = (
     f"{NOT_AFTER_WORD}https://(?:hooks\\.slack\\.com/services/[A-Za-z0-9/_-]+"
     "|(?:(?:ptb|canary)\\.)?discord(?:app)?\\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+)"
 )
-PRIVATE_KEY = (
-    "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[\\s\\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
-)
+# Words of capitals and digits with single spaces between them, taken by one class loop: a repeated group recurses.
+_KEY_NAME = "(?! )(?![A-Z0-9 ]*?  )[A-Z0-9 ]*+(?<= PRIVATE KEY)-----"
+PRIVATE_KEY_END = f"-----END {_KEY_NAME}"
+PRIVATE_KEY = f"-----BEGIN {_KEY_NAME}[\\s\\S]*?{PRIVATE_KEY_END}"
 ENV_SECRET = (
-    f"{NOT_AFTER_WORD}[A-Z0-9_]*(?:SECRET|TOKEN|API_KEY|ACCESS_KEY|PRIVATE_KEY|PASSWORD|DATABASE_URL)"
-    f"[A-Z0-9_]*[ \\t]*=[ \\t]*(?:\"[^\"\\r\\n]+\"|'[^'\\r\\n]+'|[^{SPACE}\"'<>]+)"
+    f"{NOT_AFTER_WORD}(?=[A-Z0-9_]*?(?:SECRET|TOKEN|API_KEY|ACCESS_KEY|PRIVATE_KEY|PASSWORD|DATABASE_URL))"
+    f"[A-Z0-9_]++[ \\t]*+=[ \\t]*(?:\"[^\"\\r\\n]+\"|'[^'\\r\\n]+'|[^{SPACE}\"'<>]+)"
 )
 BASIC_AUTH_URL = (
     f"(?i){NOT_AFTER_WORD}https?://[^{SPACE}/:@<>\"'）)]+:[^{SPACE}/@<>\"'）)]+@{URL_BODY}+"
 )
+# Searched only in runs that end at an ``@``.
+_UP_TO_AT = f"[^{SPACE}@<>\"'）)]"
 DATABASE_URL = (
-    f"(?i){NOT_AFTER_WORD}(?:postgres|postgresql|mysql|mariadb|mongodb|mongodb\\+srv|redis|rediss|mssql|sqlserver)"
-    f"://[^{SPACE}/:@<>\"'）)]+:[^{SPACE}@<>\"'）)]+@{URL_BODY}+"
+    f"(?i)(?<!{_UP_TO_AT})(?={_UP_TO_AT}++@)({_UP_TO_AT}*?)"
+    f"({NOT_AFTER_WORD}(?:postgres|postgresql|mysql|mariadb|mongodb|mongodb\\+srv|redis|rediss|mssql|sqlserver)"
+    f"://[^{SPACE}/:@<>\"'）)]+:{_UP_TO_AT}+@{URL_BODY}+)"
 )
+
+#: Patterns whose hit is the second group; the first is text passed over.
+WITH_LEAD = {EMAIL, JWT, INTERNAL_HOST, DATABASE_URL}
+#: Patterns that cannot hit beyond the last hit of another.
+CLOSED_BY = {PRIVATE_KEY: PRIVATE_KEY_END}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .fixed import RISK_RANK
 from .lets import lookup
+from .patterns import CLOSED_BY, WITH_LEAD
 
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 FINDING_TYPE = (
@@ -45,8 +46,15 @@ def marked_pieces(text: Column, pattern: str) -> Column:
     closing mark, and the text up to the next hit; the first piece has an empty
     hit. ``text`` must be free of marks.
     """
-    marked = F.concat(F.lit(CLOSE), F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"))
-    return F.split(marked, OPEN, -1)
+    hit = f"$1{OPEN}$2{CLOSE}" if pattern in WITH_LEAD else f"{OPEN}$0{CLOSE}"
+    if pattern in CLOSED_BY:
+        # An opening without its end would be followed to the end of the text, again and again.
+        head = F.regexp_extract(text, f"(?s)^.*{CLOSED_BY[pattern]}", 0)
+        rest = F.substring(text, F.char_length(head) + 1, F.char_length(text))
+        marked = F.concat(F.regexp_replace(head, pattern, hit), rest)
+    else:
+        marked = F.regexp_replace(text, pattern, hit)
+    return F.split(F.concat(F.lit(CLOSE), marked), OPEN, -1)
 
 
 def spans_of_pieces(pieces: Column) -> Column:
