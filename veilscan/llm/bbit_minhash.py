@@ -10,8 +10,10 @@ Texts with equal sets form a class and are not paired at all. In a bucket of man
 
 1. each class meets the least and the greatest class of its buckets; its most similar one is tested first;
 2. of the other such pairs only those between different components are tested;
-3. what is left are buckets of four or more classes with several components: there, classes outside the bucket's largest
-   component meet all its classes of other components, in blocks, and the pairs that pass the estimate are tested.
+3. what is left are buckets of four or more classes with several components: there, classes of different components meet
+   in pairs of blocks, each a small matrix of estimates. There the estimate is followed by a bound from the
+   classes' shingle codes cut to 32 bits (cutting can only merge codes, and how many is known), so that hardly any pair
+   leaves the blocks that is not a link; these are tested like all others.
 
 After that, any two classes that share a bucket are in one component or have been tested, so nothing is lost to a cap.
 Components are found by alternating large and small stars over the links, in rounds stored below the checkpoint folder.
@@ -173,6 +175,74 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table_of(LINKED, [x for x, _ in linked], [y for _, y in linked])
 
 
+CODES = pa.schema([("cid", pa.binary()), ("codes", pa.list_(pa.int32()))])
+
+
+def _short_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        sets = shingle_sets(batch.column("text").to_pylist())
+        yield table_of(CODES, batch.column("cid"), [np.unique((s >> np.uint64(32)).astype(np.uint32).view(np.int32)) for s in sets])
+
+
+def _block_pairs(rows: pa.Table) -> list[tuple[bytes, bytes]]:
+    """Pairs of different components in one block pair of a bucket that may be links."""
+    key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
+    block, n = (rows.column(c).to_numpy() for c in ("block", "n"))
+    wide = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    signature, bands = wide("signature").view(np.uint64), wide("bands")
+    cids, root = rows.column("cid").to_pylist(), np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)[1]
+    left = np.flatnonzero(block == i)
+    right = np.flatnonzero(block == j)
+    unlike = np.zeros((len(left), len(right)), np.int16)
+    for k in range(signature.shape[1]):
+        x = signature[left, k, None] ^ signature[None, right, k]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        unlike += np.bitwise_count(x & np.uint64(NIBBLES))
+    chance = 2.0**-BITS
+    like = (1 - unlike / HASHES - chance) / (1 - chance) >= THRESHOLD[0] / THRESHOLD[1] - MARGIN
+    small, large = np.minimum(n[left, None], n[None, right]), np.maximum(n[left, None], n[None, right])
+    like &= (root[left, None] != root[None, right]) & (small * THRESHOLD[1] >= large * THRESHOLD[0])
+    a, b = np.nonzero(np.triu(like, 1) if i == j else like)
+    a, b = left[a], right[b]
+    shared = bands[a] == bands[b]  # a pair is looked at in its first common bucket only
+    here = bands[a, shared.argmax(axis=1)] == key
+    codes = rows.column("codes").to_pylist()
+    sets: dict[int, frozenset] = {}
+    out = []
+    for x, y in zip(a[here].tolist(), b[here].tolist(), strict=True):
+        for z in (x, y):
+            if z not in sets:
+                sets[z] = frozenset(codes[z])
+        most = len(sets[x] & sets[y]) + min(n[x] - len(sets[x]), n[y] - len(sets[y]))
+        if most * THRESHOLD[1] >= (n[x] + n[y] - most) * THRESHOLD[0]:
+            out.append((cids[x], cids[y]))
+    return out
+
+
+def _test_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, i and j; a group has at most about two blocks."""
+    held: list[pa.RecordBatch] = []
+
+    def groups(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        table = pa.Table.from_batches(held).combine_chunks()
+        key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+        if last:
+            cut.append(len(key))
+        pairs = [p for x, y in zip(cut[:-1], cut[1:], strict=True) for p in _block_pairs(table.slice(x, y - x))]
+        held = [] if last else table.slice(cut[-1]).to_batches()
+        yield table_of(LINKED, [x for x, _ in pairs], [y for _, y in pairs])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            yield from groups(False)
+    if sum(b.num_rows for b in held):
+        yield from groups(True)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
@@ -197,6 +267,10 @@ def components(links: DataFrame) -> DataFrame:
         seen = found
 
 
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     for end in ("a", "b"):
@@ -238,29 +312,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(first, texts)
     roots = components(links)
     rest = _apart(stars.join(first, ["a", "b"], "left_anti"), roots)
-    links = links.unionByName(confirmed(rest, texts))
-    roots = components(links)
+    roots = components(_as_links(roots).unionByName(confirmed(rest, texts)))
 
     crowd = members.where("size > 3").select("key", "cid", "size").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     crowd = crowd.select("key", "cid", "size", F.coalesce("root", "cid").alias("root"))
-    mixed = crowd.groupBy("key", "root").agg(F.count("*").alias("part")).groupBy("key").agg(
-        F.max_by("root", F.struct("part", "root")).alias("most"), F.count("*").alias("parts")
-    ).where("parts > 1").select("key", "most")
-    crowd = stored(crowd.join(mixed, "key").join(ends, "cid"), "crowd")
+    mixed = crowd.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    crowd = stored(crowd.join(mixed, "key"), "crowd")
+    short = texts.join(crowd.select("cid").distinct(), "cid", "left_semi").mapInArrow(_short_codes, "cid binary, codes array<int>")
+    full = stored(classes.join(short, "cid").select("cid", F.struct("n", "signature", "bands", "codes").alias("own")), "codes")
+    crowd = crowd.join(full, "cid")
     blocks = F.ceil(F.col("size") / BLOCK)
-    block, every = F.pmod(F.xxhash64("cid"), blocks), F.sequence(F.lit(0).cast("long"), blocks - 1)
-    left = crowd.where("root <> most").select(
-        "key", F.col("cid").alias("a"), F.col("root").alias("root_a"), F.col("own").alias("left"), block.alias("i"), F.explode(every).alias("j")
-    )
-    right = crowd.select(
-        "key", F.col("cid").alias("b"), F.col("root").alias("root_b"), F.col("most").alias("most_b"), F.col("own").alias("right"),
-        block.alias("j"), F.explode(every).alias("i"),
+    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    crowd = crowd.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "root", "own.n", "own.signature",
+        "own.bands", "own.codes",
     )
-    once = (F.col("root_b") == F.col("most_b")) | (F.col("a") < F.col("b"))
-    last = left.join(right, ["key", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & once & _close("left", "right")).select("a", "b").distinct()
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = crowd.repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    last = dealt.mapInArrow(_test_blocks, "a binary, b binary").distinct()
     tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = confirmed(last.join(tested, ["a", "b"], "left_anti"), texts)
-    roots = components(links.unionByName(more))
+    roots = components(_as_links(roots).unionByName(more))
 
     owner = classes.select("cid", "doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "cid", "doc", F.coalesce("root", "cid").alias("root")
