@@ -74,8 +74,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", key
     )
     spread = table.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     met = wide.join(spread, ["short", "salt"]).where(F.col("digest") == F.col("rule_digest"))
-    rank = F.struct(F.char_length("rule").alias("n"), F.when(F.col("action") == "block", 1).otherwise(0).alias("b"))
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("best"))
+    rank = F.struct(-F.char_length("rule"), F.when(F.col("action") == "block", 0).otherwise(1), "rule")
+    best = met.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), rank).alias("best"))
     return urls.join(best, ["host", "path"], "left").select(
         key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict")
     )
