@@ -1,0 +1,76 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from veilscan.llm.secret_forest import candidate_rows, frequent_words, redact, running, secret_findings, train_forest
+
+from .helpers import ODD_TEXTS, docs_of, text
+
+
+def planted(n=120):
+    """Half the texts hold a secret, the others look-alikes."""
+    r, out = random.Random(6), []
+    for i in range(n):
+        hexes = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        key = "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        digits = "".join(r.choice("0123456789") for _ in range(16))
+        out.append(text(i, 30) + [f' token = "{hexes}" ', f" {key} ", f" password={hexes[:18]} ", f" commit {hexes} ", f" {digits} ", f" https://a.b/{hexes[:8]}/{digits} "][i % 6] + text(i + 500, 9))
+    return out
+
+
+def test_findings_have_their_places_and_secrets_are_told_apart(spark):
+    texts = planted()
+    docs = docs_of(spark, texts)
+    found, forest, _ = secret_findings(docs, path="source")
+    rows = found.collect()
+    assert forest is not None and len(rows) >= len(texts)
+    for r in rows:
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["run"]
+        if r["doc_id"] % 6 < 5:
+            assert r["secret"] == (r["doc_id"] % 6 < 3)
+
+
+def test_forest_judges_held_out_findings(spark):
+    docs = docs_of(spark, planted(240))
+    rows = candidate_rows(docs, frequent_words(docs)).cache()
+    names = [c for c in rows.columns if c not in ("doc_id", "start", "end", "run", "before", "after", "label")]
+    forest = train_forest(rows.where("doc_id < 120"), names, sample_rows=80)
+    held = rows.where("doc_id >= 120 AND label IS NOT NULL").withColumn("score", forest.score(F.col))
+    right = held.where((F.col("score") >= 0.5) == (F.col("label") == 1)).count()
+    assert right >= 0.95 * held.count()
+
+
+def test_redaction_changes_secrets_only(spark):
+    texts = [*planted(60), *ODD_TEXTS]
+    docs = docs_of(spark, texts)
+    found, forest, words = secret_findings(docs, path="source")
+    places = {}
+    for r in found.where("secret").collect():
+        places.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    clean = redact(docs, forest, words, path="source")
+    assert clean.columns == docs.columns
+    for r in clean.collect():
+        want = texts[r["doc_id"]]
+        for start, end in sorted(places.get(r["doc_id"], []), reverse=True):
+            want = want[:start] + "[SECRET]" + want[end:]
+        assert r["text"] == want
+
+
+def test_many_findings_in_one_text_and_running_sums(spark):
+    t = " ".join(f"AKIA{i:016d}" for i in range(3000))
+    found, forest, words = secret_findings(docs_of(spark, [t, t]))
+    assert forest is None  # one class only: labels decide
+    assert found.where("secret").count() == 6000
+    assert redact(docs_of(spark, [t]), forest, words).first()["text"] == " ".join(["[SECRET]"] * 3000)
+    lengths = [(i * 7) % 13 for i in range(1000)]
+    got = spark.createDataFrame([(lengths,)], "x array<long>").select(running(F.col("x")).alias("x")).first()["x"]
+    assert got == [sum(lengths[:i]) for i in range(1000)]
+
+
+def test_empty_table_and_plan_without_python(spark):
+    docs = docs_of(spark, ODD_TEXTS)
+    found, forest, words = secret_findings(docs.limit(0))
+    assert found.count() == 0 and forest is None and words == []
+    plan = redact(docs, None, frequent_words(docs))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
