@@ -3,7 +3,7 @@
 A candidate is a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` (and closing ``=``) that holds a digit.
 Its features are columns: length and kinds of characters, transitions between kinds of characters, share covered by the
 corpus's frequent words, signs of a path, and neighbouring words. A random forest is trained on labelled findings; it is
-then spelled out as one SQL expression (a CASE per tree), so that scoring is a projection without a shuffle, over rows of
+then spelled out as one column expression (a CASE per tree), so that scoring is a projection without a shuffle, over rows of
 findings and inside an array column alike. Everything is DataFrame or SQL operations.
 
 Labels: ``seed_label`` marks findings whose shape or surroundings leave no doubt; others are unlabelled and judged by the
@@ -18,10 +18,12 @@ untouched. Texts are scanned whole, one pass, linear in their length; running of
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lets import let
 from .common import stored
 
 MIN_LENGTH = 16
@@ -48,28 +50,33 @@ def pieces(text: Column) -> Column:
 def running(lengths: Column) -> Column:
     """Sum of the lengths before each element: sums of blocks, sums before blocks, rest within the block."""
     add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    n_blocks = F.greatest(F.ceil(F.size(lengths) / BLOCK).cast("int"), F.lit(1))
-    sums = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: add(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    def within(sums: Column) -> Column:
-        before = F.transform(sums, lambda _, b: add(F.slice(sums, F.lit(1), b)))
-        return F.element_at(F.transform(F.array(before), lambda before: F.transform(
-            lengths,
-            lambda _, i: F.get(before, (i / BLOCK).cast("int")) + add(F.slice(lengths, (i - i % BLOCK) + 1, i % BLOCK)),
-        )), 1)
-    return F.element_at(F.transform(F.array(sums), within), 1)
-
-
-def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the array column ``candidates``: start, end, run, text before and after."""
-    docs = docs.withColumn("_pieces", pieces(F.col(text)))
-    docs = docs.withColumn("_starts", running(F.transform("_pieces", lambda p: (F.char_length(p["gap"]) + F.char_length(p["run"])).cast("long"))))
-    def one(p: Column, i: Column) -> Column:
-        start = F.get(F.col("_starts"), i) + F.char_length(p["gap"])
-        return F.struct(
-            start.alias("start"), (start + F.char_length(p["run"])).alias("end"), p["run"].alias("run"), F.right(p["gap"], F.lit(40)).alias("before"),
-            F.left(F.coalesce(F.get(F.col("_pieces"), i + 1)["gap"], F.lit("")), F.lit(20)).alias("after"),
-        )
-    return docs.withColumn("candidates", F.transform("_pieces", one))
+
+    def of(lengths: Column) -> Column:
+        n_blocks = F.greatest(F.ceil(F.size(lengths) / BLOCK).cast("int"), F.lit(1))
+        sums = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: add(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+        before = let(sums, lambda sums: F.transform(sums, lambda _, b: add(F.slice(sums, F.lit(1), b))))
+        return let(before, lambda before: F.transform(
+            lengths, lambda _, i: F.get(before, (i / BLOCK).cast("int")) + add(F.slice(lengths, (i - i % BLOCK) + 1, i % BLOCK))
+        ))
+
+    return let(lengths, of)
+
+
+def candidates(parts: Column) -> Column:
+    """Start, end, run, text before and after of each piece. ``parts`` must be bound (by ``let``): it is used many times."""
+    lengths = F.transform(parts, lambda p: (F.char_length(p["gap"]) + F.char_length(p["run"])).cast("long"))
+
+    def with_starts(starts: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            start = F.get(starts, i) + F.char_length(p["gap"])
+            return F.struct(
+                start.alias("start"), (start + F.char_length(p["run"])).alias("end"), p["run"].alias("run"),
+                F.right(p["gap"], F.lit(40)).alias("before"), F.left(F.coalesce(F.get(parts, i + 1)["gap"], F.lit("")), F.lit(20)).alias("after"),
+            )
+
+        return F.transform(parts, one)
+
+    return let(running(lengths), with_starts)
 
 
 def is_candidate(c: Column) -> Column:
@@ -114,26 +121,36 @@ def frequent_words(docs: DataFrame, size: int = DICTIONARY_WORDS, text: str = "t
 
 
 class Forest:
-    """Trees as SQL CASE expressions over feature columns; the value is the share of trees that vote secret."""
+    """Trees as nested tuples of (feature, order, bound, then, else), with a vote at the leaves."""
 
-    def __init__(self, trees: list[str], names: list[str]):
+    def __init__(self, trees: list, names: list[str]):
         self.trees, self.names = trees, names
 
-    def sql(self, at: str = "") -> str:
-        """``at`` is the prefix of the feature columns."""
-        trees = [re.sub(r"\bf(\d+)\b", lambda m: f"{at}{self.names[int(m[1])]}", t) for t in self.trees]
-        return f"({' + '.join(trees)}) / {float(len(trees))}D"
+    def score(self, at: Callable[[str], Column]) -> Column:
+        """Share of trees that vote secret; ``at`` gives the column of a feature."""
+
+        def spelled(tree) -> Column:
+            if isinstance(tree, float):
+                return F.lit(tree)
+            feature, order, bound, yes, no = tree
+            value = at(self.names[feature])
+            return F.when(value <= bound if order == "<=" else value > bound, spelled(yes)).otherwise(spelled(no))
+
+        total = spelled(self.trees[0])
+        for tree in self.trees[1:]:
+            total = total + spelled(tree)
+        return total / float(len(self.trees))
 
 
-def _as_sql(lines: list[str]) -> str:
-    """One tree of MLlib's printed form (If / Else / Predict, nested by order) as a CASE expression."""
+def _tree(lines: list[str]):
+    """One tree of MLlib's printed form: If / Else / Predict, nested by order."""
     head = lines.pop(0)
     if head.startswith("Predict"):
-        return head.split()[1] + "D"
+        return float(head.split()[1])
     feature, order, bound = re.match(r"If \(feature (\d+) (<=|>) ([-0-9.Ee]+)\)", head).groups()
-    yes = _as_sql(lines)
+    yes = _tree(lines)
     lines.pop(0)  # Else
-    return f"CASE WHEN f{feature} {order} {bound}D THEN {yes} ELSE {_as_sql(lines)} END"
+    return int(feature), order, float(bound), yes, _tree(lines)
 
 
 def train_forest(labelled: DataFrame, names: list[str], sample_rows: int = SAMPLE_ROWS) -> Forest | None:
@@ -148,13 +165,15 @@ def train_forest(labelled: DataFrame, names: list[str], sample_rows: int = SAMPL
     data = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, labelCol="label").fit(data)
     trees = re.split(r"^\s*Tree \d+.*$", model.toDebugString, flags=re.M)[1:]
-    return Forest([_as_sql([x.strip() for x in t.splitlines() if x.strip()]) for t in trees], names)
+    return Forest([_tree([x.strip() for x in t.splitlines() if x.strip()]) for t in trees], names)
 
 
 def candidate_rows(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """One row per candidate: place, run, surroundings, features and seed label."""
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), (F.col(path) if path else F.lit("")).alias("path"))
-    rows = with_candidates(slim).select("doc_id", "path", F.explode("candidates").alias("c")).where(is_candidate(F.col("c")))
+    # Outer, then filtered: explode alone would have the optimizer compute the whole array a second time in a filter.
+    found = F.filter(let(pieces(F.col("text")), candidates), is_candidate)
+    rows = slim.select("doc_id", "path", F.explode_outer(found).alias("c")).where("c IS NOT NULL")
     named = features(F.col("c"), words, F.col("path"))
     return rows.select("doc_id", "c.start", "c.end", "c.run", "c.before", "c.after", *(v.alias(k) for k, v in named.items()), seed_label(F.col("c")).alias("label"))
 
@@ -165,25 +184,22 @@ def secret_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     rows = stored(candidate_rows(docs, words, key, text, path), "candidates")
     names = list(features(F.struct(F.lit("").alias("run"), F.lit("").alias("before"), F.lit("").alias("after")), words))
     forest = train_forest(rows, names)
-    score = F.expr(forest.sql()) if forest else F.coalesce(F.col("label"), F.lit(0.0))
+    score = forest.score(F.col) if forest else F.coalesce(F.col("label"), F.lit(0.0))
     return rows.withColumn("score", score).withColumn("secret", F.col("score") >= keep_from), forest, words
 
 
 def redact(docs: DataFrame, forest: Forest | None, words: list[str], text: str = "text", path: str | None = None, mark: str = "[SECRET]", keep_from: float = 0.5) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; a narrow pass."""
     where = F.col(path) if path else F.lit("")
-    columns = docs.columns
-    found = with_candidates(docs, text)
     named = lambda c: F.struct(*(v.alias(k) for k, v in features(c, words, where).items()))
-    found = found.withColumn("_scored", F.transform("candidates", lambda c: F.struct(is_candidate(c).alias("ok"), named(c).alias("f"), seed_label(c).alias("label"))))
-    if forest:
-        score = F.expr(f"transform(_scored, x -> ({forest.sql('x.f.')}))")
-    else:
-        score = F.transform("_scored", lambda x: F.coalesce(x["label"], F.lit(0.0)))
-    found = found.withColumn("_scores", score)
-    def one(p: Column, i: Column) -> Column:
-        secret = F.get(F.col("_scored"), i)["ok"] & (F.get(F.col("_scores"), i) >= keep_from)
-        return F.concat(p["gap"], F.when(secret, F.lit(mark)).otherwise(p["run"]))
-    clean = F.array_join(F.transform("_pieces", one), "")
-    return found.withColumn(text, F.when(F.col("_pieces").isNull(), F.col(text)).otherwise(clean)).select(*columns)
+    score = (lambda f, c: forest.score(lambda name: f[name])) if forest else (lambda f, c: F.coalesce(seed_label(c), F.lit(0.0)))
+
+    def cleaned(parts: Column) -> Column:
+        def one(p: Column, c: Column) -> Column:
+            secret = let(named(c), lambda f: score(f, c) >= keep_from)
+            return F.concat(p["gap"], F.when(is_candidate(c) & secret, F.lit(mark)).otherwise(p["run"]))
+
+        return F.array_join(F.zip_with(parts, candidates(parts), one), "")
 
+    whole = F.col(text)
+    return docs.withColumn(text, F.when(F.regexp_like(whole, F.lit(HAS_RUN)), let(pieces(whole), cleaned)).otherwise(whole))
