@@ -350,22 +350,22 @@ TRIMMED = f"regexp_replace(x, {q(f'^[{SP}]+|[{SP}]+$')}, '', 'g')"
 ORACLES["sentence_segments"] = f"""
 WITH corpus AS ({CORPUS}),
 cut AS (SELECT key, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM (
-  SELECT key, regexp_extract_all(substr(text, 1, 1200), '[^\\n。！？]+(?:[。！？]|$)') AS l FROM corpus)),
-kept AS (SELECT key, n, substr({TRIMMED}, 1, 240) AS x FROM cut),
-firsts AS (SELECT key, x, MIN(n) AS n FROM kept WHERE length(x) >= 6 GROUP BY key, x)
-SELECT key, {i('p - 1')} AS position, x AS segment FROM (SELECT key, x, row_number() OVER (PARTITION BY key ORDER BY n) AS p FROM firsts) WHERE p <= 8"""
+  SELECT key, regexp_extract_all(text, '[^\\n。！？]+(?:[。！？]|$)') AS l FROM corpus)),
+kept AS (SELECT key, n, {TRIMMED} AS x FROM cut),
+firsts AS (SELECT key, x, MIN(n) AS n FROM kept WHERE length(x) >= 1 GROUP BY key, x)
+SELECT key, {i('p - 1')} AS position, x AS segment FROM (SELECT key, x, row_number() OVER (PARTITION BY key ORDER BY n) AS p FROM firsts)"""
 
 NAMES = "[" + ", ".join(q(p[0]) for p in CX.PROTOTYPES) + "]"
 NEAREST = f"""
 protos AS (SELECT label, list(x ORDER BY pos) AS v FROM (
-  SELECT label, pos, AVG(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label < 6)
+  SELECT label, pos, AVG(CAST(x AS DOUBLE)) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
   GROUP BY label, pos) GROUP BY label),
 pairs AS (SELECT e.vec_id, p.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), p.v) AS sim FROM embeddings e, protos p),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS rn, LEAD(sim, 1, -1) OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS nxt FROM pairs),
-near AS (SELECT vec_id, ({NAMES})[label + 1] AS category, sim, sim - nxt AS margin, sim >= 0.3 AND sim - nxt >= 0.015 AS accepted,
+near AS (SELECT vec_id, COALESCE(({NAMES})[label + 1], 'label_' || CAST(label AS VARCHAR)) AS category, sim, sim - nxt AS margin, sim >= 0.3 AND sim - nxt >= 0.015 AS accepted,
   GREATEST(0.7, LEAST(0.95, 0.7 + (sim - 0.3) / 0.7 * 0.25)) AS confidence FROM ranked WHERE rn = 1)"""
 ORACLES["nearest_prototype"] = f"WITH {NEAREST}\nSELECT vec_id, category, round(sim, 6) AS similarity, round(margin, 6) AS margin, accepted, CAST(round(confidence, 6) AS DOUBLE) AS confidence FROM near"
-SEMANTIC_PREFIX = case({p[0]: p[3] for p in CX.PROTOTYPES}, "category")
+SEMANTIC_PREFIX = case({p[0]: p[3] for p in CX.PROTOTYPES}, "category", "upper(category)")
 ORACLES["semantic_candidates"] = f"""WITH {NEAREST}
 SELECT text_id, {i('row_number() OVER (PARTITION BY text_id ORDER BY vec_id)')} AS position, 'wasm-context-' || category || '-' || n AS id, category,
 'segment ' || CAST(vec_id AS VARCHAR) AS surface, '[' || {SEMANTIC_PREFIX} || '_' || n || ']' AS suggested_placeholder FROM (
@@ -380,7 +380,7 @@ tokens AS (SELECT key, text, j - 1 AS idx, word, length(word) AS n,
 typed AS (SELECT *, s + n AS e, (['PER', 'PER', 'LOC', 'ORG', 'PRD', 'ORG-P', NULL])[n % 9 - 1] AS raw_label,
   (n * 7 + idx * 3) % 50 / 100.0 + 0.5 AS score FROM tokens WHERE n % 9 NOT IN (1, 8)),
 valid AS (SELECT *, CASE WHEN n % 9 = 0 THEN 'EVT' ELSE raw_label END AS label FROM typed
-  WHERE score >= 0.72 AND n > 0 AND e <= 1200 AND e <= length(text)),
+  WHERE score >= 0.72 AND n > 0 AND e <= length(text)),
 lagged AS (SELECT *, LAG(label) OVER w AS pl, LAG(e) OVER w AS pe FROM valid WINDOW w AS (PARTITION BY key ORDER BY idx)),
 broken AS (SELECT *, CASE WHEN pl = label AND s >= pe AND s - pe <= 1
   AND regexp_matches(substr(text, CAST(pe AS BIGINT) + 1, CAST(s - pe AS BIGINT)), {q(f'^[{SP}]*$')}) THEN 0 ELSE 1 END AS brk FROM lagged),
@@ -395,9 +395,9 @@ entities AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run) AS posi
 ORACLES["entity_spans"] = f"""WITH {ENTITY_CTES}
 SELECT key, {i('position')} AS position, 'ner-' || category || '-' || num AS id, category, surface, {case({k: v[1] for k, v in ENTITY.items()}, 'label')} AS label,
 {case({k: v[4] for k, v in ENTITY.items()}, 'label')} AS risk_level, '[' || prefix || '_' || num || ']' AS suggested_placeholder,
-CAST(round(confidence, 6) AS DOUBLE) AS confidence, {i('s')} AS span_start, {i('s + length(surface)')} AS span_end FROM entities WHERE position <= 12"""
+CAST(round(confidence, 6) AS DOUBLE) AS confidence, {i('s')} AS span_start, {i('s + length(surface)')} AS span_end FROM entities"""
 ORACLES["candidate_distinct"] = f"""WITH {ENTITY_CTES}
-SELECT key, {i('position - 1')} AS position, 'ner-' || category || '-' || num AS id, surface FROM entities WHERE position <= 5"""
+SELECT key, {i('position - 1')} AS position, 'ner-' || category || '-' || num AS id, surface FROM entities"""
 
 # --- residual terms ---------------------------------------------------------
 
@@ -459,7 +459,7 @@ BUSINESS = _in(CX.BUSINESS_CATEGORIES)
 ORG = "('company_name', 'customer_name')"
 
 
-def merged_cte(given: str, limit: int, source: str = "corpus") -> str:
+def merged_cte(given: str, source: str = "corpus") -> str:
     """CTE ``merged``: key, list ``m`` of candidates; ``given`` lists {id, c, s, p} per key."""
     start = f"list_filter({given}, lambda g: NOT (g.c IN {BUSINESS} AND len(list_filter(COALESCE(tl, []), lambda t: t.c IN {BUSINESS} AND contains({bare('g.s')}, {bare('t.s')}))) > 0))"
     same = (
@@ -470,7 +470,7 @@ def merged_cte(given: str, limit: int, source: str = "corpus") -> str:
     return f"""
 termlists AS (SELECT key, list({{'id': '', 'c': category, 's': surface, 'p': prefix, 'ph': '', 'conf': CAST(confidence AS DOUBLE)}} ORDER BY pos) AS tl FROM terms GROUP BY key),
 merged AS (SELECT key, text, o_custkey, list_reduce(list_concat([{start}], list_transform(COALESCE(tl, []), lambda t: [t])),
-  lambda a, b: CASE WHEN len(a) >= {limit} OR {same} THEN a
+  lambda a, b: CASE WHEN {same} THEN a
     ELSE list_concat(a, [{{'id': 'local-context-' || b[1].c || '-' || {num}, 'c': b[1].c, 's': b[1].s, 'p': b[1].p, 'ph': '[' || b[1].p || '_' || {num} || ']', 'conf': b[1].conf}}]) END) AS m
   FROM {source} LEFT JOIN termlists USING (key))"""
 
@@ -481,20 +481,20 @@ NOTE_CORPUS = f"SELECT o_orderkey AS key, text, o_custkey FROM ({MEMOS})"
 G1 = "{'id': 'm1', 'c': 'legal_info', 's': substr(text, 1, 40), 'p': 'LEGAL_INFO', 'ph': '[X_1]', 'conf': CAST(0.9 AS DOUBLE)}"
 G2 = "{'id': 'm2', 'c': 'person_name', 's': '山田 花子', 'p': 'PERSON', 'ph': '[X_1]', 'conf': CAST(0.9 AS DOUBLE)}"
 G3 = "{'id': 'm3', 'c': 'company_name', 's': 'Ａ社', 'p': 'COMPANY', 'ph': '[X_1]', 'conf': CAST(0.9 AS DOUBLE)}"
-ORACLES["residual_merge"] = f"""WITH corpus AS ({NOTE_CORPUS}), {terms_cte()}, {merged_cte(f'[{G1}, {G2}, {G3}]', 6)}
+ORACLES["residual_merge"] = f"""WITH corpus AS ({NOTE_CORPUS}), {terms_cte()}, {merged_cte(f'[{G1}, {G2}, {G3}]')}
 SELECT key, {i('n - 1')} AS position, x.id AS id, x.c AS category, x.s AS surface, x.ph AS suggested_placeholder FROM (
 SELECT key, unnest(m) AS x, generate_subscripts(m, 1) AS n FROM merged)"""
 GIVEN_MODELS = (
     f"CASE o_custkey % 4 WHEN 0 THEN [{G2}, {G3}, {G1}] WHEN 1 THEN [{G2}, {G3}] WHEN 2 THEN [{G1}] ELSE {EMPTY} END"
 )
-ORACLES["context_analysis"] = f"""WITH corpus AS ({NOTE_CORPUS}), {terms_cte()}, {merged_cte(GIVEN_MODELS, 12)}
+ORACLES["context_analysis"] = f"""WITH corpus AS ({NOTE_CORPUS}), {terms_cte()}, {merged_cte(GIVEN_MODELS)}
 SELECT key AS o_orderkey, {i('len(m)')} AS n_candidates,
 CASE o_custkey % 4 WHEN 3 THEN {q(CX.ANALYSIS_FAILED)} WHEN 0 THEN CASE WHEN len(m) > 0 THEN {q(CX.FOUND_SUMMARY)} ELSE {q(CX.NONE_SUMMARY)} END
   ELSE {q(CX.PARTIAL_SUMMARY)} END AS summary,
 CASE WHEN o_custkey % 4 = 3 THEN {q(CX.ANALYSIS_FAILED)} END AS error,
 CASE o_custkey % 4 WHEN 1 THEN {q(CX.SEMANTIC_STAGE_WARNING)} WHEN 2 THEN {q(CX.ENTITY_STAGE_WARNING)} ELSE '' END AS warnings,
 COALESCE(array_to_string(list_transform(m, lambda x: x.id), ','), '') AS ids FROM merged"""
-PLAIN_MERGE = f"corpus AS ({NOTE_CORPUS}), {terms_cte()}, {merged_cte(EMPTY, 12)}"
+PLAIN_MERGE = f"corpus AS ({NOTE_CORPUS}), {terms_cte()}, {merged_cte(EMPTY)}"
 ORACLES["confidence_preselect"] = f"""WITH {PLAIN_MERGE}
 SELECT key, {i('len(list_filter(m, lambda x: x.conf >= 0.75))')} AS n_default,
 COALESCE(array_to_string(list_transform(list_filter(m, lambda x: x.conf >= 0.82), lambda x: x.id), ','), '') AS strict_ids FROM merged"""
@@ -502,7 +502,7 @@ ORACLES["result_message"] = f"WITH {PLAIN_MERGE}\nSELECT key, CASE WHEN len(m) >
 CANDIDATE_HITS = """
 cands AS (SELECT key, text, unnest(m) AS x, generate_subscripts(m, 1) AS n FROM merged),
 usable AS (SELECT key, text, n, x.c AS c, x.s AS sf, x.p AS p, string_split(text, x.s) AS parts FROM cands
-  WHERE length(x.s) BETWEEN 1 AND 80 AND NOT (x.c IN ('company_name', 'customer_name', 'project_name') AND x.s IN """ + _in(CX.GENERIC_NOUNS) + """)),
+  WHERE length(x.s) >= 1 AND NOT (x.c IN ('company_name', 'customer_name', 'project_name') AND x.s IN """ + _in(CX.GENERIC_NOUNS) + """)),
 pieces0 AS (SELECT key, n, c, sf, p, len(parts) AS m, unnest(parts) AS piece, generate_subscripts(parts, 1) AS k FROM usable),
 places AS (SELECT key, n, c, sf, p, k, SUM(length(piece)) OVER (PARTITION BY key, n ORDER BY k ROWS UNBOUNDED PRECEDING) + (k - 1) * length(sf) AS s, m FROM pieces0),
 cfound AS (SELECT key, c, sf, p, s, s + length(sf) AS e, CAST(row_number() OVER (PARTITION BY key, p ORDER BY n, k) AS VARCHAR) AS num FROM places WHERE k < m)"""
@@ -598,14 +598,14 @@ def _collapsed(expr: str) -> str:
     return f"trim(regexp_replace({expr}, {q(f'[{SP}]+')}, ' ', 'g'))"
 
 
-ORACLES["log_scrub"] = f"SELECT event_id, nullif(substr({_collapsed(_scrubbed('message'))}, 1, 260), '') AS detail FROM ({MESSAGES})"
+ORACLES["log_scrub"] = f"SELECT event_id, nullif({_collapsed(_scrubbed('message'))}, '') AS detail FROM ({MESSAGES})"
 SOURCED = f"""SELECT event_id, source_text, CASE WHEN source_text = '' THEN t ELSE
 list_reduce(list_concat([t], list_filter(toks, lambda x: contains(source_text, x))), lambda a, x: replace(a, x, '[redacted]')) END AS t FROM (
 SELECT event_id, source_text, t, list_filter(l, lambda x, j: list_position(l, x) = j) AS toks FROM (
 SELECT event_id, source_text, t, regexp_extract_all(t, '[A-Za-z0-9][A-Za-z0-9_-]{{3,}}|[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}ー々〆〤]{{2,}}') AS l FROM (
 SELECT event_id, source_text, {_scrubbed('message')} AS t FROM ({MESSAGES}))))"""
 ORACLES["log_scrub_with_source"] = f"SELECT event_id, COALESCE(nullif({_collapsed('t')}, ''), '[redacted]') AS message FROM ({SOURCED})"
-ORACLES["safe_detail"] = f"SELECT event_id, CASE WHEN source_text <> '' THEN nullif(substr({_collapsed('t')}, 1, 260), '') END AS detail FROM ({SOURCED})"
+ORACLES["safe_detail"] = f"SELECT event_id, CASE WHEN source_text <> '' THEN nullif({_collapsed('t')}, '') END AS detail FROM ({SOURCED})"
 
 
 def _triage() -> str:

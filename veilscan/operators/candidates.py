@@ -102,8 +102,8 @@ def _same_thing(candidate: Column, term: Column) -> Column:
     return comparable & (F.contains(mine, other) | F.contains(other, mine))
 
 
-def merge_residual(candidates: Column, terms: Column, max_candidates: int = C.MAX_CANDIDATES) -> Column:
-    """Model candidates first, then residual terms they do not cover, up to a limit.
+def merge_residual(candidates: Column, terms: Column, max_candidates: int | None = None) -> Column:
+    """Model candidates first, then residual terms they do not cover, up to a limit if one is given.
 
     A business-context candidate that spans a specific term gives way to it.
     """
@@ -132,7 +132,7 @@ def merge_residual(candidates: Column, terms: Column, max_candidates: int = C.MA
             F.lit(None).cast("int").alias("start"),
             F.lit(None).cast("int").alias("end"),
         )
-        full = F.size(merged) >= max_candidates
+        full = F.lit(False) if max_candidates is None else F.size(merged) >= max_candidates
         return F.when(full | F.exists(merged, lambda c: _same_thing(c, term)), merged).otherwise(
             F.concat(merged, F.array(entry))
         )
@@ -140,8 +140,9 @@ def merge_residual(candidates: Column, terms: Column, max_candidates: int = C.MA
     return F.aggregate(terms, kept.cast(CANDIDATE_TYPE), add)
 
 
-def distinct_candidates(candidates: Column, limit: int = C.MAX_CANDIDATES) -> Column:
-    """First candidate per category, span and surface, then the first ``limit`` of them."""
+def distinct_candidates(candidates: Column, limit: int | None = None) -> Column:
+    """First candidate per category, span and surface, then the first ``limit`` of them if one is given."""
+    full = (lambda kept: F.lit(False)) if limit is None else (lambda kept: F.size(kept) >= limit)
 
     def same(a: Column, b: Column) -> Column:
         return (
@@ -155,7 +156,7 @@ def distinct_candidates(candidates: Column, limit: int = C.MAX_CANDIDATES) -> Co
         candidates,
         empty(CANDIDATE_TYPE),
         lambda kept, c: F.when(
-            (F.size(kept) >= limit) | F.exists(kept, lambda k: same(k, c)), kept
+            full(kept) | F.exists(kept, lambda k: same(k, c)), kept
         ).otherwise(F.concat(kept, F.array(c))),
     )
 
@@ -196,13 +197,15 @@ def with_candidate_findings(
     out: str = "candidate_findings",
     min_confidence: float = C.MIN_CANDIDATE_CONFIDENCE,
     every: bool = True,
+    max_surface_chars: int | None = None,
 ) -> DataFrame:
-    """Candidates as findings; weak, empty, long and generic ones are left out."""
+    """Candidates as findings; weak, empty and generic ones are left out, and long ones if a length is given."""
+    short = (lambda n: n >= 1) if max_surface_chars is None else (lambda n: n.between(1, max_surface_chars))
     body = F.col(text)
     usable = F.filter(
         F.col(candidates),
         lambda c: (c["confidence"] >= min_confidence)
-        & F.char_length(c["surface"]).between(1, C.MAX_SURFACE_CHARS)
+        & short(F.char_length(c["surface"]))
         & ~(
             c["category"].isin(C.GENERIC_NOUN_CATEGORIES) & strip(c["surface"]).isin(C.GENERIC_NOUNS)
         ),
@@ -270,8 +273,8 @@ def with_context_analysis(
     entity: str,
     semantic: str,
     out: str = "analysis",
-    max_input_chars: int = C.MAX_INPUT_CHARS,
-    max_candidates: int = C.MAX_CANDIDATES,
+    max_input_chars: int | None = None,
+    max_candidates: int | None = None,
 ) -> DataFrame:
     """Merge both model outputs with residual terms; a null input is a failed model.
 
@@ -288,7 +291,9 @@ def with_context_analysis(
             "_terms",
             fixed(
                 let(
-                    F.when(failed, F.col(text)).otherwise(F.substring(F.col(text), 1, max_input_chars)),
+                    F.col(text)
+                    if max_input_chars is None
+                    else F.when(failed, F.col(text)).otherwise(F.substring(F.col(text), 1, max_input_chars)),
                     residual_terms,
                 )
             ),

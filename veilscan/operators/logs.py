@@ -9,7 +9,6 @@ from ..functions.lets import contains_any, fixed, let, strip
 from ..functions.patterns import EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, SP, SPACE, WORD
 
 REDACTED = "[redacted]"
-MAX_DETAIL_CHARS = 260
 
 # --- fixed values: what a message may not carry ----------------------------
 _FIELD = (
@@ -70,22 +69,22 @@ def _collapse(message: Column) -> Column:
     return strip(F.regexp_replace(message, f"{SP}+", " "))
 
 
-def scrub_detail(message: Column, source: Column | None = None) -> Column:
+def scrub_detail(message: Column, source: Column | None = None, max_chars: int | None = None) -> Column:
     """A message without fields, quotes, addresses, numbers and keys; null if nothing is left."""
-    text = _scrub(message) if source is None else _without_source(_scrub(message), source)
-    return F.nullif(F.substring(_collapse(text), 1, MAX_DETAIL_CHARS), F.lit(""))
+    text = _collapse(_scrub(message) if source is None else _without_source(_scrub(message), source))
+    return F.nullif(text if max_chars is None else F.substring(text, 1, max_chars), F.lit(""))
 
 
 def scrub_display(message: Column, source: Column | None = None) -> Column:
-    """The same for text that must not be empty, and without the cut."""
+    """The same for text that must not be empty."""
     text = _scrub(message) if source is None else _without_source(_scrub(message), source)
     return F.coalesce(F.nullif(_collapse(text), F.lit("")), F.lit(REDACTED))
 
 
-def safe_detail(detail: Column, source: Column) -> Column:
+def safe_detail(detail: Column, source: Column, max_chars: int | None = None) -> Column:
     """A detail is shown only where the source text is there to check it against."""
     return F.when(
-        (F.coalesce(source, F.lit("")) != "") & (F.coalesce(detail, F.lit("")) != ""), scrub_detail(detail, source)
+        (F.coalesce(source, F.lit("")) != "") & (F.coalesce(detail, F.lit("")) != ""), scrub_detail(detail, source, max_chars)
     )
 
 

@@ -12,13 +12,20 @@ from ..functions.lets import lookup
 
 
 
-def segments(text: Column, max_input_chars: int = C.MAX_INPUT_CHARS, max_segments: int = C.MAX_SEGMENTS) -> Column:
-    """Distinct sentences of the head of a text, each cut to a bounded size."""
-    head = F.substring(text, 1, max_input_chars)
+def segments(
+    text: Column,
+    max_input_chars: int | None = None,
+    max_segments: int | None = None,
+    max_segment_chars: int | None = None,
+    min_segment_chars: int = 1,
+) -> Column:
+    """Distinct sentences of a text. The limits of a small model can be given; there are none of the engine's own."""
+    head = text if max_input_chars is None else F.substring(text, 1, max_input_chars)
     found = F.regexp_extract_all(head, F.lit("(?<![^\\n。！？])[^\\n。！？]++(?:[。！？]|\\z)"), F.lit(0))
-    cut = F.transform(found, lambda s: F.substring(strip(s), 1, C.MAX_SEGMENT_CHARS))
-    long_enough = F.filter(cut, lambda s: F.char_length(s) >= C.MIN_SEGMENT_CHARS)
-    return F.slice(F.array_distinct(long_enough), 1, max_segments)
+    whole = F.transform(found, strip)
+    cut = whole if max_segment_chars is None else F.transform(whole, lambda s: F.substring(s, 1, max_segment_chars))
+    kept = F.array_distinct(F.filter(cut, lambda s: F.char_length(s) >= min_segment_chars))
+    return kept if max_segments is None else F.slice(kept, 1, max_segments)
 
 
 def prototype_texts(spark) -> DataFrame:
@@ -43,25 +50,17 @@ def nearest_prototype(
     embedding: str = "embedding",
     min_similarity: float = C.MIN_SIMILARITY,
     min_margin: float = C.MIN_SIMILARITY_MARGIN,
+    max_prototypes: int = 10_000,
 ) -> DataFrame:
-    """Closest of a handful of prototypes per vector, with margin and confidence.
+    """Closest prototype per vector, with the margin to the next category and a confidence.
 
-    ``prototypes`` has ``position``, ``category`` and ``embedding`` and at most one
-    row per known category, so all of it fits in one small array. That array comes
-    in as a scalar subquery: one value per job, no join and no pairs of rows.
+    ``prototypes`` has ``position``, ``category`` and ``embedding``, any number of rows per category. They come in as one
+    array by a scalar subquery, with no join; more than ``max_prototypes`` are refused rather than dropped.
     """
-    known = [p[0] for p in C.PROTOTYPES]
-    packed = (
-        prototypes.where(F.col("category").isin(known))
-        .groupBy("category")
-        .agg(F.min_by(F.col("embedding").cast("array<double>"), "position").alias("embedding"),
-             F.min("position").alias("position"))
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("position", "category", _unit(F.col("embedding")).alias("unit")))
-            ).alias("packed")
-        )
-    )
+    if (n := prototypes.count()) > max_prototypes:
+        raise ValueError(f"{n} prototypes; at most {max_prototypes} fit in one value")
+    unit = _unit(F.col("embedding").cast("array<double>")).alias("unit")
+    packed = prototypes.agg(F.array_sort(F.collect_list(F.struct("position", "category", unit))).alias("packed"))
     staged = vectors.withColumn("_unit", _unit(F.col(embedding).cast("array<double>"))).withColumn(
         "_prototypes", packed.scalar()
     )
@@ -86,7 +85,8 @@ def nearest_prototype(
     staged = staged.withColumn("_ranked", similarity)
     best = F.get(F.col("_ranked"), F.lit(0))
     similarity_best = F.greatest(-best["order"], F.lit(-1.0))
-    similarity_next = F.greatest(F.coalesce(-F.get(F.col("_ranked"), F.lit(1))["order"], F.lit(-1.0)), F.lit(-1.0))
+    other = F.get(F.filter("_ranked", lambda r: ~r["category"].eqNullSafe(best["category"])), F.lit(0))
+    similarity_next = F.greatest(F.coalesce(-other["order"], F.lit(-1.0)), F.lit(-1.0))
     scaled = F.lit(0.7) + ((similarity_best - min_similarity) / max(1 - min_similarity, 0.01)) * F.lit(0.25)
     return (
         staged.withColumn("category", best["category"])
@@ -106,30 +106,32 @@ def nearest_prototype(
     )
 
 
-def semantic_candidates(classified: DataFrame, keys: list[str], limit: int = C.MAX_CANDIDATES) -> DataFrame:
+def semantic_candidates(classified: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Accepted segments as candidates, numbered per category in segment order.
 
-    Needs ``position`` and ``surface`` of each segment. A text has at most
-    ``MAX_SEGMENTS`` segments, which bounds every window below.
+    Needs ``position`` and ``surface`` of each segment; windows hold the segments of one text. A category without words of
+    its own is named by itself.
     """
     table = {p[0]: p for p in C.PROTOTYPES}
     per_category = Window.partitionBy(*keys, "category").orderBy("position")
     per_text = Window.partitionBy(*keys).orderBy("position")
-    prefix = lookup({k: v[3] for k, v in table.items()}, F.col("category"))
+    own = lambda k: lookup({c: v[k] for c, v in table.items()}, F.col("category"))
+    prefix = F.coalesce(own(3), F.upper("category"))
     numbered = (
         classified.where("accepted")
         .withColumn("_n", F.row_number().over(per_category).cast("string"))
         .withColumn("_rank", F.row_number().over(per_text))
-        .where(F.col("_rank") <= limit)
     )
+    if limit is not None:
+        numbered = numbered.where(F.col("_rank") <= limit)
     return numbered.select(
         *keys,
         F.col("_rank").alias("position"),
         F.concat(F.lit("wasm-context-"), F.col("category"), F.lit("-"), F.col("_n")).alias("id"),
         "category",
         "surface",
-        lookup({k: v[1] for k, v in table.items()}, F.col("category")).alias("label"),
-        F.concat(lookup({k: v[2] for k, v in table.items()}, F.col("category")), F.lit(C.SEMANTIC_REASON_TAIL)).alias("reason"),
+        F.coalesce(own(1), F.col("category")).alias("label"),
+        F.concat(F.coalesce(own(2), F.col("category")), F.lit(C.SEMANTIC_REASON_TAIL)).alias("reason"),
         F.lit("medium").alias("risk_level"),
         F.concat(F.lit("["), prefix, F.lit("_"), F.col("_n"), F.lit("]")).alias("suggested_placeholder"),
         "confidence",
@@ -144,34 +146,34 @@ def entity_candidates(
     key: str,
     text: str = "text",
     min_score: float = C.MIN_TOKEN_SCORE,
-    limit: int = C.MAX_CANDIDATES,
-    max_input_chars: int = C.MAX_INPUT_CHARS,
+    limit: int | None = None,
+    max_input_chars: int | None = None,
 ) -> DataFrame:
     """Join neighbouring tokens of one label into entity spans.
 
-    Tokens carry ``key, index, entity, score, start, end``. Only tokens inside the
-    model's input (the first ``max_input_chars`` characters) are valid, so what one
-    text can hold in a window is bounded. Texts and tokens meet in one join on the
-    key; every later window reuses that partitioning.
+    Tokens carry ``key, index, entity, score, start, end``. A token takes from its text no more than the character before
+    it; texts come back per span. Tokens beyond the text (or beyond ``max_input_chars``) are not valid.
     """
-    head = texts.select(key, F.substring(F.col(text), 1, max_input_chars).alias("_head"))
+    whole_text = texts.select(key, F.col(text).alias("_text"))
     label = F.regexp_replace("entity", "^[BI]-", "")
     valid = (
         tokens.where((F.col("entity") != "O") & (F.col("score") >= min_score))
         .where(F.col("start").isNotNull() & F.col("end").isNotNull())
-        .where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= max_input_chars))
+        .where((F.col("start") >= 0) & (F.col("end") > F.col("start")))
         .withColumn("_label", label)
         .where(F.col("_label").isin(list(C.ENTITY_TYPES)))
-        .join(head, key)
-        .where(F.col("end") <= F.char_length("_head"))
+        .join(whole_text, key)
+        .where(F.col("end") <= F.char_length("_text"))
+        .select(key, "index", "_label", "score", "start", "end", F.substring(F.col("_text"), F.col("start"), F.lit(1)).alias("_before"))
     )
+    if max_input_chars is not None:
+        valid = valid.where(F.col("end") <= max_input_chars)
     by_text = Window.partitionBy(key).orderBy("index")
-    gap = F.substring(F.col("_head"), F.col("_prev_end") + 1, F.col("start") - F.col("_prev_end"))
     joins = (
         (F.col("_prev_label") == F.col("_label"))
         & (F.col("start") >= F.col("_prev_end"))
         & (F.col("start") - F.col("_prev_end") <= 1)
-        & F.rlike(gap, F.lit(f"^[{SPACE}]*\\z"))
+        & ((F.col("start") == F.col("_prev_end")) | F.rlike("_before", F.lit(f"^[{SPACE}]\\z")))
     )
     islands = (
         valid.withColumn("_prev_label", F.lag("_label").over(by_text))
@@ -183,10 +185,11 @@ def entity_candidates(
         F.min_by("start", "index").alias("_from"),
         F.max_by("end", "index").alias("_to"),
         F.first("_label").alias("_label"),
-        F.first("_head").alias("_head"),
         F.avg("score").alias("confidence"),
     )
-    whole = F.substring(F.col("_head"), F.col("_from") + 1, F.col("_to") - F.col("_from"))
+    surface = F.substring(F.col("_text"), F.col("_from") + 1, F.col("_to") - F.col("_from"))
+    spans = spans.join(whole_text, key).withColumn("_whole", surface).drop("_text")
+    whole = F.col("_whole")
     lead = F.char_length(F.regexp_extract(whole, f"^[{SPACE}]*", 0))
     trimmed = (
         spans.withColumn("surface", strip(whole))
@@ -202,10 +205,11 @@ def entity_candidates(
         trimmed.withColumn("_copy", F.row_number().over(same_span))
         .where(F.col("_copy") == 1)
         .withColumn("_rank", F.row_number().over(in_text))
-        .where(F.col("_rank") <= limit)
         .withColumn("_prefix", prefix)
         .withColumn("_n", F.row_number().over(Window.partitionBy(key, "_prefix").orderBy("_rank")).cast("string"))
     )
+    if limit is not None:  # numbers of a prefix run in rank order, so a cut leaves them as they are
+        ranked = ranked.where(F.col("_rank") <= limit)
     table = C.ENTITY_TYPES
     return ranked.select(
         key,
@@ -224,7 +228,7 @@ def entity_candidates(
 
 
 def gather_candidates(candidates: DataFrame, keys: list[str], out: str = "candidates") -> DataFrame:
-    """Candidate rows as one array per text; the operators above bound its size."""
+    """Candidate rows as one array per text, as large as the text has candidates."""
     fields = [
         "id", "category", "surface", "label", "reason", "risk_level", "suggested_placeholder", "confidence", "start", "end",
     ]

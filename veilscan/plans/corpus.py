@@ -116,13 +116,12 @@ def _memos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Spread texts over the cores when the input comes in too few splits.
+    """Deal texts over the number of splits in the setting ``spark.veilscan.spread``; without it they stay as read.
 
-    Scanning is bound by the processor, and a small table may sit in one row group.
-    With as many splits as cores, which is any large input, nothing is moved.
+    A small table may sit in one row group, and a scan is bound by the processor. For large inputs leave it unset.
     """
-    wanted = 2 * texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(wanted) if texts.rdd.getNumPartitions() < wanted else texts
+    splits = texts.sparkSession.conf.get("spark.veilscan.spread", None)
+    return texts.repartition(int(splits)) if splits else texts
 
 
 def memos(spark: SparkSession, folder: str) -> DataFrame:

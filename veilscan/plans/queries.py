@@ -498,14 +498,15 @@ def sentence_segments(spark, folder):
 
 def _label_prototypes(spark: SparkSession, folder: str) -> DataFrame:
     """Mean vector of each label, standing in for the embedded prototype texts."""
-    e = read_table(spark, folder, "embeddings").where("label < 6")
+    e = read_table(spark, folder, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("pos", "x"))
     means = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     # One vector per label: the group is as large as the vector is long.
     vectors = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"))
     names = F.array(*[F.lit(p[0]) for p in M.C.PROTOTYPES])
     return vectors.select(
-        F.col("label").alias("position"), F.element_at(names, F.col("label") + 1).alias("category"),
+        F.col("label").alias("position"),
+        F.coalesce(F.get(names, F.col("label").cast("int")), F.concat(F.lit("label_"), F.col("label").cast("string"))).alias("category"),
         F.transform("v", lambda p: p["x"]).alias("embedding"),
     )
 
@@ -595,7 +596,7 @@ def _given_candidates(text: Column) -> Column:
 def residual_merge(spark, folder):
     notes = _note_texts(spark, folder)
     staged = notes.withColumn("_t", fixed(C.residual_terms(F.col("text")))).withColumn("_c", _given_candidates(F.col("text")))
-    merged = staged.withColumn("m", fixed(C.merge_residual(F.col("_c"), F.col("_t"), 6)))
+    merged = staged.withColumn("m", fixed(C.merge_residual(F.col("_c"), F.col("_t"))))
     c = F.col("c")
     return merged.select("key", F.posexplode("m").alias("position", "c")).select(
         "key", "position", c["id"].alias("id"), c["category"].alias("category"), c["surface"].alias("surface"),
@@ -607,7 +608,7 @@ def residual_merge(spark, folder):
 def candidate_distinct(spark, folder):
     packed = M.gather_candidates(_entities(spark, folder), ["key"])
     doubled = packed.withColumn("twice", F.concat("candidates", "candidates"))
-    return doubled.select("key", F.posexplode(C.distinct_candidates(F.col("twice"), 5)).alias("position", "c")).select(
+    return doubled.select("key", F.posexplode(C.distinct_candidates(F.col("twice"))).alias("position", "c")).select(
         "key", "position", F.col("c")["id"].alias("id"), F.col("c")["surface"].alias("surface")
     )
 

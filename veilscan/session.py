@@ -17,6 +17,7 @@ def local_session(cores: str | int = "*", app: str = "veilscan", shuffle_partiti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.veilscan.spread", "16")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
