@@ -94,7 +94,11 @@ AND source IN (SELECT source FROM ({BATCH}) WHERE kind = 'supported_text' AND n
 
 # --- rule bundles: values spelled straight from the part table ----------------
 
-PAYLOAD = """SELECT p_partkey, p_partkey AS k, p_size AS z, p_name, p_brand,
+PAYLOAD = """SELECT p_partkey, k, z, p_name, p_brand, broken, CASE WHEN NOT broken THEN alg END AS alg, CASE WHEN NOT broken THEN keyId END AS keyId,
+CASE WHEN NOT broken THEN sv END AS sv, CASE WHEN NOT broken AND k % 60 <> 57 THEN version END AS version,
+CASE WHEN NOT broken THEN generated_at END AS generated_at, CASE WHEN NOT broken AND k % 60 <> 55 THEN expires_at END AS expires_at,
+CASE WHEN NOT broken THEN status END AS status, CASE WHEN NOT broken THEN signature END AS signature, signature_ok FROM (
+SELECT p_partkey, p_partkey AS k, p_size AS z, p_name, p_brand, p_partkey % 60 IN (58, 59) AS broken,
 CASE WHEN p_partkey % 20 = 19 THEN 'RS256' ELSE 'ECDSA-P256-SHA256' END AS alg,
 CASE WHEN p_partkey % 20 = 18 THEN '' ELSE 'key-' || CAST(p_partkey % 12 AS VARCHAR) END AS keyId,
 CASE WHEN p_partkey % 50 = 49 THEN 2 ELSE 1 END AS sv,
@@ -106,16 +110,16 @@ CASE WHEN p_partkey % 50 = 45 THEN '2020-01-01T00:00:00.000Z' WHEN p_partkey % 5
 CASE WHEN p_partkey % 50 = 43 THEN 'broken' WHEN p_partkey % 50 = 42 THEN 'paused' WHEN p_partkey % 50 < 30 THEN 'active' END AS status,
 CASE WHEN p_partkey % 20 = 17 THEN '' ELSE 'c2lnbmF0dXJl' END AS signature,
 CASE WHEN p_partkey % 20 = 16 THEN false WHEN p_partkey % 20 <> 15 THEN true END AS signature_ok
-FROM part"""
+FROM part)"""
 ORACLES["rule_bundle_source"] = f"""SELECT p_partkey, alg, keyId, version, generated_at, expires_at,
-CASE WHEN k % 50 = 41 THEN -1 ELSE 2 END AS n_rules FROM ({PAYLOAD})"""
+CASE WHEN k % 50 = 41 OR broken THEN -1 ELSE 2 END AS n_rules FROM ({PAYLOAD})"""
 RULE_ROWS = f"""SELECT p_partkey, position,
 CASE WHEN z = 3 + position THEN 'Bad Id' ELSE 'rule' || CAST(position AS VARCHAR) || '-' || CAST(k AS VARCHAR) END AS id,
-trim(p_name) AS label,
+CASE WHEN k % 60 = 56 THEN '' ELSE trim(p_name) END AS label,
 CASE WHEN z % 3 = 0 THEN 'secret' END AS category, 'check' AS message,
 round(GREATEST(0.0, LEAST(1.0, (z - 10) / 20.0)), 6) AS confidence,
-NOT (z = 3 + position OR z = 11 + position OR z = 21 + position OR z = 31 + position OR z = 33 + position OR z = 41 + position) AS valid
-FROM ({PAYLOAD}), (SELECT unnest([0, 1]) AS position) WHERE k % 50 <> 41"""
+NOT (z = 3 + position OR z = 11 + position OR z = 21 + position OR z = 31 + position OR z = 33 + position OR z = 41 + position OR k % 60 = 56) AS valid
+FROM ({PAYLOAD}), (SELECT unnest([0, 1]) AS position) WHERE k % 50 <> 41 AND NOT broken"""
 ORACLES["bundle_rules"] = f"SELECT p_partkey, position, id, label, category, message, CAST(confidence AS DOUBLE) AS confidence, valid FROM ({RULE_ROWS})"
 CHECKED = f"""SELECT b.*, try_cast(replace(replace(generated_at, 'T', ' '), 'Z', '') AS TIMESTAMP) AS gen,
 try_cast(replace(replace(expires_at, 'T', ' '), 'Z', '') AS TIMESTAMP) AS exp, r.all_valid FROM ({PAYLOAD}) b
@@ -131,11 +135,11 @@ ORACLES["bundle_valid"] = f"SELECT p_partkey, payload_valid FROM ({VALIDITY})"
 ORACLES["bundle_time"] = f"SELECT p_partkey, {TIMING} AS reason FROM ({VALIDITY})"
 KNOWN = "keyId IN (SELECT 'key-' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey < 10)"
 W = {k: q(v) for k, v in X.BUNDLE_REASON.items()}
-VERDICT = f"""CASE WHEN alg <> 'ECDSA-P256-SHA256' THEN {W['alg']} WHEN keyId = '' THEN {W['key_id']} WHEN NOT {KNOWN} THEN {W['no_key']}
+VERDICT = f"""CASE WHEN broken THEN {W['format']} WHEN alg <> 'ECDSA-P256-SHA256' THEN {W['alg']} WHEN keyId = '' THEN {W['key_id']} WHEN NOT {KNOWN} THEN {W['no_key']}
 WHEN NOT payload_valid THEN {W['payload']} WHEN signature = '' THEN {W['no_signature']} WHEN signature_ok IS NULL THEN {W['check_failed']}
 WHEN NOT signature_ok THEN {W['signature']} ELSE COALESCE({TIMING}, CASE WHEN status = 'paused' THEN {W['paused']} END) END"""
 ORACLES["bundle_verdict"] = f"SELECT p_partkey, reason, reason IS NULL AS admitted FROM (SELECT p_partkey, {VERDICT} AS reason FROM ({VALIDITY}))"
-ORACLES["bundle_keys"] = f"SELECT p_partkey, keyId, {KNOWN} AS key_known, keyId = 'key-3' AS key_expected FROM ({PAYLOAD})"
+ORACLES["bundle_keys"] = f"SELECT p_partkey, keyId, COALESCE({KNOWN}, false) AS key_known, COALESCE(keyId = 'key-3', false) AS key_expected FROM ({PAYLOAD})"
 CACHE = f"""SELECT o_custkey, o_orderkey AS k, {D.NOW_MS} - (o_orderkey * 37) % 5000000 AS cached_at,
 row_number() OVER (PARTITION BY o_custkey ORDER BY {D.NOW_MS} - (o_orderkey * 37) % 5000000 DESC, 'v' || CAST(o_orderkey AS VARCHAR) DESC) AS rn FROM orders"""
 ORACLES["rule_delivery"] = f"""

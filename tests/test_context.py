@@ -1,5 +1,6 @@
 """Context hints, candidates, entity spans, prototypes."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilscan import with_findings
@@ -100,5 +101,25 @@ def test_nearest_prototype_needs_similarity_and_margin(spark):
 
 def test_segments(spark):
     value = "最初の文です。短い。\n終わりの印がない行\n最初の文です。最後の行です"
-    got = texts(spark, [value]).select(M.segments(F.col("text")).alias("s")).first().s
+    got = texts(spark, [value]).select(M.segments(F.col("text"), 1200, 8, 240, 6).alias("s")).first().s
     assert got == ["最初の文です。", "最後の行です"]
+    whole = "".join(f"これは{i}番目の文です。" for i in range(300))
+    assert len(whole) > 1200 and texts(spark, [whole]).select(F.size(M.segments(F.col("text")))).first()[0] == 300
+
+
+def test_no_candidate_is_dropped(spark):
+    tokens = [("a", i, "PER", 0.9, 10 * i, 10 * i + 3) for i in range(200)]
+    df = spark.createDataFrame(tokens, "key string, index int, entity string, score double, start int, end int")
+    docs = spark.createDataFrame([("a", "abcdefghi " * 200)], "key string, text string")
+    found = M.entity_candidates(df, docs, "key")
+    assert found.count() == 200 and M.entity_candidates(df, docs, "key", limit=12, max_input_chars=1200).count() == 12
+    packed = M.gather_candidates(found, ["key"])
+    assert packed.select(F.size(C.distinct_candidates(F.concat("candidates", "candidates")))).first()[0] == 200
+
+
+def test_prototypes_of_any_category_and_number(spark):
+    protos = spark.createDataFrame([(0, "x", [1.0, 0.0]), (1, "x", [0.9, 0.1]), (2, "y", [0.0, 1.0])], "position int, category string, embedding array<double>")
+    row = M.nearest_prototype(spark.createDataFrame([([1.0, 0.05],)], "embedding array<double>"), protos).first()
+    assert row.category == "x" and row.accepted and row.margin > 0.5
+    with pytest.raises(ValueError):
+        M.nearest_prototype(spark.createDataFrame([([1.0, 0.05],)], "embedding array<double>"), protos, max_prototypes=2)

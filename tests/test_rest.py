@@ -55,6 +55,32 @@ def test_rejections(spark, tmp_path, changes, ok, part):
     assert not row.admitted and part in row.reason
 
 
+@pytest.mark.parametrize(
+    ("changes", "admitted"),
+    [({"version": 7}, False), ({"rules": [{**RULE, "label": {"a": 1}}]}, False), ({"rules": [{**RULE, "pattern": 12345}]}, False),
+     ({"rules": {"0": RULE}}, False), ({"rules": ["x"]}, False), ({"schemaVersion": "1"}, False), ({"schemaVersion": 1.5}, False),
+     ({"deliveryStatus": 1}, False), ({"expiresAt": 5}, True), ({"rules": [{**RULE, "confidence": "high", "enabled": "no", "message": 3}]}, True)],
+)
+def test_mistyped_fields_count_as_absent(spark, tmp_path, changes, admitted):
+    assert verdict(spark, tmp_path, signed(**changes)).first().admitted is admitted
+
+
+def test_unreadable_bundles_have_the_format_reason(spark, tmp_path):
+    for n, text in enumerate(("not json", "[1,2]", '"x"')):
+        path = tmp_path / f"{n}.json"
+        path.write_text(text)
+        df = S.read_signed_bundles(spark, str(path)).withColumn("signature_ok", F.lit(True))
+        keys = spark.createDataFrame([("k1",)], "key_id string")
+        row = B.with_verdict(B.with_known_key(B.with_clean_payload(df), keys), NOW).first()
+        assert row.reason == B.X.BUNDLE_REASON["format"] and not row.admitted
+
+
+def test_only_one_bundle_becomes_rules(spark, tmp_path):
+    admitted = verdict(spark, tmp_path, signed())
+    with pytest.raises(ValueError):
+        B.rules_of_bundle(spark, admitted.unionAll(admitted))
+
+
 def test_java_patterns():
     assert B.java_pattern("a", "v") is None
     assert B.java_pattern("\\p{Script=Han}+", "u") == "\\p{IsHan}+"
@@ -147,6 +173,7 @@ def test_queries_agree_with_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    import __spark_entry__ as entry
+    from oracles.queries import ORACLES
+    from veilscan.plans.queries import QUERIES
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)

@@ -6,6 +6,7 @@ import datetime as dt
 import re
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,10 @@ def with_verdict(
     """
     at = now if isinstance(now, Column) else F.lit(now)
     why = X.BUNDLE_REASON
+    formed = F.col("well_formed") if "well_formed" in bundles.columns else F.lit(True)
     reason = (
-        F.when(F.col("alg").isNull() | (F.col("alg") != X.BUNDLE_SIGNATURE_ALG), why["alg"])
+        F.when(~F.coalesce(formed, F.lit(False)), why["format"])
+        .when(F.col("alg").isNull() | (F.col("alg") != X.BUNDLE_SIGNATURE_ALG), why["alg"])
         .when(~F.col("key_expected"), why["key_id"])
         .when(~F.col("key_known"), why["no_key"])
         .when(~F.col("payload_valid"), why["payload"])
@@ -250,7 +253,7 @@ def compiles(spark, pattern: str) -> bool:
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
         return True
-    except Py4JJavaError:
+    except (IllegalArgumentException, Py4JJavaError):
         return False
 
 

@@ -149,8 +149,18 @@ def bundles(spark: SparkSession, folder: str) -> DataFrame:
         payload.alias("payload"),
         F.when(key % 20 == 17, "").otherwise("c2lnbmF0dXJl").alias("signature"),
     )
+    written = F.to_json(signed)
+    # Some bundles are no JSON object, and some hold fields of a wrong type.
+    written = (
+        F.when(key % 60 == 59, F.concat(F.lit("not json "), F.col("p_name")))
+        .when(key % 60 == 58, F.concat(F.lit("["), written, F.lit("]")))
+        .when(key % 60 == 57, F.regexp_replace(written, '"version":"[^"]*"', '"version":7'))
+        .when(key % 60 == 56, F.regexp_replace(written, '"label":"[^"]*"', '"label":{"text":"x"}'))
+        .when(key % 60 == 55, F.regexp_replace(written, '"expiresAt":"[^"]*"', '"expiresAt":5'))
+        .otherwise(written)
+    )
     return part.select(
-        "p_partkey", parse_signed_bundles(F.to_json(signed)).alias("b"),
+        "p_partkey", parse_signed_bundles(written).alias("b"),
         F.when(key % 20 == 16, F.lit(False)).when(key % 20 != 15, F.lit(True)).alias("signature_ok"),
     ).select("p_partkey", "b.*", "signature_ok")
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TEXT_EXTENSIONS
+from ..functions.lets import let
 from ..operators.files import file_kind, safe_name
 from ..operators.scan import resolve_mode, with_findings, with_rewritten
-from .schemas import FIXTURE_SCHEMA, PAYLOAD_TYPE, SIGNED_BUNDLE_SCHEMA
+from .schemas import FIXTURE_SCHEMA
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,20 +42,68 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FIXTURE_SCHEMA).json(path, multiLine=True)
 
 
+def _file_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True)
+
+
 def read_signed_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SIGNED_BUNDLE_SCHEMA).json(path, multiLine=True)
+    return _file_texts(spark, path).select(parse_signed_bundles(F.col("value")).alias("b")).select("b.*")
 
 
 def read_bundle_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Unsigned payload files, one ``payload`` struct per file."""
-    fields = PAYLOAD_TYPE.removeprefix("struct<").removesuffix(">")
-    flat = spark.read.schema(fields).json(path, multiLine=True)
-    return flat.select(F.struct(*flat.columns).alias("payload"))
+    return _file_texts(spark, path).select(let(F.try_parse_json("value"), lambda v: _payload(v, "$")).alias("payload"))
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit(""))
+
+
+def _typed(value: Column, path: str, kinds: str, out: str) -> Column:
+    """A field of a variant if its JSON type fits, else null: a number is no text and a text no number."""
+    return F.when(F.rlike(_kind(F.try_variant_get(value, path, "variant")), F.lit(kinds)), F.try_variant_get(value, path, out))
+
+
+_TEXT, _NUMBER, _FLAG = "^STRING$", "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "^BOOLEAN$"
+
+
+def _rule(value: Column) -> Column:
+    text = lambda name: _typed(value, f"$.{name}", _TEXT, "string").alias(name)
+    return F.struct(
+        *(text(n) for n in ("id", "label", "riskLevel", "category", "placeholderPrefix", "pattern", "flags", "message")),
+        _typed(value, "$.confidence", _NUMBER, "double").alias("confidence"), _typed(value, "$.enabled", _FLAG, "boolean").alias("enabled"),
+    )
+
+
+def _payload(value: Column, at: str) -> Column:
+    text = lambda name: _typed(value, f"{at}.{name}", _TEXT, "string").alias(name)
+    version = _typed(value, f"{at}.schemaVersion", _NUMBER, "double")
+    # A delivery status of another type is no valid status; JSON null counts as absent.
+    status = F.try_variant_get(value, f"{at}.deliveryStatus", "variant")
+    status = F.when(F.rlike(_kind(status), F.lit(_TEXT)), F.try_variant_get(value, f"{at}.deliveryStatus", "string")).when(
+        ~_kind(status).isin("", "VOID"), F.lit("")
+    )
+    return F.struct(
+        F.when(version == F.floor(version), version.cast("int")).alias("schemaVersion"), text("version"), text("generatedAt"), text("expiresAt"),
+        status.alias("deliveryStatus"), text("minExtensionVersion"),
+        F.transform(F.try_variant_get(value, f"{at}.rules", "array<variant>"), _rule).alias("rules"),
+    )
 
 
 def parse_signed_bundles(json: Column) -> Column:
-    """A bundle out of a JSON string column."""
-    return F.from_json(json, SIGNED_BUNDLE_SCHEMA)
+    """A bundle out of a JSON string column, types checked: a field of the wrong type is null, as if it were absent.
+
+    ``well_formed`` tells whether the text is a JSON object at all.
+    """
+
+    def bundle(value: Column) -> Column:
+        text = lambda name: _typed(value, f"$.{name}", _TEXT, "string").alias(name)
+        formed = F.startswith(_kind(value), F.lit("OBJECT"))
+        return F.struct(
+            text("alg"), text("keyId"), F.when(formed, _payload(value, "$.payload")).alias("payload"), text("signature"), formed.alias("well_formed")
+        )
+
+    return let(F.try_parse_json(json), bundle)
 
 
 def safe_files(files: DataFrame, mode: str = "mask") -> DataFrame:

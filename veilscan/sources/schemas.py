@@ -8,12 +8,3 @@ FIXTURE_SCHEMA = (
     "generalizedIncludes: array<string>, generalizedExcludes: array<string>,"
     "maskedIncludes: array<string>, maskedExcludes: array<string>>"
 )
-RULE_TYPE = (
-    "struct<id:string,label:string,riskLevel:string,category:string,placeholderPrefix:string,pattern:string,"
-    "flags:string,message:string,confidence:double,enabled:boolean>"
-)
-PAYLOAD_TYPE = (
-    "struct<schemaVersion:int,version:string,generatedAt:string,expiresAt:string,deliveryStatus:string,"
-    f"minExtensionVersion:string,rules:array<{RULE_TYPE}>>"
-)
-SIGNED_BUNDLE_SCHEMA = f"alg string, keyId string, payload {PAYLOAD_TYPE}, signature string"
