@@ -1,6 +1,7 @@
 """Golden examples of the scan, and a brute-force check of spans and rewriting."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,41 @@ def test_score_alone_can_require_sanitizing(spark):
 def test_rewrite_with_no_findings_is_identity(spark):
     df = texts(spark, ["plain"]).withColumn("none", F.array().cast(with_findings(texts(spark, ["x"]), "text").schema["findings"].dataType))
     assert transform_text(df, "text", "none", "generalize").first().rewritten == "plain"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_filters_on_the_input_pass_a_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (with_findings(docs, "text"), scan(docs, "text")):
+        assert "EqualTo(source,src1), LessThan(doc_id,10)" in plan_of(df.where("source = 'src1' AND doc_id < 10"))
+
+
+def test_a_filter_on_findings_does_not_copy_the_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = plan_of(with_findings(docs, "text").where(F.size("findings") > 0).select("doc_id", F.explode("findings")))
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.count("(?:AKIA|ASIA)") == 1
+
+
+HOSTILE = {
+    "email": "a." * 500_000, "jwt": "a-" * 500_000 + ".b", "internal_url": "dev " + "a-" * 500_000, "database_url": "mysql://a:" * 100_000 + " @",
+    "private_key": "-----BEGIN " + "ABC " * 250_000, "env_secret": "SECRET" * 160_000 + " =",
+}
+
+
+@pytest.mark.parametrize("rule", HOSTILE)
+def test_hostile_megabytes_are_scanned_in_seconds(spark, rule):
+    df = spark.createDataFrame([(HOSTILE[rule],)], "text string").cache()
+    df.count()
+    begin = time.time()
+    with_findings(df, "text", select_rules(enabled_ids=[rule])).select(F.size("findings")).collect()
+    assert time.time() - begin < 20
+
+
+def test_many_key_openings_without_end(spark):
+    df = spark.createDataFrame([("-----BEGIN PRIVATE KEY-----" * 30_000,), ("x -----BEGIN RSA PRIVATE KEY-----\na\n-----END RSA PRIVATE KEY----- y",)], "text string")
+    rows = with_findings(df, "text", select_rules(enabled_ids=["private_key"])).select(F.transform("findings", lambda f: f["start"])).collect()
+    assert [r[0] for r in rows] == [[], [2]]

@@ -41,14 +41,13 @@ def lookup(table: dict, key: Column) -> Column:
 
 
 def fixed(value: Column) -> Column:
-    """A column the optimizer must compute where it stands.
+    """A column the optimizer must compute where it stands; for the top of a projection, once in each.
 
-    Filters on a costly column would otherwise be pushed below it with the whole
-    expression copied into them, and explode adds such a filter by itself. The
-    condition is always true (a random number is never negative), so the value does
-    not depend on it, but the optimizer takes the column as not to be copied.
+    Filters on a costly column would otherwise be pushed below it with the whole expression copied into them, and explode
+    adds such a filter by itself. As the only element of an exploded array the value comes out of a generator: filters on
+    it stay above, and filters on the input's columns still pass through to the source. The outer form adds no filter.
     """
-    return F.when(F.rand(0) + F.lit(1.0) > 0, value)
+    return F.explode_outer(F.array(value))
 
 
 def strip(text: Column) -> Column:
