@@ -272,9 +272,10 @@ SELECT p.key, COALESCE(req, '') AS required_ids, COALESCE(opt, '') AS optional_i
 SELECT key, string_agg(id, ',' ORDER BY s) FILTER (required) AS req, string_agg(id, ',' ORDER BY s) FILTER (NOT required) AS opt FROM split GROUP BY key) x ON x.key = p.key""")
 ORACLES["category_counts"] = judged(f"SELECT key, category, {i('COUNT(*)')} AS n FROM found GROUP BY key, category")
 ORACLES["paste_verdict"] = judged("SELECT key, action, action <> 'sanitize_required' AS raw_paste_allowed FROM policy")
-ORACLES["send_review"] = judged(f"""SELECT c.conv_id, c.turn, c.role, p.n AS n_findings, p.action FROM conversations c
-JOIN policy p ON p.key = CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.turn AS VARCHAR) WHERE p.n > 0 AND p.action <> 'allow'""",
-    "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS key, text FROM conversations")
+MESSAGES_SENT = f"""SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS key, conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
+UNION ALL SELECT 'memo:' || CAST(o_orderkey AS VARCHAR), o_custkey, o_orderkey, 'user', text FROM ({MEMOS})"""
+ORACLES["send_review"] = judged(f"""SELECT c.conv_id, c.turn, c.role, p.n AS n_findings, p.action FROM ({MESSAGES_SENT}) c
+JOIN policy p ON p.key = c.key WHERE p.n > 0 AND p.action <> 'allow'""", f"SELECT key, text FROM ({MESSAGES_SENT})")
 
 # --- context ----------------------------------------------------------------
 
@@ -555,7 +556,8 @@ FROM corpus c LEFT JOIN found f ON f.key = c.key GROUP BY c.key""")
 ORACLES["findings_by_rule"] = found(f"SELECT key, rule_id, {i('COUNT(*)')} AS n FROM found GROUP BY key, rule_id")
 ORACLES["highest_risk"] = found(f"SELECT c.key, {TOP_RISK} AS highest_risk FROM corpus c LEFT JOIN found f ON f.key = c.key GROUP BY c.key")
 ORACLES["category_groups"] = judged(f""", {SPLIT}
-SELECT key, category, {case(X.CATEGORY_GROUP_LABEL, 'category')} AS label, required, {i('COUNT(*)')} AS n_findings,
+SELECT key, {i(f"row_number() OVER (PARTITION BY key ORDER BY required DESC, MAX({case(X.RISK_RANK, 'risk_level')}) DESC, {case(X.CATEGORY_GROUP_LABEL, 'category')}, category)")} AS position,
+category, {case(X.CATEGORY_GROUP_LABEL, 'category')} AS label, required, {i('COUNT(*)')} AS n_findings,
 {TOP_RISK} AS risk_level, string_agg(id, ',' ORDER BY s) AS finding_ids FROM split GROUP BY key, category, required""")
 ORACLES["label_counts"] = found("SELECT label, COUNT(*) AS n FROM found GROUP BY label")
 STATUS = "CASE WHEN total = 0 THEN 'empty' WHEN action = 'sanitize_required' THEN 'sanitize' WHEN action = 'confirm' THEN 'confirm' ELSE 'low' END"

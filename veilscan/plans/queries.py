@@ -212,9 +212,10 @@ def category_lookup(spark, folder):
 
 @query("selection_by_id")
 def selection_by_id(spark, folder):
-    found = R.exploded(_found(spark, folder), ["key"]).select("key", "id", "rule_id", "text")
-    chosen = found.where(F.char_length("text") >= 12).select("key", "id")
-    return found.join(chosen, ["key", "id"], "left_semi").select("key", "id", "rule_id")
+    """Findings of at least twelve characters, selected by their ids within each text: one scan, no join."""
+    ids = F.transform(F.filter("findings", lambda f: F.char_length(f["text"]) >= 12), lambda f: f["id"])
+    chosen = _found(spark, folder).withColumn("ids", fixed(ids)).withColumn("chosen", fixed(P.select_findings(F.col("findings"), F.col("ids"))))
+    return chosen.select("key", F.explode("chosen").alias("f")).select("key", F.col("f")["id"].alias("id"), F.col("f")["rule_id"].alias("rule_id"))
 
 
 @query("confidence_preselect")
@@ -444,8 +445,12 @@ def paste_route(spark, folder):
 
 @query("send_review")
 def send_review(spark, folder):
-    turns = read_table(spark, folder, "conversations")
-    judged = P.with_policy(S.with_findings(turns, "text"))
+    """Messages about to be sent: chat turns, and each order's memo as a message of its customer."""
+    turns = read_table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    notes = memos(spark, folder).select(
+        F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").cast("long").alias("turn"), F.lit("user").alias("role"), "text"
+    )
+    judged = P.with_policy(S.with_findings(turns.unionByName(notes), "text"))
     return judged.where(P.needs_send_review(F.col("findings"), F.col("policy"))).select(
         "conv_id", "turn", "role", F.size("findings").alias("n_findings"), F.col("policy")["action"].alias("action")
     )
@@ -657,7 +662,7 @@ def highest_risk(spark, folder):
 def category_groups(spark, folder):
     groups = P.category_groups(_judged(spark, folder), ["key"])
     return groups.select(
-        "key", "category", "label", "required", "n_findings", "risk_level", F.array_join("finding_ids", ",").alias("finding_ids")
+        "key", "position", "category", "label", "required", "n_findings", "risk_level", F.array_join("finding_ids", ",").alias("finding_ids")
     )
 
 
