@@ -253,18 +253,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links but the roots themselves; the root is the least node."""
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    seen = None
-    while True:
+
+    def stars(links: DataFrame) -> bool:
+        """Whether each node has one root and no root is a node: then there is one star per component, around its least node."""
+        twofold = links.groupBy("u").count().where("count > 1").select("u")
+        return twofold.unionByName(links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")).isEmpty()
+
+    while not stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
-        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if found == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = found
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _as_links(roots: DataFrame) -> DataFrame:
