@@ -39,6 +39,7 @@ from .common import as_bytes, chunks, ship, stored, table_of
 SHINGLE, HASHES, BITS, ROWS, BANDS = 5, 128, 4, 4, 28
 THRESHOLD, MARGIN = (75, 100), 0.2
 BLOCK = 1024
+TOGETHER = 1 << 20  # text bytes hashed at a time
 NIBBLES = 0x1111111111111111
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -120,7 +121,7 @@ def _lists(rows: np.ndarray, width: int) -> pa.Array:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=TOGETHER):
         texts = [t or b"" for t in batch.column("text").to_pylist()]
         sets = shingle_sets(texts)
         full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
@@ -163,7 +164,7 @@ LINKED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text_b"):
+    for batch in chunks(batches, "text_b", TOGETHER):
         a, b, left = (batch.column(c).to_pylist() for c in ("a", "b", "text_a"))
         unlike = list(dict.fromkeys(a))
         sets = dict(zip(unlike, shingle_sets([left[a.index(x)] for x in unlike]), strict=True))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from .common import as_bytes, chunks, ship, stored, table_of
 
 WINDOW = 8
+TOGETHER = 1 << 20  # text bytes counted at a time; the arrays take some fifty times that
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_odd", "n_same", "n_distinct",
 ]
@@ -110,7 +111,7 @@ def statistics(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=TOGETHER):
         yield table_of(SCHEMA, batch.column("doc_id"), *statistics([t or b"" for t in batch.column("text").to_pylist()]))
 
 
@@ -217,7 +218,7 @@ def judged(docs: DataFrame, keep_from: float = 0.5, min_words: int = 20, most_re
 def _annotate(names: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks([batch], text):
+            for part in chunks([batch], text, TOGETHER):
                 counts = statistics([t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in counts)], names=[*part.schema.names, *names])
 
