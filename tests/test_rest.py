@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilscan import with_findings, with_policy
+from veilscan.functions.rules import TextRule
 from veilscan.operators import bundles as B
 from veilscan.operators import evaluation as E
 from veilscan.operators import files as FL
@@ -163,6 +165,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {tuple(r) for r in review_columns(turns, "text").collect()}
 
 
+def test_stream_reloads_rules_for_every_batch(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for n in range(2):
+        spark.createDataFrame([(n, "key AAA-1 and BBB-1")], "id int, text string").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    stream = spark.readStream.schema("id int, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    versions = iter(["AAA", "BBB"])
+
+    def load_rules():
+        name = next(versions)
+        return [TextRule(id=f"remote:{name}", label=name, risk_level="high", prefix=name, message="m", confidence=0.9, category="secret",
+                         pattern=f"{name}-[0-9]", id_source="remote")]
+
+    start_scan(stream, "text", str(tmp_path / "out"), str(tmp_path / "state"), load_rules).awaitTermination()
+    got = {r.id: r.safe_text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: "key [AAA_1] and BBB-1", 1: "key AAA-1 and [BBB_1]"}
+
+
 @pytest.mark.parametrize("name", ["detect_phone", "mask_text", "policy_split", "context_windows", "rule_delivery", "entity_spans"])
 def test_queries_agree_with_sql(spark, name):
     import __spark_entry__ as entry

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..operators import reports as R
 from ..operators import scan as S
 from ..operators import settings as ST
 from ..session import work_folder
-from ..sources.readers import read_table, read_text_files, safe_files
+from ..sources.readers import parse_signed_bundles, read_table, read_text_files, safe_files
 from ..streaming.messages import start_scan
 from . import derived as D
 from .corpus import corpus, memos
@@ -83,10 +84,10 @@ def file_preflight(spark, folder):
 
 @query("text_file_source")
 def text_file_source(spark, folder):
-    """Chat turns written as text files, one line each, and read back as whole files."""
+    """Chat turns written as text files of at most 1,000 lines, and read back as whole files."""
     target = work_folder(spark, "turns")
     line = F.concat_ws("\t", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.regexp_replace("text", "[\\r\\n]+", " "))
-    read_table(spark, folder, "conversations").select(line.alias("value")).write.option("compression", "none").text(target)
+    read_table(spark, folder, "conversations").select(line.alias("value")).write.option("compression", "none").option("maxRecordsPerFile", 1000).text(target)
     lines = read_text_files(spark, target).select(F.explode(F.split("text", "\\n")).alias("line")).where("line <> ''")
     parts = F.split("line", "\\t", 3)
     return lines.select(
@@ -259,15 +260,22 @@ DELIVERED = [
 ]
 
 
-@query("bundle_rule_detection")
-def bundle_rule_detection(spark, folder):
+def _delivered(spark: SparkSession, folder: str) -> DataFrame:
+    """A bundle of these rules as it arrives: JSON text, checked and judged like any other."""
     rules = [
-        TextRule(
-            id=f"remote:{i}", label=i, risk_level="high", prefix=prefix, message=i, confidence=0.9, category="secret",
-            pattern=B.java_pattern(pattern, flags), id_source="remote",
-        )
+        {"id": i, "label": i, "riskLevel": "high", "category": "secret", "placeholderPrefix": prefix, "pattern": pattern, "flags": flags, "message": i}
         for i, prefix, pattern, flags in DELIVERED
     ]
+    payload = {"schemaVersion": 1, "version": "v1", "generatedAt": "2026-07-29T00:00:00.000Z", "expiresAt": "2099-12-31T00:00:00.000Z", "rules": rules}
+    signed = {"alg": "ECDSA-P256-SHA256", "keyId": "key-3", "payload": payload, "signature": "c2lnbmF0dXJl"}
+    row = spark.createDataFrame([(json.dumps(signed),)], "value string").select(parse_signed_bundles(F.col("value")).alias("b"), F.lit(True).alias("signature_ok"))
+    keyed = B.with_known_key(B.with_clean_payload(row.select("b.*", "signature_ok")), D.signing_keys(spark, folder))
+    return B.with_verdict(keyed, _now())
+
+
+@query("bundle_rule_detection")
+def bundle_rule_detection(spark, folder):
+    rules = B.rules_of_bundle(spark, _delivered(spark, folder))
     hits = S.raw_findings(corpus(spark, folder), "text", rules)
     return _spans(hits, ["key"], "hits").select("key", "rule_id", "span_start", "span_end", "surface")
 
