@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks, ship, stored, table_of
 
 LENGTH, SPAN, BLOCK = 200, 120, 24
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 SHARD = 4096
 TOGETHER = 16_384
 BASE = np.uint64(0x9E3779B97F4A7C15)
