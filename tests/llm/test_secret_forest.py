@@ -74,3 +74,18 @@ def test_empty_table_and_plan_without_python(spark):
     assert found.count() == 0 and forest is None and words == []
     plan = redact(docs, None, frequent_words(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_surroundings_are_those_of_the_text(spark):
+    value = "a1B2c3D4e5F6g7H8i9J0k1L2"
+    texts = [f"x AWS_SECRET_ACCESS_KEY={value} y", f'DATABASE_PASSWORD_MAIN="{value}"', f'aws_secret_access_key = "{value}"', f"aws_secret_access_key={value[:9]}/q/{value[9:]}", f"see {value}== and {value}"]
+    docs = docs_of(spark, texts)
+    rows = candidate_rows(docs, []).orderBy("doc_id", "start").collect()
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert (r["before"], r["after"]) == (t[max(r["start"] - 40, 0) : r["start"]], t[r["end"] : r["end"] + 20])
+    named = [r for r in rows if r["doc_id"] < 4]
+    assert [r["run"] for r in named] == [value, value, value, f"{value[:9]}/q/{value[9:]}"]
+    assert all(r["label"] == 1 and r["key_before"] == r["key_near"] == r["assigned"] == 1 for r in named)
+    assert [r["quoted"] for r in named] == [0, 1, 1, 0]
+    assert [r["run"] for r in rows if r["doc_id"] == 4] == [f"{value}==", value]

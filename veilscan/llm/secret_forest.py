@@ -34,7 +34,11 @@ BLOCK = 256
 
 RUN = "[A-Za-z0-9+/_-]"
 HAS_RUN = f"{RUN}{{{MIN_LENGTH},}}+"
-PIECE = f"(?s)(.*?)((?<!{RUN}){RUN}{{{MIN_LENGTH},}}+={{0,2}}|\\z)"
+#: ``=`` closes a run only where no value follows.
+CLOSED = f"(?:={{1,2}}(?![\"']?[=A-Za-z0-9+/_$-]))?+"
+PIECE = f"(?s)(.*?)((?<!{RUN}){RUN}{{{MIN_LENGTH},}}+{CLOSED}|\\z)"
+#: Characters before and after a run that its features see; a piece has ``SHORTEST`` characters at least.
+BEFORE, AFTER, SHORTEST = 40, 20, 5
 KEY_WORDS = "key|token|secret|passw|pwd|auth|bearer|credential|akia|asia"
 PLAIN_WORDS = "sha1|sha256|md5|hash|digest|commit|checksum|uuid|guid|order|invoice|phone|card|isbn|page"
 PATH_WORDS = "test|example|sample|fixture|mock|docs?"
@@ -63,20 +67,27 @@ def running(lengths: Column) -> Column:
 
 
 def candidates(parts: Column) -> Column:
-    """Start, end, run, text before and after of each piece. ``parts`` must be bound (by ``let``): it is used many times."""
+    """Start, end, run, text before and after of each piece. ``parts`` must be bound (by ``let``): it is used many times.
+
+    The text around a run is joined from the ends of as many pieces as it can span.
+    """
+    ends = lambda cut, n: F.transform(parts, lambda p: F.concat(cut(p["gap"], F.lit(n)), cut(p["run"], F.lit(n))))
+    n_before, n_after = -(-BEFORE // SHORTEST), -(-AFTER // SHORTEST)
     lengths = F.transform(parts, lambda p: (F.char_length(p["gap"]) + F.char_length(p["run"])).cast("long"))
 
-    def with_starts(starts: Column) -> Column:
+    def with_starts(starts: Column, tails: Column, heads: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
             start = F.get(starts, i) + F.char_length(p["gap"])
+            earlier = F.array_join(F.slice(tails, F.greatest(i - n_before, F.lit(0)) + 1, F.least(i, F.lit(n_before))), "")
+            later = F.array_join(F.slice(heads, i + 2, F.lit(n_after)), "")
             return F.struct(
                 start.alias("start"), (start + F.char_length(p["run"])).alias("end"), p["run"].alias("run"),
-                F.right(p["gap"], F.lit(40)).alias("before"), F.left(F.coalesce(F.get(parts, i + 1)["gap"], F.lit("")), F.lit(20)).alias("after"),
+                F.right(F.concat(earlier, F.right(p["gap"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before"), F.left(later, F.lit(AFTER)).alias("after"),
             )
 
         return F.transform(parts, one)
 
-    return let(running(lengths), with_starts)
+    return let(running(lengths), lambda starts: let(ends(F.right, BEFORE), lambda tails: let(ends(F.left, AFTER), lambda heads: with_starts(starts, tails, heads))))
 
 
 def is_candidate(c: Column) -> Column:
