@@ -89,3 +89,15 @@ def test_surroundings_are_those_of_the_text(spark):
     assert all(r["label"] == 1 and r["key_before"] == r["key_near"] == r["assigned"] == 1 for r in named)
     assert [r["quoted"] for r in named] == [0, 1, 1, 0]
     assert [r["run"] for r in rows if r["doc_id"] == 4] == [f"{value}==", value]
+
+
+def test_hot_vectors_and_rare_labels_leave_both_classes(spark):
+    rows = spark.range(6000).select(F.lit(1.0).alias("a"), F.lit(0.5).alias("b"), F.lit(0.0).alias("label"))
+    others = spark.range(3000).select((F.col("id") / 3000).alias("a"), F.lit(0.25).alias("b"), F.lit(0.0).alias("label"))
+    rare = spark.createDataFrame([(0.3, 0.7, 1.0), (0.4, 0.8, 1.0), (0.5, 0.9, 1.0)], "a double, b double, label double")
+    everything = rows.unionByName(others).unionByName(rare)
+    forest = train_forest(everything, ["a", "b"], sample_rows=100)
+    assert forest is not None
+    wrong = everything.withColumn("score", forest.score(F.col)).where((F.col("score") >= 0.5) != (F.col("label") == 1))
+    assert wrong.count() == 0
+    assert train_forest(rows.unionByName(others), ["a", "b"], sample_rows=100) is None

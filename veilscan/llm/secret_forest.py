@@ -7,8 +7,9 @@ then spelled out as one column expression (a CASE per tree), so that scoring is
 findings and inside an array column alike. Everything is DataFrame or SQL operations.
 
 Labels: ``seed_label`` marks findings whose shape or surroundings leave no doubt; others are unlabelled and judged by the
-forest alone. Callers with reviewed findings pass their own column. Training takes at most ``SAMPLE_ROWS`` labelled
-findings (those of least hash); the dictionary is counted over all texts.
+forest alone. Callers with reviewed findings pass their own column. Training counts
+equal labelled findings as one with a weight and takes at most ``SAMPLE_ROWS`` / 2 distinct ones of each label (drawn by
+hash, frequent ones first); the dictionary is counted over all texts.
 
 Defined results: null or empty text has no findings and stays as it is. Repeated rows are scanned alike. If the labels
 lack one class (as with empty tables), no forest can be trained and the labels themselves decide. Other columns stay
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,16 +167,29 @@ def _tree(lines: list[str]):
 
 
 def train_forest(labelled: DataFrame, names: list[str], sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """A forest from the columns ``names`` and ``label``; None if a class is missing. At most ``sample_rows`` rows are used."""
+    """A forest from the columns ``names`` and ``label``; None only if a class is missing in all labelled rows.
+
+    ``n`` equal rows count as 1 + floor(log2(n)), and both labels weigh the same in total, so that neither a hot vector
+    nor a frequent label hides the others. At most ``sample_rows`` / 2 distinct rows of each label are used,
+    drawn by hash with chances that grow with their copies.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = labelled.where("label IS NOT NULL").select(*names, "label")
-    rows = stored(rows.orderBy(F.xxhash64(*names), "label").limit(sample_rows), "labelled")
-    if rows.agg(F.count_distinct("label")).first()[0] < 2:
+    equal = labelled.where("label IS NOT NULL").groupBy(*names, F.col("label").cast("double").alias("label"))
+    hashed = (F.pmod(F.xxhash64(*names), F.lit(1 << 31)) + 1) / (1 << 31)
+    rows = stored(equal.agg(F.count("*").alias("n")).withColumn("draw", -F.log(hashed) / F.col("n")), "labelled")
+    labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
+    if len(labels) < 2:
         return None
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, labelCol="label").fit(data)
+    least = lambda x: rows.where(F.col("label") == x).orderBy("draw", *names).limit(max(1, sample_rows // len(labels)))
+    # As rows, not as weights: each tree draws rows, and a hot vector is not to miss in many of them.
+    copies = F.explode(F.sequence(F.lit(0), F.floor(F.log2("n")).cast("int")))
+    sample = stored(reduce(DataFrame.unionByName, map(least, labels)).select(*names, "label", copies.alias("copy")), "sample")
+    total = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    share = reduce(lambda c, x: c.when(F.col("label") == x, sum(total.values()) / len(total) / total[x]), labels, F)
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(sample.withColumn("weight", share))
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=17, labelCol="label", weightCol="weight").fit(data)
     trees = re.split(r"^\s*Tree \d+.*$", model.toDebugString, flags=re.M)[1:]
     return Forest([_tree([x.strip() for x in t.splitlines() if x.strip()]) for t in trees], names)
 
