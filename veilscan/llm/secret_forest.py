@@ -1,6 +1,8 @@
 """Secret scans: candidate runs, and a random forest that removes false positives.
 
-A candidate is a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` (and closing ``=``) that holds a digit.
+A candidate is a run of at least ``MIN_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` (and closing ``=``) that holds a digit, a
+known shape, with or without a digit, or a value of any length and characters behind a key name and ``=`` or ``:`` or
+between a url's user and its host. A value in quotes is taken up to the closing quote, another one up to white space.
 Its features are columns: length and kinds of characters, transitions between kinds of characters, share covered by the
 corpus's frequent words, signs of a path, and neighbouring words. A random forest is trained on labelled findings; it is
 then spelled out as one column expression (a CASE per tree), so that scoring is a projection without a shuffle, over rows of
@@ -35,12 +37,31 @@ TREES, DEPTH = 15, 5
 BLOCK = 256
 
 RUN = "[A-Za-z0-9+/_-]"
-HAS_RUN = f"{RUN}{{{MIN_LENGTH},}}+"
 #: ``=`` closes a run only where no value follows.
 CLOSED = f"(?:={{1,2}}(?![\"']?[=A-Za-z0-9+/_$-]))?+"
-PIECE = f"(?s)(.*?)((?<!{RUN}){RUN}{{{MIN_LENGTH},}}+{CLOSED}|\\z)"
-#: Characters before and after a run that its features see; a piece has ``SHORTEST`` characters at least.
+KNOWN = (
+    "(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+"
+    "|xox[baprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)"
+)
+#: What stands before a value: a key name and = or :, perhaps a quote or a scheme; or the user of a url. At most 64 characters.
+KEY_NAME = (
+    "(?:(?<![A-Za-z])(?i:key|pass)|(?<=[a-z])Key|(?i:(?:api|access|private|secret|account|master|shared)key"
+    "|token|secret|passw(?:or[dt]|d)?|passphrase|passcode|pwd|auth(?:orization)?|bearer|credential))"
+    "(?i:s)?(?:[0-9_.-][A-Za-z0-9_.-]{0,24}|(?<=[a-z])[A-Z][A-Za-z0-9_.-]{0,24})?"
+)
+KEYED = f"{KEY_NAME}[\"']?[ \\t]{{0,4}}(?:=>|:=|==?|:)[ \\t]{{0,4}}(?:[\"']|(?i:bearer|basic|token) )?"
+USER = "://[^\\s/:@?#\"'<>]{0,60}:"
+#: A keyed value: all up to the quote that closes it, or up to white space, a closing quote or the next ``&name=``, without closing punctuation.
+QUOTED = "(?<=\")(?:[^\"\\\\\\r\\n]|\\\\[^\\r\\n])++(?=\")|(?<=')(?:[^'\\\\\\r\\n]|\\\\[^\\r\\n])++(?=')"
+BARE = "(?![=>:\"']|//|(?i:bearer|basic|token) )(?:(?![.,;:)\\]}]{1,3}(?:\\s|\\z)|&[A-Za-z_][A-Za-z0-9_.-]{0,40}=)(?:[^\\s\"']|[\"'](?=[A-Za-z0-9])))++"
+#: The first two tests are cheap and spare the third at most places.
+VALUE = f"(?<=[=:>\"' \\t])(?<=[=:>][ \\t]{{0,4}}(?:[\"']|(?i:bearer|basic|token) )?)(?<={KEYED})(?:{QUOTED}|{BARE})|(?<=:)(?<={USER})[^\\s/\"'<>]+(?=@)"
+PIECE = f"(?s)(.*?)({VALUE}|{KNOWN}|(?<!{RUN}){RUN}{{{MIN_LENGTH},}}+{CLOSED}|\\z)"
+HAS_PIECE = f"[=:]|{RUN}{{15}}"
+#: Characters before and after a run that its features see; a piece and its gap have ``SHORTEST`` characters at least.
 BEFORE, AFTER, SHORTEST = 40, 20, 5
+#: Characters before a run that decide whether it is keyed.
+CONTEXT = 64
 KEY_WORDS = "key|token|secret|passw|pwd|auth|bearer|credential|akia|asia"
 PLAIN_WORDS = "sha1|sha256|md5|hash|digest|commit|checksum|uuid|guid|order|invoice|phone|card|isbn|page"
 PATH_WORDS = "test|example|sample|fixture|mock|docs?"
@@ -50,7 +71,7 @@ def pieces(text: Column) -> Column:
     """The text as structs of a gap and the run that ends it; the last run is empty."""
     cut = lambda k: F.regexp_extract_all(text, F.lit(PIECE), F.lit(k))
     parts = F.arrays_zip(cut(1).alias("gap"), cut(2).alias("run"))
-    return F.when(F.regexp_like(text, F.lit(HAS_RUN)), parts)
+    return F.when(F.regexp_like(text, F.lit(HAS_PIECE)), parts)
 
 
 def running(lengths: Column) -> Column:
@@ -74,7 +95,7 @@ def candidates(parts: Column) -> Column:
     The text around a run is joined from the ends of as many pieces as it can span.
     """
     ends = lambda cut, n: F.transform(parts, lambda p: F.concat(cut(p["gap"], F.lit(n)), cut(p["run"], F.lit(n))))
-    n_before, n_after = -(-BEFORE // SHORTEST), -(-AFTER // SHORTEST)
+    n_before, n_after = -(-CONTEXT // SHORTEST), -(-AFTER // SHORTEST)
     lengths = F.transform(parts, lambda p: (F.char_length(p["gap"]) + F.char_length(p["run"])).cast("long"))
 
     def with_starts(starts: Column, tails: Column, heads: Column) -> Column:
@@ -82,18 +103,21 @@ def candidates(parts: Column) -> Column:
             start = F.get(starts, i) + F.char_length(p["gap"])
             earlier = F.array_join(F.slice(tails, F.greatest(i - n_before, F.lit(0)) + 1, F.least(i, F.lit(n_before))), "")
             later = F.array_join(F.slice(heads, i + 2, F.lit(n_after)), "")
-            return F.struct(
+            context = F.right(F.concat(earlier, F.right(p["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+            return let(context, lambda context: F.struct(
                 start.alias("start"), (start + F.char_length(p["run"])).alias("end"), p["run"].alias("run"),
-                F.right(F.concat(earlier, F.right(p["gap"], F.lit(BEFORE))), F.lit(BEFORE)).alias("before"), F.left(later, F.lit(AFTER)).alias("after"),
-            )
+                F.right(context, F.lit(BEFORE)).alias("before"), F.left(later, F.lit(AFTER)).alias("after"),
+                F.regexp_like(context, F.lit(f"(?:{KEYED}|{USER})\\z")).alias("keyed"),
+            ))
 
         return F.transform(parts, one)
 
-    return let(running(lengths), lambda starts: let(ends(F.right, BEFORE), lambda tails: let(ends(F.left, AFTER), lambda heads: with_starts(starts, tails, heads))))
+    return let(running(lengths), lambda starts: let(ends(F.right, CONTEXT), lambda tails: let(ends(F.left, AFTER), lambda heads: with_starts(starts, tails, heads))))
 
 
 def is_candidate(c: Column) -> Column:
-    return F.regexp_like(c["run"], F.lit("[0-9]"))
+    """Runs with a digit, known shapes and keyed values; the forest tells the false ones apart."""
+    return (F.char_length(c["run"]) > 0) & (c["keyed"] | F.regexp_like(c["run"], F.lit(f"[0-9]|{KNOWN}")))
 
 
 def features(c: Column, words: list[str], path: Column | None = None) -> dict[str, Column]:
@@ -103,7 +127,7 @@ def features(c: Column, words: list[str], path: Column | None = None) -> dict[st
     covered = (n - F.char_length(F.regexp_replace(F.lower(run), "|".join(words), ""))) / n if words else F.lit(0.0)
     return {
         "length": n,
-        "digits": share("[0-9]"), "uppers": share("[A-Z]"), "others": share("[+/_=-]"),
+        "digits": share("[0-9]"), "uppers": share("[A-Z]"), "others": share("[+/_=-]"), "symbols": share("[^A-Za-z0-9+/_=-]"),
         "kind_changes": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]"), "case_changes": share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"),
         "vowel_changes": share("(?i)(?<=[aeiou])[b-df-hj-np-tv-z]|(?<=[b-df-hj-np-tv-z])[aeiou]"), "repeats": share("(.)\\1"),
         "hex_only": F.regexp_like(run, F.lit("^[0-9a-f]+$|^[0-9A-F]+$")).cast("double"),
@@ -113,17 +137,27 @@ def features(c: Column, words: list[str], path: Column | None = None) -> dict[st
         "key_before": near(c["before"], f"({KEY_WORDS})[^ ]{{0,12}} ?[=:]? ?[\"']?$"), "key_near": near(c["before"], KEY_WORDS),
         "assigned": near(c["before"], "[=:] ?[\"']?$"), "quoted": near(c["before"], "[\"']$"),
         "plain_before": near(c["before"], f"({PLAIN_WORDS})[^ ]{{0,8}}[ =:#]*$"), "linked_after": near(c["after"], "^[.@:]"),
+        "keyed": c["keyed"].cast("double"), "known": F.regexp_like(run, F.lit(KNOWN)).cast("double"),
     }
 
 
 def seed_label(c: Column) -> Column:
-    """1 for known shapes and assigned keys, 0 for plain numbers, digests named as such and paths, else null."""
+    """1 for known shapes and assigned keys, 0 for plain numbers, digests named as such, paths and placeholders, else null.
+
+    Keyed values that are short or hold other characters count as assigned with eight characters, a letter and something
+    else; plain words are left to the forest.
+    """
     run, before = c["run"], F.lower(c["before"])
-    known = F.regexp_like(run, F.lit("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^xox[baprs]-[A-Za-z0-9-]{10,}$|^[sr]k_(live|test)_[A-Za-z0-9]{16,}$"))
-    assigned = F.regexp_like(before, F.lit(f"({KEY_WORDS})[a-z_]*[\"']? ?[=:] ?[\"']?$")) & F.regexp_like(run, F.lit("[A-Za-z]"))
+    known = F.regexp_like(run, F.lit(f"^{KNOWN}$"))
+    is_run = F.regexp_like(run, F.lit(f"^{RUN}{{{MIN_LENGTH},}}+=*$"))
+    strong = F.regexp_like(run, F.lit("^(?=.*[A-Za-z])(?=.*[^A-Za-z \\t])[^ \\t]{8,}$"))
+    assigned = F.regexp_like(before, F.lit(f"({KEY_WORDS})[a-z_]*[\"']? ?[=:] ?[\"']?$")) & F.regexp_like(run, F.lit("[A-Za-z]")) & is_run & F.regexp_like(run, F.lit("[0-9]"))
+    assigned = assigned | (c["keyed"] & ~F.contains(run, F.lit("://")) & F.when(is_run, F.regexp_like(run, F.lit("[A-Za-z].*[0-9]|[0-9].*[A-Za-z]"))).otherwise(strong))
+    empty = F.regexp_like(run, F.lit("^(?:\\$\\{.*|\\$\\(.*|\\$[A-Z_]+|\\{\\{.*|<.*>|%[A-Za-z_]+%|[*x.]+|(?i:true|false|null|none|nil|undefined))$"))
     plain = F.regexp_like(run, F.lit("^[0-9_/+-]+=*$|^(19|20)[0-9]{2}[-/][0-9]{2}[-/]")) | F.regexp_like(before, F.lit(f"({PLAIN_WORDS})[^ ]{{0,8}}[ =:#]*$"))
     path = F.regexp_like(before, F.lit("://[^ ]*$")) | (F.regexp_count(run, F.lit("/")) >= 2)
-    return F.when(known | (assigned & ~plain), 1.0).when(plain | path, 0.0)
+    user = F.regexp_like(before, F.lit(f"{USER}\\z")) & c["keyed"] & F.regexp_like(c["after"], F.lit("^@"))
+    return F.when(known | user, 1.0).when(empty, 0.0).when(assigned & ~plain, 1.0).when((plain & ~c["keyed"]) | (plain & is_run) | (path & ~c["keyed"]), 0.0)
 
 
 def frequent_words(docs: DataFrame, size: int = DICTIONARY_WORDS, text: str = "text") -> list[str]:
@@ -208,7 +242,7 @@ def secret_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     """All candidates with score and verdict; the forest and the dictionary come along for ``redact``."""
     words = frequent_words(docs, text=text)
     rows = stored(candidate_rows(docs, words, key, text, path), "candidates")
-    names = list(features(F.struct(F.lit("").alias("run"), F.lit("").alias("before"), F.lit("").alias("after")), words))
+    names = list(features(F.struct(F.lit("").alias("run"), F.lit("").alias("before"), F.lit("").alias("after"), F.lit(False).alias("keyed")), words))
     forest = train_forest(rows, names)
     score = forest.score(F.col) if forest else F.coalesce(F.col("label"), F.lit(0.0))
     return rows.withColumn("score", score).withColumn("secret", F.col("score") >= keep_from), forest, words
@@ -228,4 +262,4 @@ def redact(docs: DataFrame, forest: Forest | None, words: list[str], text: str =
         return F.array_join(F.zip_with(parts, candidates(parts), one), "")
 
     whole = F.col(text)
-    return docs.withColumn(text, F.when(F.regexp_like(whole, F.lit(HAS_RUN)), let(pieces(whole), cleaned)).otherwise(whole))
+    return docs.withColumn(text, F.when(F.regexp_like(whole, F.lit(HAS_PIECE)), let(pieces(whole), cleaned)).otherwise(whole))
