@@ -1,7 +1,7 @@
 import random
 import re
 
-from veilscan.llm.pii_bootstrap import KINDS, _luhn, base_spans, personal_data, with_digests
+from veilscan.llm.pii_bootstrap import KINDS, _luhn, base_spans, mentions, personal_data, with_digests
 
 from .helpers import ODD_TEXTS, docs_of, text
 
@@ -52,3 +52,25 @@ def test_patterns_of_seeds_find_identifiers_that_no_shape_covers(spark):
     start = unseen.index("578-555")
     assert [(s["start"], s["kind"], s["end"]) for s in found[12]] == [(start, 3, start + 12)]
     assert not any(v for k, v in found.items() if k != 12)
+
+
+def test_identifiers_written_in_groups_are_found_whole(spark):
+    seeds = [f"{text(i, 8)} please call us +1 (578) 555-{6000 + i} soon {text(i + 90, 5)}" for i in range(40)]
+    seeds += [f"{text(i, 8)} paid by card 4111 1111 1111 1111 yesterday {text(i + 40, 5)}" for i in range(1)]
+    seeds += [f"{text(i, 8)} paid by card {n} yesterday" for i, n in enumerate(("5500 0000 0000 0004", "6011 0000 0000 0004", "3530 1113 3330 0000"))]
+    grouped = ["(578) 555 6437", "030 901 820 55", "(578) 555-6437", "030 90182055", "578 - 555 - 6437"]
+    unseen = [f"{text(77 + i, 8)} please call us {n} soon after" for i, n in enumerate(grouped)]
+    unseen.append(f"{text(99, 8)} (please call us 578 555 7777), 2019 was {text(3, 4)}")
+    unseen.append(f"{text(98, 8)} paid by card 4111 1111 1111 1112 yesterday")
+    want = [*grouped, "578 555 7777", "4111 1111 1111 1112"]
+    texts = [*seeds, *unseen]
+    found = {r["doc_id"]: r["found"] for r in personal_data(docs_of(spark, texts)).collect()}
+    for i, (t, n) in enumerate(zip(unseen, want, strict=True), len(seeds)):
+        assert [(t[s["start"] : s["end"]], s["kind"]) for s in found[i]] == [(n, 2 if n.startswith("4111") else 3)]
+    assert not any(found[i] for i in range(len(seeds)))
+
+
+def test_runs_of_groups_end_with_lines_and_punctuation():
+    got = [m["instance"] for m in mentions('a 12 34, 56 78\n90 12. 34 x "5 6" 7 (8)', []) if m["whole"]]
+    assert got == ["12 34", "56 78", "90 12", "5 6", "7 (8)"]
+    mentions("1 " * 200_000 + "( " * 200_000, [])

@@ -2,8 +2,9 @@
 
 Shapes alone find the base entities: email, ip, card, phone. They are the seeds of a bootstrap:
 
-* mentions are the base entities and all other identifier-like words (with a digit or ``@``); each mention stands in
-  lexical patterns (its two words to the left; its left and right word) and is an instance (its text in lower case);
+* mentions are the base entities, all other identifier-like words (with a digit or ``@``) and the longest runs of neighbouring
+  words of a line that are made of digits, brackets, dots, slashes and hyphens (``(578) 555 6437``); a run that is found
+  takes the place of its words. Each mention stands in lexical patterns (its two words to the left; its left and right word) and is an instance (its text in lower case);
 * Spark scores the graph of patterns and instances in rounds: a pattern's score for a kind is the share of its instances
   that are believed to be of that kind, an instance's belief is the noisy-or of its patterns' scores; seeds are believed.
   A pattern counts once it has ``SUPPORT`` believed instances and a score of ``PRECISE``;
@@ -38,6 +39,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"\S+")
 EDGE = ".,;:!?\"'()[]{}<>"
+#: A word of an identifier written in groups; quotes only before the first and punctuation only behind the last.
+GROUP = re.compile(r"([\"'<{]*)([0-9()\[\]./+-]+)([,;:!?\"'>}]*)")
 
 
 def _luhn(digits: str) -> bool:
@@ -72,15 +75,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _runs(text: str, words: list[tuple[int, int, str]], free: list[bool]) -> Iterator[tuple[int, int]]:
+    """First and last word of the longest runs of at least two numeric groups."""
+    first = last = None  # the last word with a digit
+    before = 0  # end of the word before
+    for i, (start, end, _) in enumerate(words):
+        m = GROUP.fullmatch(text, start, end) if free[i] else None
+        digit = m and re.search("[0-9]", m.group(2))
+        if first is not None and (not m or m.group(1) or "\n" in text[before:start] or "\r" in text[before:start]):
+            if last > first:
+                yield first, last
+            first = None
+        if digit:
+            first, last = (i if first is None else first), i
+        if first is not None and m and (m.group(3) or (digit and m.group(2).endswith("."))):
+            if last > first:
+                yield first, last
+            first = None
+        before = end
+    if first is not None and last > first:
+        yield first, last
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without punctuation around, but with the bracket around an area code."""
+    raw = text[start:end]
+    low, high = start + len(raw) - len(raw.lstrip(EDGE)), start + len(raw.rstrip(EDGE))
+    core = text[low:high]
+    opened, closed = core.count("("), core.count(")")
+    return low - (text[start:low].endswith("(") and closed > opened), high + (text[high:end].startswith(")") and opened > closed)
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Base entities and other identifier-like words, each with its two patterns."""
+    """Base entities, other identifier-like words and runs of numeric groups, each with its two patterns."""
     if not base and not re.search("[0-9@]", text):
         return []
     words = [(m.start(), m.end(), m.group().strip(EDGE).lower()) for m in WORD.finditer(text)]
     found, k = [], 0
     spans = [(s, e, kind) for s, kind, e in base]
-    first = {}
-    for i, (start, end, word) in enumerate(words):
+    first, free = {}, []
+    for i, (start, end, _) in enumerate(words):
         while k < len(spans) and spans[k][1] <= start:
             k += 1
         j, covered = k, False
@@ -88,23 +122,33 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             covered = covered or spans[j][1] > start
             first.setdefault(spans[j], [i, i])[1] = i
             j += 1
-        if not covered and len(word) >= 4 and re.search("[0-9@]", word):
+        free.append(not covered)
+    run_of = {}
+    for i, j in _runs(text, words, free):
+        low, high = _trimmed(text, words[i][0], words[j][1])
+        found.append((low, high, -1, i, j, low, True))
+        run_of.update(dict.fromkeys(range(i, j + 1), low))
+    for i, (start, end, word) in enumerate(words):
+        if free[i] and len(word) >= 4 and re.search("[0-9@]", word):
             raw = text[start:end]
             low = start + len(raw) - len(raw.lstrip(EDGE))
-            found.append((low, low + len(word), -1, i, i))
-    found += [(s, e, kind, i, j) for (s, e, kind), (i, j) in first.items()]
+            found.append((low, low + len(word), -1, i, i, run_of.get(i, low), i not in run_of))
+    found += [(s, e, kind, i, j, s, True) for (s, e, kind), (i, j) in first.items()]
     plain = lambda i: re.sub("[0-9]", "0", words[i][2])[:40] if 0 <= i < len(words) else "^"
     return [
-        {"start": s, "end": e, "kind": kind, "instance": text[s:e].lower(), "patterns": [f"L {plain(i - 2)} {plain(i - 1)}", f"B {plain(i - 1)} {plain(j + 1)}"]}
-        for s, e, kind, i, j in found
+        {
+            "start": s, "end": e, "kind": kind, "instance": text[s:e].lower(), "run": run, "whole": whole,
+            "patterns": [f"L {plain(i - 2)} {plain(i - 1)}", f"B {plain(i - 1)} {plain(j + 1)}"],
+        }
+        for s, e, kind, i, j, run, whole in found
     ]
 
 
 SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+MENTION = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("instance", pa.string()), ("run", pa.int64()), ("whole", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("base", pa.list_(SPAN)), ("mentions", pa.list_(MENTION))])
 SPAN_DDL = "struct<start: long, kind: int, end: long>"
-FOUND_DDL = f"row long, doc_id long, base array<{SPAN_DDL}>, mentions array<struct<start: long, end: long, kind: int, instance: string, patterns: array<string>>>"
+FOUND_DDL = f"row long, doc_id long, base array<{SPAN_DDL}>, mentions array<struct<start: long, end: long, kind: int, instance: string, run: long, whole: boolean, patterns: array<string>>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +197,11 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, precise: float = PREC
     seen = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind")
     patterns, beliefs = score_patterns(edges, support, precise, rounds)
-    new = seen.where("kind < 0").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+    new = seen.where("kind < 0").select("row", "start", "end", "instance", "run", "whole", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
     new = new.join(beliefs.where(F.col("belief") >= precise), ["instance", "kind"]).where(fits_kind(F.col("instance"), F.col("kind")))
+    # Of a run and its words, the run if it is found.
+    new = new.groupBy("row", "run").agg(F.collect_set(F.struct("start", "kind", "end", "whole")).alias("spans"), F.max("whole").alias("any_whole"))
+    new = new.select("row", F.explode("spans").alias("s"), "any_whole").where("s.whole OR NOT any_whole").select("row", "s.*")
     spans = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("found"))
     return scanned.select("row", "doc_id", "base").join(spans, "row", "left").select("doc_id", "base", F.coalesce("found", F.array().cast(f"array<{SPAN_DDL}>")).alias("found"))
 
