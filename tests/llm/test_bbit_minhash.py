@@ -75,6 +75,13 @@ def test_filter_keeps_rows_whole(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[2]}
 
 
+def test_filter_keeps_one_row_of_each_group(spark):
+    docs = docs_of(spark, [text(1), text(2), text(1)], first=5)
+    nulls = docs_of(spark, [text(2), text(3), text(3)]).selectExpr("CAST(NULL AS long) AS doc_id", *docs.columns[1:])
+    kept = M.drop_near_duplicates(docs.unionAll(docs).unionAll(nulls)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("5", text(1)), ("6", text(2)), ("None", text(3))]
+
+
 def test_estimate_is_close_to_the_similarity(spark):
     base = words(3, 400, 5000)
     texts = [edited(base, s, 9).encode() for s in (0, 0.02, 0.05, 0.1)]

@@ -350,7 +350,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged: of each component the document with the smallest id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_md5").alias("_gone_md5")).distinct()
-    same = (docs["doc_id"].cast("long") == gone["_gone_id"]) & (F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))) == gone["_gone_md5"])
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs`` that stay, all columns unchanged: of each component one row of the document with the smallest id."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    first = rows.groupBy(F.col("doc_id").cast("long").alias("_id"), digest.alias("_md5")).agg(F.min("_row").alias("_row"))
+    gone = near_duplicates(rows).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_md5").alias("_gone_md5")).distinct()
+    stay = first.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_md5") == F.col("_gone_md5")), "left_anti")
+    return rows.join(stay.select("_row"), "_row", "left_semi").select(*docs.columns)
