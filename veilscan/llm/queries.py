@@ -13,6 +13,7 @@ from .bwt_dedup import dedup_bytes
 from .common import read
 from .decontaminate import decontamination
 from .edit_tokens import apply_edits, with_trees
+from .merkle import manifest, tampered
 from .pii_bootstrap import personal_data, with_digests
 from .secret_forest import secret_findings
 from .unit_dedup import dedup_units
@@ -102,3 +103,10 @@ def op9_best_fit(spark, folder):
 @query
 def op10_bbit_minhash(spark, folder):
     return near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    return manifest(read(spark, folder, "documents"), tampered()).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )

@@ -84,3 +84,37 @@ low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    n_chars + CASE WHEN xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0
+      THEN 1 ELSE 0 END AS claimed
+  FROM documents),
+h AS (
+  SELECT r, doc_id, g, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(claimed AS VARCHAR)) || ':' || claimed, '-') || tail) AS changed FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM h),
+nodes(g, l, i, m, h) AS (
+  SELECT g, 0, i, m, leaf FROM placed
+  UNION ALL SELECT g, l + 1, i // 2, max((m + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE m > 1 GROUP BY g, l, i // 2),
+subs AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM nodes WHERE m = 1),
+tops(l, i, m, h) AS (
+  SELECT 0, i, m, subroot FROM subs
+  UNION ALL SELECT l + 1, i // 2, max((m + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE m > 1 GROUP BY l, i // 2),
+low(r, g, l, i, m, v, p) AS (
+  SELECT r, g, 0, i, m, changed, '' FROM placed
+  UNION ALL SELECT low.r, low.g, low.l + 1, low.i // 2, (low.m + 1) // 2,
+    sha256(CASE WHEN low.i % 2 = 0 THEN low.v || coalesce(n.h, '') ELSE n.h || low.v END), low.p || coalesce(n.h, '')
+  FROM low LEFT JOIN nodes n ON n.g = low.g AND n.l = low.l AND n.i = xor(low.i, 1) WHERE low.m > 1),
+high(r, l, i, m, v, p) AS (
+  SELECT r, 0, s.i, s.m, v, p FROM low JOIN subs s ON s.g = low.g WHERE low.m = 1
+  UNION ALL SELECT high.r, high.l + 1, high.i // 2, (high.m + 1) // 2,
+    sha256(CASE WHEN high.i % 2 = 0 THEN high.v || coalesce(n.h, '') ELSE n.h || high.v END), high.p || coalesce(n.h, '')
+  FROM high LEFT JOIN tops n ON n.l = high.l AND n.i = xor(high.i, 1) WHERE high.m > 1)
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(p) AS proof_sha256, v AS folded_root, v = t.h AS verified
+FROM placed JOIN subs USING (g) JOIN high USING (r) JOIN tops t ON t.m = 1 WHERE high.m = 1
+"""
