@@ -13,6 +13,8 @@ from .bwt_dedup import dedup_bytes
 from .common import read
 from .decontaminate import decontamination
 from .edit_tokens import apply_edits, with_trees
+from .hyper_lang import languages
+from .jacobi_whitening import whitened
 from .merkle import manifest, tampered
 from .pii_bootstrap import personal_data, with_digests
 from .secret_forest import secret_findings
@@ -105,6 +107,16 @@ def op10_bbit_minhash(spark, folder):
     return near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op11_jacobi_whitening(spark, folder):
+    return whitened(read(spark, folder, "embeddings"))
+
+
+@query
+def op12_hyper_language(spark, folder):
+    return languages(read(spark, folder, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark, folder):
     return manifest(read(spark, folder, "documents"), tampered()).select(
