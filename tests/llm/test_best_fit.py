@@ -58,3 +58,38 @@ def test_every_constraint_holds_for_both_scores():
             own = demand[where == b]
             assert len(own) == 1 or (own.sum(axis=0) <= capacity * (1 + 1e-9)).all()
         assert len(np.unique(where)) <= 1.3 * np.ceil((demand.sum(axis=0) / capacity).max())
+
+
+def slow_place(demand, capacity, weights, score):
+    """Vector best fit, bin by bin: the best value, the bin opened first on a tie."""
+    d = demand / capacity
+    left, where = [], [None] * len(d)
+    for i in sorted(range(len(d)), key=lambda i: (-float(d[i] @ weights), i)):
+        best = None
+        for b, room in enumerate(left):
+            if all(room >= d[i] - 1e-12):
+                value = -float(((room - d[i]) ** 2) @ weights) if score == "norm" else float((room * d[i]) @ weights)
+                if best is None or value > best[0]:
+                    best = (value, b)
+        if best is None:
+            left.append(np.ones(len(capacity)))
+            best = (0, len(left) - 1)
+        left[best[1]] = left[best[1]] - d[i]
+        where[i] = best[1]
+    return where
+
+
+def test_placement_equals_bin_by_bin_also_on_ties():
+    r = np.random.default_rng(7)
+    for weights in ((1.0, 0.5, 0.5), (1.0, 0.0, 0.0), (0.2, 1.0, 0.3)):
+        for score in ("norm", "dot"):
+            n = r.choice([64, 128, 256, 384, 512], 150)  # many equal sizes: many ties
+            demand = np.stack([n, np.ones(150), n**2], axis=1).astype(float)
+            args = (demand, np.array([1024.0, 5.0, 600_000.0]), np.array(weights), score)
+            assert place(*args).tolist() == slow_place(*args)
+
+
+def test_weights_change_the_choice_and_not_the_constraints():
+    n = np.random.default_rng(8).integers(1, 1000, 400)
+    demand, capacity = np.stack([n, np.ones(400), n**2], axis=1).astype(float), np.array([1024.0, 1024.0, 1024.0**2])
+    assert place(demand, capacity, np.array([1.0, 0.5, 0.5])).tolist() != place(demand, capacity, np.array([1.0, 0.0, 0.0])).tolist()

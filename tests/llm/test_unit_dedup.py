@@ -6,11 +6,11 @@ from .helpers import ODD_TEXTS, docs_of, text
 
 TEXTS = [
     *ODD_TEXTS, "A line\nB line\n\nC  Line ", "c line\nD\n a  LINE\nB line\nB line\n", "D", "é\nÉ\n ", "p one\np two\n\n\nq one", "q one\n \np one\np two", text(1) + "\n" + text(2),
-    text(2) + "\n" + text(3) + "\n" + text(1),
+    text(2) + "\n" + text(3) + "\n" + text(1), "One two three. Four five! Six seven eight? A.\nNine。 z", "Six seven  eight?\tone TWO three. Four five! \n A. e.g. x.y",
 ]
 
 
-def brute(texts, unit):
+def brute(texts, unit, min_words):
     seen, out = set(), {}
     for doc, t in enumerate(texts):
         t, gone, places = t or "", [], units_of(t or "", unit)
@@ -18,6 +18,8 @@ def brute(texts, unit):
         for a, b in places:
             if form := normal(t[a:b]):
                 n += 1
+                if len(form.split()) < min_words:
+                    continue
                 if form in seen:
                     gone.append((a, b))
                 seen.add(form)
@@ -27,14 +29,14 @@ def brute(texts, unit):
     return out
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_equals_brute_force(spark, unit):
+@pytest.mark.parametrize("unit,min_words", [("line", 1), ("paragraph", 1), ("sentence", 1), ("sentence", 3), ("line", 5)])
+def test_equals_brute_force(spark, unit, min_words):
     got = {
         r["doc_id"]: (r["n_units"], r["n_removed"], r["n_removed_chars"], [(x["start"], x["end"]) for x in r["removed"]], r["text"])
-        for r in dedup_units(docs_of(spark, TEXTS), unit).collect()
+        for r in dedup_units(docs_of(spark, TEXTS), unit, min_words).collect()
     }
-    assert got == brute(TEXTS, unit)
-    if unit == "line":
+    assert got == brute(TEXTS, unit, min_words)
+    if (unit, min_words) == ("line", 1):
         assert got[10][4] == "D\nB line\n" or got[10][1] >= 3
 
 

@@ -157,9 +157,13 @@ def _packed(capacity: tuple, weights: tuple, score: str):
 
 def pack(
     docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, max_docs: int | None = None, max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "norm", group: int = 20_000,
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5), score: str = "norm", group: int = 20_000,
 ) -> DataFrame:
-    """One row per piece with its place. Without ``max_docs`` and ``max_cost`` these bind no more than the tokens do."""
+    """One row per piece with its place.
+
+    ``weights`` are those of tokens, documents and attention cost in the score. Without ``max_docs`` and ``max_cost`` the capacities
+    of the latter two bind no more than the tokens do; they still have their part in the choice of the bin.
+    """
     spark = docs.sparkSession
     ship(spark)
     capacity = (length, max_docs or length, max_cost or length * length)

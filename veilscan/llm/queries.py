@@ -89,7 +89,7 @@ def op7_pii_bootstrap(spark, folder):
 
 @query
 def op8_unit_dedup(spark, folder):
-    return dedup_units(read(spark, folder, "documents")).select(
+    return dedup_units(read(spark, folder, "documents"), "sentence", min_words=12).select(
         "doc_id", "n_units", "n_removed", "n_removed_chars", F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed"),
         F.md5("text").alias("kept_md5"),
     )

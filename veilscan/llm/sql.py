@@ -56,18 +56,24 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BI
 FROM d LEFT JOIN cut USING (r) LEFT JOIN keep USING (r)
 """
 
-ORACLES["op8_unit_dedup"] = rf"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {_LOWER} AS low FROM documents),
+ORACLES["op8_unit_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, replace(regexp_replace(coalesce(text, ''), '([.!?。！？])([ \t\x0B\f\r]+)', '\1' || chr(1) || '\2' || chr(2), 'g'),
+    chr(10), chr(1) || chr(10) || chr(2)) AS marked FROM documents),
+pieces AS (SELECT doc_id, r, unnest(string_split(marked, chr(2))) AS p, generate_subscripts(string_split(marked, chr(2)), 1) AS i FROM d),
 cut AS (
-  SELECT doc_id, r, i, line, trim(regexp_replace(form, '[\x20\x09-\x0D]+', ' ', 'g')) AS form,
-    sum(len(line) + 1) OVER (PARTITION BY r ORDER BY i) - len(line) - 1 AS a
-  FROM (SELECT doc_id, r, unnest(string_split(text, chr(10))) AS line, unnest(string_split(low, chr(10))) AS form, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
-ranked AS (SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id NULLS LAST, a) > 1 AS gone FROM cut),
+  SELECT doc_id, r, i, split_part(p, chr(1), 1) AS line, replace(p, chr(1), '') AS whole,
+    trim(regexp_replace(translate(split_part(p, chr(1), 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS form,
+    sum(length(replace(p, chr(1), ''))) OVER (PARTITION BY r ORDER BY i) - length(replace(p, chr(1), '')) AS a
+  FROM pieces),
+ranked AS (
+  SELECT *, form <> '' AND len(string_split(form, ' ')) >= 12 AND row_number() OVER (PARTITION BY form ORDER BY doc_id NULLS LAST, a) > 1 AS gone FROM cut),
+placed AS (SELECT *, i = max(i) FILTER (NOT gone) OVER (PARTITION BY r) AS is_last FROM ranked),
 per AS (
-  SELECT r, count(*) FILTER (form <> '') AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(len(line)) FILTER (gone), 0) AS chars,
-    string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a AS BIGINT) + len(line) AS VARCHAR), ',' ORDER BY i) FILTER (gone) AS removed,
-    string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest
-  FROM ranked GROUP BY r)
+  SELECT r, count(*) FILTER (form <> '') AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(line)) FILTER (gone), 0) AS chars,
+    string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a AS BIGINT) + length(line) AS VARCHAR), ',' ORDER BY i) FILTER (gone) AS removed,
+    string_agg(CASE WHEN is_last THEN line ELSE whole END, '' ORDER BY i) FILTER (NOT gone) AS rest
+  FROM placed GROUP BY r)
 SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS n_removed_chars,
   coalesce(removed, '') AS removed, md5(coalesce(rest, '')) AS kept_md5
 FROM d LEFT JOIN per USING (r)

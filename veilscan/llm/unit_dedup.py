@@ -1,7 +1,9 @@
 """Line dedup: of units with equal normal form, the earliest in rank stays and the rest go.
 
-A unit is a line (``unit="line"``) or a paragraph, that is lines up to an empty one (``unit="paragraph"``). Its normal form
-has A-Z in lower case and runs of white space as one space; units without a word are never removed. Digests (128 bits) are
+A unit is a line (``unit="line"``), a paragraph, that is lines up to an empty one (``unit="paragraph"``), or a sentence, that is a part
+of a line up to one of ``.!?。！？`` with white space after it (``unit="sentence"``). Its normal form has A-Z in lower case and runs of
+white space as one space. Units of fewer than ``min_words`` words (1 at least) are counted and never removed: short lines and
+phrases stand in many documents that share nothing else. Digests (128 bits) are
 grouped over all documents; the rank is (doc_id, digest of the text, start), nulls last. Counts and the first rank per
 digest are partial aggregates, so a line of a third of all documents is one row per task before the shuffle, and the join
 back is a plain equi-join whose skewed side Spark splits.
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks, ship, stored, table_of
 
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-BREAK = {"line": re.compile("\n"), "paragraph": re.compile("\n(?:[ \t\x0b\x0c\r]*\n)+")}
+BREAK = {
+    "line": re.compile("\n"), "paragraph": re.compile("\n(?:[ \t\x0b\x0c\r]*\n)+"),
+    "sentence": re.compile("(?<=[.!?。！？])[ \t\x0b\x0c\r]+|\n"),
+}
 UNITS = pa.schema([("doc_id", pa.int64()), ("text_md5", pa.binary()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())])
 UNITS_DDL = "doc_id long, text_md5 binary, start long, end long, digest binary"
 
@@ -42,14 +47,15 @@ def normal(unit: str) -> bytes:
     return b" ".join(unit.encode().translate(LOWER).split())
 
 
-def _digests(unit: str):
+def _digests(unit: str, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             rows = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 key, text = hashlib.md5(raw or b"").digest(), (raw or b"").decode("utf-8", "replace")
                 for start, end in units_of(text, unit):
-                    if form := normal(text[start:end]):
+                    form = normal(text[start:end])
+                    if form and form.count(b" ") + 1 >= min_words:
                         rows.append((doc, key, start, end, hashlib.blake2b(form, digest_size=16).digest()))
             if rows:
                 yield table_of(UNITS, *zip(*rows, strict=True))
@@ -81,11 +87,11 @@ def _cut(unit: str):
     return run
 
 
-def dedup_units(docs: DataFrame, unit: str = "line") -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """Per document: numbers of units with a word, of units and characters removed, their places, and the rest of the text."""
     ship(docs.sparkSession)
     table = as_bytes(docs)
-    units = stored(table.mapInArrow(_digests(unit), UNITS_DDL), "units")
+    units = stored(table.mapInArrow(_digests(unit, min_words), UNITS_DDL), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_md5", "start")
     firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = units.join(firsts, "digest").where(rank != F.col("first")).select("doc_id", "text_md5", "start", "end").distinct()
