@@ -155,6 +155,20 @@ CASE WHEN status = 'verified' THEN 'v' || CAST(c_nationkey AS VARCHAR) WHEN stat
 CASE WHEN status = 'verified' THEN CASE WHEN c_nationkey % 2 = 0 THEN LEAST({D.NOW_MS} + 1800000, {D.NOW_MS} + c_custkey * 1000)
      ELSE {D.NOW_MS} + 1800000 END END AS cache_until
 FROM stated"""
+ORACLES["rule_delivery_as_of"] = f"""
+WITH a AS (SELECT *, {D.NOW_MS} - (c_custkey * 7919 + nth * 1700017) % 6000000 AS moment FROM customer, (SELECT unnest([0, 1, 2]) AS nth)),
+entries AS (SELECT o_custkey, {D.NOW_MS} - (o_orderkey * 37) % 5000000 AS cached_at, max_by(o_orderkey, 'v' || CAST(o_orderkey AS VARCHAR)) AS k FROM orders GROUP BY 1, 2),
+joined AS (SELECT a.*, n.k, COALESCE(n.cached_at + 1800000 > moment AND n.k % 13 <> 0 AND n.k % 17 <> 0 AND n.k % 19 <> 0, false) AS usable
+  FROM a ASOF LEFT JOIN entries n ON n.o_custkey = a.c_custkey AND a.moment >= n.cached_at),
+stated AS (SELECT *, CASE WHEN c_custkey % 11 = 0 THEN 'disabled' WHEN c_custkey % 3 = 0 AND c_acctbal > 2000 THEN 'verified'
+  WHEN c_custkey % 3 = 0 THEN 'fallback' WHEN usable THEN 'cached' ELSE 'fallback' END AS status FROM joined)
+SELECT c_custkey AS client_id, moment AS attempted_at, status,
+CASE WHEN status IN ('disabled', 'verified') THEN NULL WHEN c_custkey % 3 = 0 THEN 'rejected'
+     WHEN c_custkey % 3 = 1 THEN {W['http']} ELSE {W['fetch']} END AS reason,
+CASE WHEN status = 'verified' THEN 'v' || CAST(c_nationkey AS VARCHAR) WHEN status = 'cached' THEN 'v' || CAST(k AS VARCHAR) END AS version,
+CASE WHEN status = 'verified' THEN CASE WHEN c_nationkey % 2 = 0 THEN LEAST(moment + 1800000, {D.NOW_MS} + c_custkey * 1000)
+     ELSE moment + 1800000 END END AS cache_until
+FROM stated"""
 ORACLES["bundle_cache_rows"] = """SELECT o_orderkey, o_orderkey % 23 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0
 AND o_orderkey % 5 <> 0 AND o_orderkey % 6 <> 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 8 <> 0 AS valid FROM orders"""
 
@@ -241,6 +255,13 @@ SELECT o_orderkey, {i('f.s')} AS span_start, {i('f.e')} AS span_end, f.r AS rule
 '[' || base || '_' || CAST(row_number() OVER (PARTITION BY o_orderkey, base ORDER BY f.s) AS VARCHAR) || ']' AS placeholder,
 'rule:' || f.r || ':' || CAST(f.s AS VARCHAR) || ':' || CAST(f.e AS VARCHAR) AS id
 FROM (SELECT o_orderkey, f, upper(substr(f.r, 1, 3)) AS base FROM spread)"""
+ORACLES["overlap_rows"] = f"""SELECT o_orderkey, span_start, span_end, rule_id, risk_level FROM ({ORACLES["overlap_resolution"]})"""
+ORACLES["overlap_pairs"] = f"""
+WITH raw AS (SELECT o_orderkey, s, s + (o_custkey + j * 5) % 9 - 1 AS e
+  FROM (SELECT o_orderkey, o_custkey, j, (o_orderkey * 7 + j * 13) % 40 - 2 AS s FROM orders, (SELECT unnest(range(12)) AS j)))
+SELECT k.o_orderkey, span_start, span_end, count(*) AS n_met, CAST(sum(e - s) AS BIGINT) AS n_chars
+FROM ({ORACLES["overlap_resolution"]}) k JOIN raw r ON r.o_orderkey = k.o_orderkey AND s >= 0 AND e > s AND s < span_end AND span_start < e
+GROUP BY ALL"""
 ORACLES["settled_findings"] = found(f"""SELECT key, id, rule_id, {i('s')} AS span_start, {i('e')} AS span_end, label, risk_level,
 {case(X.RISK_MESSAGE, 'risk_level')} AS message, CAST({CONFIDENCE} AS DOUBLE) AS confidence FROM found""")
 ORACLES["placeholder_numbering"] = found(f"SELECT key, {i('s')} AS span_start, placeholder FROM found")
@@ -669,6 +690,9 @@ checked AS (SELECT x.*, p.n, p.action AS got, p.severity,
 SELECT id, category, summary_ok, includes_ok, excludes_ok, policy_ok, generalized_includes_ok, generalized_excludes_ok, masked_includes_ok, masked_excludes_ok,
 n AS total, got AS action, severity, summary_ok AND includes_ok AND excludes_ok AND policy_ok AND generalized_includes_ok AND generalized_excludes_ok
 AND masked_includes_ok AND masked_excludes_ok AS passed FROM checked""", EVAL_KEYS)
+_DONE = "(SELECT 'AKIA' || lpad(CAST(o_orderkey AS VARCHAR), 16, '0') FROM orders WHERE o_orderstatus = 'F')"
+ORACLES["line_scan_allowed"] = ORACLES["line_scan"].replace(f"NOT IN {_in(LG.ALLOWED_VALUES)}", f"NOT IN {_DONE}")
+
 ORACLES["catalogue_check"] = found(f"""SELECT r AS rule_id, 'not documented' AS problem FROM (SELECT unnest({IDS}) AS r)
 WHERE r NOT IN (SELECT DISTINCT rule_id FROM found)""", [r for r in X.RULE_IDS if r != "jwt"])
 

@@ -49,10 +49,14 @@ DATE = (
 LONG_ID = (
     f"{NOT_AFTER_WORD}(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{{16,}}+{NOT_BEFORE_WORD}"
 )
+# A start inside a digit run is tried only where it can differ from the ones before it, or where the hit before has ended: at most
+# three digits before the unit or a comma, and not inside a group of three that follows a comma (the group before has the
+# same rest); whole numbers before 万円 only at their first digit.
+_INNER_GROUP = "(?<=[0-9],)[0-9]{3}(?![0-9])|(?<=[0-9],[0-9])[0-9]{2}(?![0-9])|(?<=[0-9],[0-9]{2})[0-9](?![0-9])"
 AMOUNT = (
-    f"(?:月額{SP}*)?(?:¥|￥){SP}?[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?"
-    f"|(?:月額{SP}*)?[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:万円|円)"
-    f"|(?:月額{SP}*)?[0-9]+(?:\\.[0-9]+)?万円"
+    f"(?:月額{SP}*+)?(?:¥|￥){SP}?[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?"
+    f"|(?:月額{SP}*+)?(?:\\G|(?<=\\G,)|(?!{_INNER_GROUP}))[0-9]{{1,3}}+(?![0-9])(?:,[0-9]{{3}}(?![0-9]))*+(?:万円|円)"
+    f"|(?:月額{SP}*+)?(?:\\G|(?<![0-9]))[0-9]++(?:\\.[0-9]++)?+万円"
 )
 # A whole line that holds a keyword. Anchoring at the line start and looking
 # ahead once keeps this linear in the length of the line.
@@ -111,10 +115,10 @@ ENV_SECRET = (
 BASIC_AUTH_URL = (
     f"(?i){NOT_AFTER_WORD}https?://[^{SPACE}/:@<>\"'）)]+:[^{SPACE}/@<>\"'）)]+@{URL_BODY}+"
 )
-# Searched only in runs that end at an ``@``.
+# Searched only in runs that end at an ``@`` with an address after it: then the first scheme with a user and a password hits.
 _UP_TO_AT = f"[^{SPACE}@<>\"'）)]"
 DATABASE_URL = (
-    f"(?i)(?<!{_UP_TO_AT})(?={_UP_TO_AT}++@)({_UP_TO_AT}*?)"
+    f"(?i)(?<!{_UP_TO_AT})(?={_UP_TO_AT}++@{URL_BODY})({_UP_TO_AT}*?)"
     f"({NOT_AFTER_WORD}(?:postgres|postgresql|mysql|mariadb|mongodb|mongodb\\+srv|redis|rediss|mssql|sqlserver)"
     f"://[^{SPACE}/:@<>\"'）)]+:{_UP_TO_AT}+@{URL_BODY}+)"
 )

@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import RISK_RANK
-from .lets import lookup
+from .lets import let, lookup
+from .lists import empty, folded, parts
 from .patterns import CLOSED_BY, WITH_LEAD
 
 SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
@@ -26,10 +27,6 @@ _SPARE = "\ufdd2\ufdd3"
 CHUNK_CHARS = 4096
 
 
-def empty(array_type: str) -> Column:
-    return F.array().cast(array_type)
-
-
 def has_marks(text: Column) -> Column:
     return F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
 
@@ -59,20 +56,14 @@ def marked_pieces(text: Column, pattern: str) -> Column:
 
 def spans_of_pieces(pieces: Column) -> Column:
     """Spans with offsets, from the lengths of the pieces. Empty hits do not count."""
-    start = F.struct(F.lit(0).alias("pos"), empty(SPAN_TYPE).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
+    def span(pos: Column, piece: Column) -> Column:
         hit = F.substring_index(piece, CLOSE, 1)
         size = F.char_length(hit)
-        span = F.struct(
-            acc["pos"].alias("start"), (acc["pos"] + size).alias("end"), hit.alias("text")
-        )
-        return F.struct(
-            (acc["pos"] + F.char_length(piece) - 1).alias("pos"),
-            F.when(size > 0, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
+        found = F.struct(pos.alias("start"), (pos + size).alias("end"), hit.alias("text"))
+        return F.when(size > 0, F.array(found)).otherwise(empty(SPAN_TYPE))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return folded(pieces, F.lit(0), lambda pos, piece: pos + F.char_length(piece) - 1, span, SPAN_TYPE)
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -94,16 +85,13 @@ def literal_pieces(text: Column, term: str | Column) -> Column:
 def spans_between(pieces: Column, term: Column) -> Column:
     """Spans of the term between pieces; there is none after the last piece."""
     size = F.char_length(term)
-    start = F.struct(F.lit(0).alias("pos"), empty(SPAN_TYPE).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        at = acc["pos"] + F.char_length(piece)
-        span = F.struct(at.alias("start"), (at + size).alias("end"), term.alias("text"))
-        return F.struct((at + size).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(pos: Column, piece: Column) -> Column:
+        at = pos + F.char_length(piece)
+        return F.array(F.struct(at.alias("start"), (at + size).alias("end"), term.alias("text")))
 
-    return F.aggregate(
-        pieces, start, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1)
-    )
+    inner = F.slice(pieces, 1, F.size(pieces) - 1)
+    return folded(inner, F.lit(0), lambda pos, piece: pos + F.char_length(piece) + size, span, SPAN_TYPE)
 
 
 def find_literal(text: Column, term: Column) -> Column:
@@ -120,11 +108,53 @@ def placeholder_base(placeholder: Column) -> Column:
     return F.when(base == "", "MASK").otherwise(base)
 
 
-def _greedy(island: Column) -> Column:
-    """Strongest first: risk, then length, then position, then rule id."""
-    ranked = F.array_sort(
+PLACE_TYPE = "array<struct<start:int,end:int,at:int>>"
+
+
+def _is_free(taken: Column, place: Column) -> Column:
+    """Whether a place overlaps none of those taken, which are sorted and apart: a binary search."""
+    steps = F.sequence(F.lit(1), (F.ceil(F.log2(F.size(taken) + 1)) + 1).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        before = F.get(taken, mid)["start"] < place["end"]
+        open_ = acc["low"] < acc["high"]
+        return F.struct(
+            F.when(open_ & before, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~before, mid).otherwise(acc["high"]).alias("high")
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(taken).alias("high"))
+    return let(F.aggregate(steps, start, halve, lambda acc: acc["low"]), lambda n: (n == 0) | (F.get(taken, n - 1)["end"] <= place["start"]))
+
+
+def _first_come(places: Column, sizes: tuple[int, ...] = (8192, 256)) -> Column:
+    """Places in order of claim: each is taken if it overlaps none taken before. The result is sorted by position.
+
+    Claims come in blocks of blocks. A block is first rid of what overlaps the places taken before it, by binary search; what is
+    left of it is settled by itself, the smallest blocks pairwise.
+    """
+    if not sizes:
+        return F.aggregate(
+            places,
+            empty(PLACE_TYPE),
+            lambda taken, p: F.when(F.exists(taken, lambda k: (k["start"] < p["end"]) & (p["start"] < k["end"])), taken).otherwise(
+                F.concat(taken, F.array(p))
+            ),
+            lambda taken: F.sort_array(taken),
+        )
+
+    def step(taken: Column, block: Column) -> Column:
+        free = F.when(F.size(taken) == 0, block).otherwise(F.filter(block, lambda p: _is_free(taken, p)))
+        return F.sort_array(F.concat(taken, _first_come(free, sizes[1:])))
+
+    return F.aggregate(parts(places, sizes[0]), empty(PLACE_TYPE), step)
+
+
+def _strongest(found: Column) -> Column:
+    """Claims in order of strength: risk, then length, then position, then rule id."""
+    ranked = F.sort_array(
         F.transform(
-            island,
+            found,
             lambda f: F.struct(
                 (-risk_rank(f["risk_level"])).alias("risk"),
                 (f["start"] - f["end"]).alias("length"),
@@ -134,47 +164,20 @@ def _greedy(island: Column) -> Column:
             ),
         )
     )
-    return F.aggregate(
-        F.transform(ranked, lambda r: r["finding"]),
-        empty(FINDINGS_TYPE),
-        lambda kept, f: F.when(
-            F.exists(kept, lambda k: (k["start"] < f["end"]) & (f["start"] < k["end"])), kept
-        ).otherwise(F.concat(kept, F.array(f))),
-    )
-
-
-def resolve_overlaps(findings: Column) -> Column:
-    """Keep the strongest of overlapping findings, ordered by position.
 
-    Findings are cut into islands of touching spans first, so the pairwise test
-    runs inside an island only and a row with very many findings stays cheap.
-    """
-    ordered = F.array_sort(F.filter(findings, lambda f: (f["start"] >= 0) & (f["end"] > f["start"])))
-    start = F.struct(
-        F.lit(-1).alias("reach"),
-        empty(FINDINGS_TYPE).alias("island"),
-        empty(FINDINGS_TYPE).alias("done"),
-    )
-
-    def settle(acc: Column) -> Column:
-        return F.concat(
-            acc["done"],
-            F.when(F.size(acc["island"]) < 2, acc["island"]).otherwise(_greedy(acc["island"])),
+    def settle(ranked: Column) -> Column:
+        places = F.transform(
+            ranked, lambda r, i: F.struct(r["finding"]["start"].alias("start"), r["finding"]["end"].alias("end"), i.alias("at"))
         )
+        return F.transform(_first_come(places), lambda p: F.get(ranked, p["at"])["finding"])
+
+    return let(ranked, settle)
 
-    def step(acc: Column, f: Column) -> Column:
-        return F.when(
-            f["start"] < acc["reach"],
-            F.struct(
-                F.greatest(acc["reach"], f["end"]).alias("reach"),
-                F.concat(acc["island"], F.array(f)).alias("island"),
-                acc["done"].alias("done"),
-            ),
-        ).otherwise(
-            F.struct(f["end"].alias("reach"), F.array(f).alias("island"), settle(acc).alias("done"))
-        )
 
-    return F.array_sort(F.aggregate(ordered, start, step, settle))
+def resolve_overlaps(findings: Column) -> Column:
+    """Keep the strongest of overlapping findings, ordered by position."""
+    valid = F.filter(findings, lambda f: (f["start"] >= 0) & (f["end"] > f["start"]))
+    return let(valid, lambda found: F.when(F.size(found) < 2, found).otherwise(_strongest(found)))
 
 
 def number_placeholders(findings: Column) -> Column:
@@ -196,7 +199,7 @@ def number_placeholders(findings: Column) -> Column:
             ),
         )
 
-    return F.array_sort(F.flatten(F.transform(bases, one_base)))
+    return F.sort_array(F.flatten(F.transform(bases, one_base)))
 
 
 def text_chunks(text: Column) -> Column:
@@ -205,9 +208,7 @@ def text_chunks(text: Column) -> Column:
     Cutting out a span then costs one or two pieces, not a walk from the start
     of the text, so rewriting is linear even for a very long text.
     """
-    return F.when(F.char_length(text) <= CHUNK_CHARS, F.array(text)).otherwise(
-        F.regexp_extract_all(text, F.lit(f"[\\s\\S]{{1,{CHUNK_CHARS}}}"), F.lit(0))
-    )
+    return F.regexp_extract_all(text, F.lit(f"[\\s\\S]{{1,{CHUNK_CHARS}}}"), F.lit(0))
 
 
 def cut(chunks: Column, start: Column, end: Column) -> Column:

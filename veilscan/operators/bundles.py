@@ -14,6 +14,7 @@ from ..functions import fixed as X
 from ..functions.lets import strip
 from ..functions.patterns import EDGE, SP, SPACE
 from ..functions.rules import TextRule
+from .asof import HOUR_MS, as_of
 
 
 def _text(value: Column) -> Column:
@@ -165,7 +166,23 @@ def delivery_outcome(
     when the fetch failed; a bundle that arrived but was rejected never falls back to it.
     """
     now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
-    joined = attempts.join(latest_cached(cache, client), client, "left")
+    return _outcome(attempts.join(latest_cached(cache, client), client, "left"), now, client, ttl_seconds)
+
+
+def delivery_outcome_as_of(
+    attempts: DataFrame,
+    cache: DataFrame,
+    at: str = "attempted_at",
+    client: str = "client_id",
+    ttl_seconds: int = X.BUNDLE_CACHE_TTL_SECONDS,
+    width: int = HOUR_MS,
+) -> DataFrame:
+    """The same for attempts over time: each is judged at its own moment (``at``, milliseconds), with the entry that was the newest then."""
+    joined = as_of(attempts, cache, [client], at, "cached_at", "version", "cached", width)
+    return _outcome(joined, F.col(at), client, ttl_seconds, [at])
+
+
+def _outcome(joined: DataFrame, now: Column, client: str, ttl_seconds: int, keep: list[str] | None = None) -> DataFrame:
     c = F.col("cached")
     usable = F.coalesce(
         (c["expires_at"] > now)
@@ -193,6 +210,7 @@ def delivery_outcome(
     ttl = now + F.lit(ttl_seconds * 1000)
     return joined.select(
         client,
+        *(keep or []),
         status.alias("status"),
         reason.alias("reason"),
         F.when(status == "verified", F.col("version")).when(status == "cached", c["version"]).alias("version"),

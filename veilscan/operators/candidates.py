@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import context_fixed as C
 from ..functions.lets import contains_any, distinct_sorted_by_length, fixed, let, lookup, strip
-from ..functions.patterns import EDGE, NOT_AFTER_WORD, SP
+from ..functions.patterns import EDGE, NOT_AFTER_WORD, SP, SPACE
+from ..functions.lists import first_of_each, folded
 from ..functions.spans import FINDINGS_TYPE, SPAN_TYPE, empty, find_literal
 
 TERM_TYPE = (
@@ -24,13 +25,16 @@ _NAME = "[\\p{IsHan}々〆ヵヶ]{2,6}"
 _ORG = "[\\p{IsHan}\\p{IsKatakana}A-Za-zＡ-Ｚａ-ｚ0-9０-９・ー]"
 _AFTER_ORG = f"(?=向け|宛て|との|への|へ|の|に|です|、|。|{SP}|\\z)"
 _SELF_INTRODUCTION = f"(?:^|[\\n。！？])({_NAME})です(?:。|、|{SP}|\\z)"
-_LABELLED = f"(?:{C.PERSON_LABEL_WORDS}){SP}*[:：]?{SP}*({_NAME})(?=\\z|[、。]|{SP})"
+_LABELLED = f"(?:{C.PERSON_LABEL_WORDS}){SP}*+(?:[:：]{SP}*+)?({_NAME})(?=\\z|[、。]|{SP})"
 _CUSTOMER = "[A-ZＡ-Ｚ][A-ZＡ-Ｚ0-9０-９]{0,3}社(?=向け|宛て|への|へ|との|には|に|の)"
 _CORPORATE_PREFIXED = f"(?:{C.CORPORATE_PREFIXES}){_ORG}{{2,24}}?{_AFTER_ORG}"
 _CORPORATE_SUFFIXED = f"{_ORG}{{2,24}}?(?:{C.CORPORATE_SUFFIXES}){_AFTER_ORG}"
 _PROJECT = f"{NOT_AFTER_WORD}Project{SP}+[A-Z][A-Za-z0-9-]*(?:{SP}+[A-Z][A-Za-z0-9-]*){{1,5}}{EDGE}"
+# All capitals that begin a part of one run reach the same end, so a run is entered once, at the first of them; parts before it
+# are passed over. A run is entered at its start, behind an underscore, or where the hit before has ended.
+_ENTER_RUN = "(?:(?<![A-Za-z0-9_-])|(?<=_)[A-Za-z0-9]*+(?=-)|\\G(?<=[A-Za-z0-9])[A-Za-z0-9]*+)(?:[a-z0-9][A-Za-z0-9]*+|-)*+"
 _PROJECT_SPACED = (
-    f"{NOT_AFTER_WORD}[A-Z][A-Za-z0-9-]*(?:{SP}+[A-Z][A-Za-z0-9-]*){{0,5}}(?:{C.PROJECT_SUFFIXES})"
+    f"{_ENTER_RUN}([A-Z][A-Za-z0-9-]*(?:{SP}+[A-Z][A-Za-z0-9-]*){{0,5}}(?:{C.PROJECT_SUFFIXES}))"
 )
 _PROJECT_JOINED = f"{_ORG}{{2,30}}(?:{C.PROJECT_SUFFIXES})"
 # definition, pattern, group, words one of which a hit needs
@@ -42,7 +46,7 @@ _ENTITY_PATTERNS = [
     (C.COMPANY, _CORPORATE_PREFIXED, 0, C.CORPORATE_PREFIXES.split("|")),
     (C.COMPANY, _CORPORATE_SUFFIXED, 0, C.CORPORATE_SUFFIXES.split("|")),
     (C.PROJECT, _PROJECT, 0, ["Project"]),
-    (C.PROJECT, _PROJECT_SPACED, 0, C.PROJECT_SUFFIXES.split("|")),
+    (C.PROJECT, _PROJECT_SPACED, 1, C.PROJECT_SUFFIXES.split("|")),
     (C.PROJECT, _PROJECT_JOINED, 0, C.PROJECT_SUFFIXES.split("|")),
 ]
 
@@ -89,76 +93,126 @@ def residual_terms(text: Column) -> Column:
     )
 
 
+_GAP = "\x01"  # stands between surfaces, and is taken out of them
+
+
 def _bare(surface: Column) -> Column:
-    return F.lower(F.regexp_replace(surface, f"{SP}+", ""))
+    return F.lower(F.regexp_replace(surface, f"[{SPACE}{_GAP}]+", ""))
+
 
 
-def _same_thing(candidate: Column, term: Column) -> Column:
-    organizations = ["company_name", "customer_name"]
-    comparable = (candidate["category"] == term["category"]) | (
-        candidate["category"].isin(organizations) & term["category"].isin(organizations)
-    )
-    mine, other = _bare(candidate["surface"]), _bare(term["surface"])
-    return comparable & (F.contains(mine, other) | F.contains(other, mine))
+
+def _kind(category: Column) -> Column:
+    """Categories that may name the same thing share a kind."""
+    return F.when(category.isin("company_name", "customer_name"), "organization").otherwise(F.coalesce(category, F.lit("")))
 
 
 def merge_residual(candidates: Column, terms: Column, max_candidates: int | None = None) -> Column:
     """Model candidates first, then residual terms they do not cover, up to a limit if one is given.
 
-    A business-context candidate that spans a specific term gives way to it.
+    A business-context candidate that spans a specific term gives way to it. A term is covered by a candidate of its kind (or a
+    term taken before) if one contains the other, without regard to case and white space. Terms come longest first, as
+    :func:`residual_terms` gives them. Surfaces are normalised once. What contains a term is found by one byte search in the joined
+    surfaces of its kind; a term can itself contain only model candidates and such earlier terms as lost white space.
     """
-    business = F.filter(terms, lambda t: t["category"].isin(C.BUSINESS_CATEGORIES))
-    kept = F.filter(
-        candidates,
-        lambda c: ~(
-            c["category"].isin(C.BUSINESS_CATEGORIES)
-            & F.exists(business, lambda t: F.contains(_bare(c["surface"]), _bare(t["surface"])))
-        ),
-    )
-
-    def add(merged: Column, term: Column) -> Column:
-        number = (
-            F.size(F.filter(merged, lambda c: lookup(C.CANDIDATE_PREFIX, c["category"]) == term["prefix"])) + 1
-        ).cast("string")
-        entry = F.struct(
-            F.concat(F.lit("local-context-"), term["category"], F.lit("-"), number).alias("id"),
-            term["category"].alias("category"),
-            term["surface"].alias("surface"),
-            term["label"].alias("label"),
-            term["reason"].alias("reason"),
-            term["risk_level"].alias("risk_level"),
-            F.concat(F.lit("["), term["prefix"], F.lit("_"), number, F.lit("]")).alias("suggested_placeholder"),
-            term["confidence"].alias("confidence"),
-            F.lit(None).cast("int").alias("start"),
-            F.lit(None).cast("int").alias("end"),
+    bare_terms = F.transform(terms, lambda t: F.struct(t.alias("term"), _bare(t["surface"]).alias("bare"), _kind(t["category"]).alias("kind")))
+    bare_candidates = F.transform(candidates, lambda c: F.struct(c.alias("c"), _bare(c["surface"]).alias("bare"), _kind(c["category"]).alias("kind")))
+
+    def merged(both: Column) -> Column:
+        business = F.filter(both["terms"], lambda t: t["term"]["category"].isin(C.BUSINESS_CATEGORIES))
+        return let(
+            F.filter(
+                both["candidates"],
+                lambda c: ~(c["c"]["category"].isin(C.BUSINESS_CATEGORIES) & F.exists(business, lambda t: F.contains(c["bare"], t["bare"]))),
+            ),
+            lambda kept: added(kept, both["terms"]),
         )
-        full = F.lit(False) if max_candidates is None else F.size(merged) >= max_candidates
-        return F.when(full | F.exists(merged, lambda c: _same_thing(c, term)), merged).otherwise(
-            F.concat(merged, F.array(entry))
+
+    def added(kept: Column, terms: Column) -> Column:
+        kinds = F.array_distinct(F.concat(F.transform(kept, lambda c: c["kind"]), F.transform(terms, lambda t: t["kind"])))
+        prefixes = F.array_distinct(F.transform(terms, lambda t: t["term"]["prefix"]))
+        of_kind = lambda k: F.transform(F.filter(kept, lambda c: c["kind"] == k), lambda c: c["bare"])
+        count = lambda p: F.size(F.filter(kept, lambda c: lookup(C.CANDIDATE_PREFIX, c["c"]["category"]) == p))
+        given = F.transform(kinds, lambda k: F.struct(k.alias("kind"), of_kind(k).alias("bare")))
+        return F.concat(
+            F.transform(kept, lambda c: c["c"]).cast(CANDIDATE_TYPE),
+            let(
+                F.struct(given.alias("given"), F.transform(prefixes, lambda p: F.struct(p.alias("prefix"), count(p).alias("n"))).alias("counts")),
+                lambda known: new_terms(known["given"], known["counts"], F.size(kept), terms),
+            ),
         )
 
-    return F.aggregate(terms, kept.cast(CANDIDATE_TYPE), add)
+    def new_terms(given: Column, counts: Column, n_kept: Column, terms: Column) -> Column:
+        # Per kind, what has been taken: joined, for a search of what contains a term; and earlier terms that lost white space.
+        pools = F.transform(
+            given,
+            lambda g: F.struct(
+                g["kind"].alias("kind"),
+                F.array_join(F.transform(g["bare"], lambda b: F.concat(F.lit(_GAP), b)), "").alias("pool"),
+                empty("array<string>").alias("spaced"),
+            ),
+        )
+        start = F.struct(n_kept.alias("n"), pools.alias("pools"), counts.alias("counts"))
+        of = lambda rows, name, value: F.element_at(F.filter(rows, lambda r: r[name] == value), 1)
+
+        def is_new(state: Column, t: Column) -> Column:
+            pool = of(state["pools"], "kind", t["kind"])
+            within = (pool["pool"] != "") & F.contains(pool["pool"], t["bare"])
+            contains = lambda o: F.contains(t["bare"], o)
+            full = F.lit(False) if max_candidates is None else state["n"] >= max_candidates
+            return ~(full | within | F.exists(pool["spaced"], contains) | F.exists(of(given, "kind", t["kind"])["bare"], contains))
+
+        def step(state: Column, t: Column) -> Column:
+            spaced = F.char_length(t["bare"]) < F.char_length(t["term"]["surface"])
+            longer = F.struct(
+                (state["n"] + 1).alias("n"),
+                F.transform(
+                    state["pools"],
+                    lambda p: F.when(p["kind"] != t["kind"], p).otherwise(
+                        F.struct(
+                            p["kind"].alias("kind"),
+                            F.concat(p["pool"], F.lit(_GAP), t["bare"]).alias("pool"),
+                            F.when(spaced, F.concat(p["spaced"], F.array(t["bare"]))).otherwise(p["spaced"]).alias("spaced"),
+                        )
+                    ),
+                ).alias("pools"),
+                F.transform(
+                    state["counts"], lambda c: F.struct(c["prefix"].alias("prefix"), (c["n"] + (c["prefix"] == t["term"]["prefix"]).cast("int")).alias("n"))
+                ).alias("counts"),
+            )
+            return F.when(is_new(state, t), longer).otherwise(state)
+
+        def emit(state: Column, t: Column) -> Column:
+            term = t["term"]
+            number = (of(state["counts"], "prefix", term["prefix"])["n"] + 1).cast("string")
+            entry = F.struct(
+                F.concat(F.lit("local-context-"), term["category"], F.lit("-"), number).alias("id"),
+                term["category"].alias("category"),
+                term["surface"].alias("surface"),
+                term["label"].alias("label"),
+                term["reason"].alias("reason"),
+                term["risk_level"].alias("risk_level"),
+                F.concat(F.lit("["), term["prefix"], F.lit("_"), number, F.lit("]")).alias("suggested_placeholder"),
+                term["confidence"].alias("confidence"),
+                F.lit(None).cast("int").alias("start"),
+                F.lit(None).cast("int").alias("end"),
+            )
+            return F.when(is_new(state, t), F.array(entry).cast(CANDIDATE_TYPE)).otherwise(empty(CANDIDATE_TYPE))
+
+        return folded(terms, start, step, emit, CANDIDATE_TYPE)
+
+    return let(F.struct(bare_candidates.alias("candidates"), bare_terms.alias("terms")), merged)
 
 
 def distinct_candidates(candidates: Column, limit: int | None = None) -> Column:
     """First candidate per category, span and surface, then the first ``limit`` of them if one is given."""
-    full = (lambda kept: F.lit(False)) if limit is None else (lambda kept: F.size(kept) >= limit)
-
-    def same(a: Column, b: Column) -> Column:
-        return (
-            a["category"].eqNullSafe(b["category"])
-            & a["start"].eqNullSafe(b["start"])
-            & a["end"].eqNullSafe(b["end"])
-            & a["surface"].eqNullSafe(b["surface"])
-        )
+    part = lambda c: F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
 
-    return F.aggregate(
-        candidates,
-        empty(CANDIDATE_TYPE),
-        lambda kept, c: F.when(
-            full(kept) | F.exists(kept, lambda k: same(k, c)), kept
-        ).otherwise(F.concat(kept, F.array(c))),
-    )
+    def key(c: Column) -> Column:
+        return F.concat(part(c["category"]), part(c["start"].cast("string")), part(c["end"].cast("string")), part(c["surface"]))
+
+    firsts = first_of_each(candidates, key)
+    return firsts if limit is None else F.slice(firsts, 1, limit)
 
 
 def preselected(candidates: Column, min_confidence: float = C.PRESELECT_CONFIDENCE) -> Column:

@@ -11,12 +11,17 @@ from ..functions.patterns import EDGE, NOT_AFTER_WORD, NOT_BEFORE_WORD, SP, SPAC
 REDACTED = "[redacted]"
 
 # --- fixed values: what a message may not carry ----------------------------
+_LINE_BREAK = "[\\n\\r\\u2028\\u2029]"
+_NEXT_FIELD = f"{SP}++{WORD}++{SP}*+[:=]"
+# A value ends before the white space in front of the next field, which is looked for once per run of white space, or at the end of the
+# text. A value of nothing but white space leaves some of it to the next field.
 _FIELD = (
-    f"(?i){NOT_AFTER_WORD}(prompt|input|content|body|user(?:{SP}+(?:text|message))?){SP}*[:=]{SP}*"
-    f"(\"[^\"]*\"|'[^']*'|`[^`]*`|[^\\n\\r\\u2028\\u2029]+?)(?=(?:{SP}+{WORD}+{SP}*[:=])|\\z)"
+    f"(?i){NOT_AFTER_WORD}(prompt|input|content|body|user(?:{SP}++(?:text|message))?){SP}*+[:=]"
+    f"(?:{SP}*+(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[^\\n\\r\\u2028\\u2029]+?)(?:(?<!{SP})(?={_NEXT_FIELD})|\\z)"
+    f"|(?>{SP}*?(?!{_LINE_BREAK}){SP})(?={_NEXT_FIELD})|{SP}++(?<!{_LINE_BREAK})\\z)"
 )
 _LONG_QUOTE = "\"[^\"]{24,}\"|'[^']{24,}'|`[^`]{24,}`"
-_EMAIL = "(?i)[A-Z0-9._%+-]++@[A-Z0-9.-]+\\.[A-Z]{2,}"
+_EMAIL = "(?i)(?:(?<![A-Z0-9._%+-])|\\G)[A-Z0-9._%+-]++@[A-Z0-9.-]+\\.[A-Z]{2,}"
 _PHONE = f"{NOT_AFTER_WORD}0[0-9]{{1,4}}[-{SPACE}]?[0-9]{{1,4}}[-{SPACE}]?[0-9]{{3,4}}{NOT_BEFORE_WORD}"
 _KEY_SHAPES = (
     f"(?i){NOT_AFTER_WORD}(?:(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[opusr]_[A-Za-z0-9_]{{20,}}"
@@ -24,7 +29,7 @@ _KEY_SHAPES = (
 )
 _TOKEN = "[A-Za-z0-9][A-Za-z0-9_-]{3,}|[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー々〆〤]{2,}"
 
-# kind, words any of which decides; first class that fits wins
+# --- fixed values: words of error messages, by class; first class that fits wins ---
 TRIAGE = [
     ("model_configuration", ["configurationerror", "incompatible", "unsupported model type"]),
     ("model_fetch", [

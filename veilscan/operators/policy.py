@@ -16,7 +16,8 @@ from ..functions.fixed import (
     RISK_RANK,
     SEVERITY_BY_RANK,
 )
-from ..functions.lets import fixed, literal_array, lookup
+from ..functions.lets import fixed, let, literal_array, lookup
+from ..functions.lists import is_in
 from ..functions.scoring import category_of, decision_rank, risk_score
 from ..functions.spans import risk_rank
 
@@ -37,6 +38,10 @@ def _ids(findings: Column) -> Column:
     return F.transform(findings, lambda f: f["id"])
 
 
+def _without(ids: Column, others: Column) -> Column:
+    return let(is_in(ids, others), lambda hit: F.filter(ids, lambda _, i: ~F.get(hit, i)))
+
+
 def with_policy(df: DataFrame, findings: str = "findings", out: str = "policy") -> DataFrame:
     """Action, severity, and which findings must or may be rewritten."""
     found = F.col(findings)
@@ -64,7 +69,8 @@ def with_policy(df: DataFrame, findings: str = "findings", out: str = "policy")
             F.element_at(literal_array(SEVERITY_BY_RANK), strongest + 1).alias("severity"),
             lookup(POLICY_REASON, act).alias("reason"),
             F.col("_required").alias("required_ids"),
-            F.filter(_ids(found), lambda i: ~F.array_contains(F.col("_required"), i)).alias("optional_ids"),
+            F.when(~sanitize, _ids(found)).when(F.size(must) == 0, none).otherwise(_without(_ids(found), F.col("_required")))
+            .alias("optional_ids"),
             (act != "sanitize_required").alias("can_send_raw"),
             (act == "sanitize_required").alias("requires_sanitization"),
             risk.alias("risk"),
@@ -115,13 +121,16 @@ def category_groups(df: DataFrame, keys: list[str], findings: str = "findings",
     Groups live within one row's findings, so they are built in the row; the
     rank column gives the display order (required first, then risk, then label).
     """
-    found = F.transform(
-        F.col(findings),
-        lambda f: F.struct(
-            category_of(f).alias("category"),
-            F.array_contains(F.col(policy)["required_ids"], f["id"]).alias("required"),
-            risk_rank(f["risk_level"]).alias("rank"),
-            f["id"].alias("id"),
+    found = let(
+        is_in(_ids(F.col(findings)), F.col(policy)["required_ids"]),
+        lambda required: F.transform(
+            F.col(findings),
+            lambda f, i: F.struct(
+                category_of(f).alias("category"),
+                F.get(required, i).alias("required"),
+                risk_rank(f["risk_level"]).alias("rank"),
+                f["id"].alias("id"),
+            ),
         ),
     )
     staged = df.withColumn("_found", fixed(found))
@@ -167,7 +176,7 @@ def selection_complete(required_ids: Column, selected_ids: Column) -> Column:
 
 
 def select_findings(findings: Column, selected_ids: Column) -> Column:
-    return F.filter(findings, lambda f: F.array_contains(selected_ids, f["id"]))
+    return let(is_in(_ids(findings), selected_ids), lambda chosen: F.filter(findings, lambda _, i: F.get(chosen, i)))
 
 
 def risk_meter(summary: Column, policy: Column) -> Column:

@@ -189,6 +189,14 @@ def fetch_attempts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def attempts_over_time(spark: SparkSession, folder: str) -> DataFrame:
+    """The fetches of customers, three each, at moments before, between and after their cached entries."""
+    moment = F.lit(NOW_MS) - (F.col("client_id") * 7919 + F.col("nth") * 1_700_017) % 6_000_000
+    return fetch_attempts(spark, folder).withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+        "*", moment.alias("attempted_at")
+    ).drop("nth")
+
+
 def cache_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Cached bundles: one per order, so a customer has several over time."""
     o = read_table(spark, folder, "orders")

@@ -16,6 +16,7 @@ from ..operators import candidates as C
 from ..operators import context as X
 from ..operators import evaluation as E
 from ..operators import files as FL
+from ..operators import intervals as I
 from ..operators import logs as L
 from ..operators import models as M
 from ..operators import policy as P
@@ -293,6 +294,33 @@ def overlap_resolution(spark, folder):
     )
 
 
+def _span_rows(spark: SparkSession, folder: str) -> DataFrame:
+    f = F.col("f")
+    return D.spans_of_orders(spark, folder).select("o_orderkey", F.posexplode("hits").alias("at", "f")).select(
+        "o_orderkey", f["start"].alias("start"), f["end"].alias("end"), f["rule_id"].alias("rule_id"), f["risk_level"].alias("risk_level"),
+        F.concat_ws(":", F.col("o_orderkey").cast("string"), F.col("at").cast("string")).alias("span_id"),
+    )
+
+
+@query("overlap_rows")
+def overlap_rows(spark, folder):
+    """Overlap resolution of spans that come as rows."""
+    kept = I.resolve_span_rows(_span_rows(spark, folder), ["o_orderkey"])
+    return kept.select("o_orderkey", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "rule_id", "risk_level")
+
+
+@query("overlap_pairs")
+def overlap_pairs(spark, folder):
+    """How many spans each kept span has pushed out: interval join of the kept with all."""
+    spans = _span_rows(spark, folder).where("start >= 0 AND end > start")
+    settled = S.resolve_column(D.spans_of_orders(spark, folder), "hits").select("o_orderkey", F.explode("findings").alias("f"))
+    kept = settled.select("o_orderkey", F.col("f")["start"].alias("start"), F.col("f")["end"].alias("end"))
+    pairs = I.interval_join(kept, spans.select("o_orderkey", "start", "end"), ["o_orderkey"])
+    return pairs.groupBy("o_orderkey", F.col("start").alias("span_start"), F.col("end").alias("span_end")).agg(
+        F.count("*").alias("n_met"), F.sum(F.col("other_end") - F.col("other_start")).alias("n_chars")
+    )
+
+
 @query("settled_findings")
 def settled_findings(spark, folder):
     return R.exploded(_found(spark, folder), ["key"]).select(
@@ -762,6 +790,12 @@ def rule_delivery(spark, folder):
     return B.delivery_outcome(D.fetch_attempts(spark, folder), D.cache_rows(spark, folder), D.NOW_MS)
 
 
+@query("rule_delivery_as_of")
+def rule_delivery_as_of(spark, folder):
+    """Each fetch with the cache entry that was the newest at its moment."""
+    return B.delivery_outcome_as_of(D.attempts_over_time(spark, folder), D.cache_rows(spark, folder))
+
+
 @query("bundle_cache_rows")
 def bundle_cache_rows(spark, folder):
     return D.stored_cache_entries(spark, folder).select("o_orderkey", B.cache_row_is_valid().alias("valid"))
@@ -798,19 +832,30 @@ def error_triage(spark, folder):
     return _messages(spark, folder).select("event_id", L.triage(F.col("message")).alias("kind"))
 
 
-@query("line_scan")
-def line_scan(spark, folder):
+def _source_files(spark: SparkSession, folder: str) -> DataFrame:
     notes = memos(spark, folder)
     path = F.concat(
         F.lit("src/"),
         F.element_at(F.array(*[F.lit(x) for x in ("a.ts", "dist/b.js", "c.log", "d.md", "e.png")]), (F.col("o_custkey") % 5 + 1).cast("int")),
     )
-    files = notes.select(
+    return notes.select(
         F.when(F.col("o_custkey") % 5 == 2, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"), F.lit(".log")))
         .otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), path)).alias("path"),
         "text",
     )
-    return L.line_scan(files)
+
+
+@query("line_scan")
+def line_scan(spark, folder):
+    return L.line_scan(_source_files(spark, folder))
+
+
+@query("line_scan_allowed")
+def line_scan_allowed(spark, folder):
+    """The same memos with an allow table: keys of orders that are finished."""
+    done = read_table(spark, folder, "orders").where("o_orderstatus = 'F'")
+    allowed = done.select(F.concat(F.lit("AKIA"), F.lpad(F.col("o_orderkey").cast("string"), 16, "0")).alias("value"))
+    return L.line_scan(_source_files(spark, folder), allowed=allowed)
 
 
 # --- evaluation -------------------------------------------------------------
