@@ -242,6 +242,16 @@ ORACLES["bundle_rule_detection"] = (
     f"SELECT key, 'remote:' || rule_id AS rule_id, {i('s')} AS span_start, {i('e')} AS span_end, t AS surface FROM hits"
 )
 
+PACKING = D.PACKING_SQL.replace("AS STRING", "AS VARCHAR")
+ORACLES["bundle_rules_per_text"] = f"""
+WITH ok AS (SELECT p_partkey FROM ({ORACLES["bundle_verdict"]}) WHERE admitted),
+r AS (SELECT part.p_partkey, p_brand, position, 'remote:rule' || CAST(position AS VARCHAR) || '-' || CAST(part.p_partkey AS VARCHAR) AS rule_id, p_size % 4 = 0 AS any_case
+  FROM part JOIN ok USING (p_partkey), (SELECT unnest([0, 1]) AS position) WHERE p_size % 7 <> 0),
+t AS (SELECT l_orderkey, l_linenumber, l_partkey, {PACKING} AS text FROM lineitem),
+place AS (SELECT *, strpos(text, 'Brand#') AS p, true AS upper FROM t UNION ALL SELECT *, strpos(text, 'brand#'), false FROM t)
+SELECT l_orderkey, l_linenumber, rule_id, {i('p - 1')} AS span_start, {i('p - 1 + length(p_brand)')} AS span_end, substr(text, p, length(p_brand)) AS surface, '[PART_1]' AS placeholder
+FROM place JOIN r ON r.p_partkey = l_partkey WHERE substr(text, p + 6, length(p_brand) - 6) = substr(p_brand, 7) AND (upper OR any_case)"""
+
 # --- span algebra -----------------------------------------------------------
 
 ORACLES["overlap_resolution"] = f"""
@@ -703,4 +713,16 @@ ORACLES["stream_scan"] = judged(f""", {rewritten(MASK)}
 SELECT c.conv_id, c.turn, c.role, p.n AS n_findings, p.action, p.severity, p.score, p.n > 0 AND p.action <> 'allow' AS needs_review, md5(r.text) AS safe_md5
 FROM conversations c JOIN policy p ON p.key = CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.turn AS VARCHAR) JOIN rewritten r ON r.key = p.key""", TURNS)
 
+def _version(number: int, ids: list[str]) -> str:
+    half = f"SELECT CAST(o_orderkey AS VARCHAR) AS key, text FROM ({MEMOS}) WHERE o_orderkey % 2 = {number}"
+    return f"""WITH {found_ctes(ids, half)},{POLICY_CTES}, {rewritten(MASK)}
+SELECT CAST(c.key AS BIGINT) AS o_orderkey, {i(number + 1)} AS rules_version, p.n AS n_findings, p.action, md5(r.text) AS safe_md5
+FROM corpus c JOIN policy p ON p.key = c.key JOIN rewritten r ON r.key = c.key"""
+
+
+ORACLES["stream_reload"] = (
+    f"SELECT * FROM ({_version(0, ['email', 'phone', 'amount'])}) UNION ALL "
+    f"SELECT * FROM ({_version(1, ['email', 'amount', 'date', 'url', 'aws_access_key'])})"
+)
+
 assert set(RISK) == set(X.RULE_IDS)

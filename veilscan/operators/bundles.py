@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions.lets import strip
+from ..functions.lets import fixed, strip
 from ..functions.patterns import EDGE, SP, SPACE
 from ..functions.rules import TextRule
+from ..functions.spans import CLOSE, FINDINGS_TYPE, OPEN, empty, spans_of_pieces, without_marks
 from .asof import HOUR_MS, as_of
 
 
@@ -305,3 +306,107 @@ def rules_of_bundle(spark, admitted: DataFrame) -> list[TextRule]:
             )
         )
     return out
+
+
+# --- rules of many bundles, as a table --------------------------------------
+
+_ESCAPE = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]+\}|c[A-Za-z]|[pP]\{[^}]*\}|k<[^>]*>|[0-9]+|.|$)", re.S)
+_PLAIN = re.compile(r"\\[^A-Za-z0-9]|[^\\^$.|?*+()\[\]{}]")
+
+
+def required_text(pattern: str, flags: str = "") -> str:
+    """The longest text that every hit of a delivered pattern holds, in lower case if case does not count; perhaps empty.
+
+    Only what stands outside of groups and classes counts, and nothing in a pattern of alternatives.
+    """
+    best, run, depth, at = "", "", 0, 0
+    while at < len(pattern):
+        if pattern[at] == "[":
+            token = re.compile(r"\[(?:\\.|[^\]\\])*\]", re.S).match(pattern, at)
+            token = token.group(0) if token else pattern[at:]
+        elif quantifier := re.compile(r"\{[0-9]+(?:,[0-9]*)?\}").match(pattern, at):
+            token = quantifier.group(0)
+        else:
+            token = _ESCAPE.match(pattern, at).group(0) if pattern[at] == "\\" else pattern[at]
+        at += len(token)
+        depth += (token == "(") - (token == ")")
+        if token == "|" and depth == 0:
+            return ""
+        after = pattern[at : at + 1]
+        plain = depth == 0 and _PLAIN.fullmatch(token) and after not in ("?", "*", "{")
+        run = run + token[-1] if plain else ""
+        best = max(best, run, key=len)
+        if after == "+":
+            run = ""
+    return best.lower() if "i" in flags else best
+
+
+def bundle_rule_table(bundles: DataFrame, key: str) -> DataFrame:
+    """Rules of all admitted bundles as rows of ``key``, ``number`` and ``rule``, ready to be scanned with.
+
+    Patterns are spelled for the JVM once per distinct pattern, streamed through the driver, whose regex engine is asked whether it
+    takes them; rules without a counterpart are left out, as in :func:`rules_of_bundle`.
+    """
+    spark = bundles.sparkSession
+    r = F.col("rule")
+    rows = bundles.where("admitted").select(key, F.posexplode("rules").alias("number", "rule")).where(F.coalesce(r["enabled"], F.lit(True)))
+    usable = []
+    for p in rows.select(r["pattern"].alias("pattern"), r["flags"].alias("flags")).distinct().toLocalIterator():
+        pattern = java_pattern(p["pattern"], p["flags"])
+        if pattern is not None and compiles(spark, pattern):
+            usable.append((p["pattern"], p["flags"], pattern, required_text(p["pattern"], p["flags"]), "i" in p["flags"]))
+    known = spark.createDataFrame(usable, "pattern string, flags string, java string, needle string, any_case boolean")
+    rows = rows.join(known, (r["pattern"] == known["pattern"]) & (r["flags"] == known["flags"]))
+    return rows.select(
+        key,
+        "number",
+        F.struct(
+            F.concat(F.lit("remote:"), r["id"]).alias("id"),
+            r["label"].alias("label"),
+            r["risk_level"].alias("risk_level"),
+            F.concat(F.lit("["), r["prefix"], F.lit("_1]")).alias("placeholder"),
+            F.coalesce(r["message"], F.lit(X.BUNDLE_DEFAULT_MESSAGE)).alias("message"),
+            F.coalesce(r["confidence"], F.lit(X.BUNDLE_DEFAULT_CONFIDENCE)).alias("confidence"),
+            r["category"].alias("category"),
+            "java",
+            "needle",
+            "any_case",
+        ).alias("rule"),
+    )
+
+
+def scan_with_own_bundle(texts: DataFrame, rules: DataFrame, key: str, text: str = "text", out: str = "hits") -> DataFrame:
+    """Unsettled hits of each text with the rules of its own bundle (``key`` on both sides).
+
+    A bundle's rules come to its texts as one array, at most as long as a bundle may be; a byte search for the text that a rule's
+    hits must hold decides whether its pattern runs at all. Texts whose bundle has no rules have no hits.
+    """
+    packed = rules.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("number", "rule"))).alias("_rules"))
+    staged = texts.join(packed, key, "left").withColumn("_match", without_marks(F.coalesce(F.col(text), F.lit("")))).withColumn("_folded", F.lower("_match"))
+    match = F.col("_match")
+
+    def hits_of(rule: Column) -> Column:
+        marked = F.regexp_replace(match, rule["java"], F.lit(f"{OPEN}$0{CLOSE}"))
+        spans = spans_of_pieces(F.split(F.concat(F.lit(CLOSE), marked), OPEN, -1))
+        found = F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                rule["id"].alias("rule_id"),
+                F.lit("rule").alias("source"),
+                rule["label"].alias("label"),
+                rule["risk_level"].alias("risk_level"),
+                rule["category"].alias("category"),
+                F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("text"),
+                rule["placeholder"].alias("placeholder"),
+                rule["message"].alias("message"),
+                rule["confidence"].alias("confidence"),
+                F.concat_ws(":", rule["id"], s["start"].cast("string"), s["end"].cast("string")).alias("id"),
+            ),
+        ).cast(FINDINGS_TYPE)
+        near = F.contains(F.when(rule["any_case"], F.col("_folded")).otherwise(match), rule["needle"])
+        return F.when(near, found).otherwise(empty(FINDINGS_TYPE))
+
+    every = F.flatten(F.transform(F.coalesce("_rules", F.array().cast(packed.schema["_rules"].dataType)), lambda r: hits_of(r["rule"])))
+    return staged.withColumn(out, fixed(every)).drop("_match", "_folded", "_rules")

@@ -165,6 +165,16 @@ def bundles(spark: SparkSession, folder: str) -> DataFrame:
     ).select("p_partkey", "b.*", "signature_ok")
 
 
+PACKING_SQL = """'Order ' || CAST(l_orderkey AS STRING) || ' needs Brand#' || CAST(1 + l_linenumber % 5 AS STRING) || CAST(1 + l_suppkey % 5 AS STRING)
+|| ', not brand#' || CAST(1 + l_partkey % 5 AS STRING) || CAST(1 + l_orderkey % 5 AS STRING)"""
+
+
+def packing_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """One note per line of an order; its part says which bundle it belongs to."""
+    lines = read_table(spark, folder, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.expr(PACKING_SQL).alias("text"))
+
+
 def signing_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Known keys: ten of the twelve that bundles name."""
     nation = read_table(spark, folder, "nation").where("n_nationkey < 10")

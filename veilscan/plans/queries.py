@@ -25,7 +25,8 @@ from ..operators import scan as S
 from ..operators import settings as ST
 from ..session import work_folder
 from ..sources.readers import parse_signed_bundles, read_table, read_text_files, safe_files
-from ..streaming.messages import start_scan
+from ..streaming.messages import start_scan, start_versioned_scan
+from ..streaming.rules import publish_rules
 from . import derived as D
 from .corpus import corpus, memos
 
@@ -281,6 +282,15 @@ def bundle_rule_detection(spark, folder):
     return _spans(hits, ["key"], "hits").select("key", "rule_id", "span_start", "span_end", "surface")
 
 
+@query("bundle_rules_per_text")
+def bundle_rules_per_text(spark, folder):
+    """Each packing note with the rules of its own part's bundle, for all admitted bundles at once."""
+    keyed = B.with_known_key(B.with_clean_payload(D.bundles(spark, folder)), D.signing_keys(spark, folder))
+    rules = B.bundle_rule_table(B.with_verdict(keyed, _now()), "p_partkey")
+    found = B.scan_with_own_bundle(D.packing_notes(spark, folder), rules, "p_partkey")
+    return _spans(found, ["l_orderkey", "l_linenumber"], "hits").select("l_orderkey", "l_linenumber", "rule_id", "span_start", "span_end", "surface", "placeholder")
+
+
 # --- span algebra -----------------------------------------------------------
 
 
@@ -895,4 +905,18 @@ def stream_scan(spark, folder):
     )
 
 
+@query("stream_reload")
+def stream_reload(spark, folder):
+    """Memos as a stream of two batches; a second version of the rules is published in between and takes effect at once."""
+    source, target, state, rules = (work_folder(spark, n) for n in ("messages", "stream-out", "stream-state", "rules"))
+    notes = memos(spark, folder)
+    versions = [["email", "phone", "amount"], ["email", "amount", "date", "url", "aws_access_key"]]
+    for number, ids in enumerate(versions):
+        publish_rules(spark, rules, number + 1, select_rules(enabled_ids=ids))
+        notes.where(F.col("o_orderkey") % 2 == number).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(notes.schema).parquet(source)
+        start_versioned_scan(stream, "text", target, state, rules).awaitTermination()
+    return spark.read.parquet(target).select("o_orderkey", "rules_version", "n_findings", "action", F.md5("safe_text").alias("safe_md5"))
+
+
 __all__ = ["QUERIES"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import TextRule
 from ..operators.policy import needs_send_review, with_policy
 from ..operators.scan import with_findings, with_rewritten
+from .rules import rules_of_version, version_of_batch
 
 
 def review_columns(messages: DataFrame, text: str, rules: list[TextRule] | None = None, mode: str = "mask") -> DataFrame:
@@ -63,3 +64,21 @@ def start_scan(
         .trigger(**trigger)
         .start()
     )
+
+
+def start_versioned_scan(messages: DataFrame, text: str, target: str, checkpoint: str, rules: str, mode: str = "mask", trigger: dict | None = None):
+    """Start a streaming scan whose rules are a versioned table (:mod:`streaming.rules`), read for every batch.
+
+    A new version takes effect with the next batch, without a restart. The version of each batch is written down before its
+    output, so a replayed batch gives the same rows even if the rules have changed since; it overwrites itself.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        version = version_of_batch(spark, rules, f"{checkpoint}-rules", batch_id)
+        out = review_columns(batch, text, rules_of_version(spark, rules, version), mode).withColumn("rules_version", F.lit(version))
+        out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return (
+        messages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    )
