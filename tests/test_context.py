@@ -1,5 +1,6 @@
 """Context hints, candidates, entity spans, prototypes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,5 +122,31 @@ def test_prototypes_of_any_category_and_number(spark):
     protos = spark.createDataFrame([(0, "x", [1.0, 0.0]), (1, "x", [0.9, 0.1]), (2, "y", [0.0, 1.0])], "position int, category string, embedding array<double>")
     row = M.nearest_prototype(spark.createDataFrame([([1.0, 0.05],)], "embedding array<double>"), protos).first()
     assert row.category == "x" and row.accepted and row.margin > 0.5
-    with pytest.raises(ValueError):
-        M.nearest_prototype(spark.createDataFrame([([1.0, 0.05],)], "embedding array<double>"), protos, max_prototypes=2)
+
+
+def _nearest(vector, prototypes):
+    """Every prototype compared, sorted."""
+    unit = lambda v: v / n if (n := np.sqrt((v * v).sum())) > 0 else v * 0
+    ranked = sorted((-float(unit(vector) @ unit(v)) if len(v) == len(vector) else 1.0, p, c) for p, c, v in prototypes)
+    other = [r for r in ranked if r[2] != ranked[0][2]]
+    return ranked[0][2], -ranked[0][0], -ranked[0][0] - (-other[0][0] if other else -1.0)
+
+
+def test_prototypes_in_blocks_equal_a_full_comparison(spark):
+    r = np.random.default_rng(3)
+    for n, block in ((1, 2), (7, 3), (60, 7), (50_000, 8_000)):
+        prototypes = [(i, f"c{r.integers(0, 5)}", np.round(r.standard_normal(4 if i % 9 else 3), 1)) for i in range(n)]
+        vectors = [np.round(r.standard_normal(4), 1) for _ in range(3)] + [np.zeros(4)]
+        protos = spark.createDataFrame([(p, c, v.tolist()) for p, c, v in prototypes], "position int, category string, embedding array<double>")
+        rows = M.nearest_prototype(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, embedding array<double>"), protos, block=block).collect()
+        for row in rows:
+            category, similarity, margin = _nearest(vectors[row.id], prototypes)
+            assert row.category == category and abs(row.similarity - similarity) < 1e-12 and abs(row.margin - margin) < 1e-12
+
+
+def test_vectors_and_prototypes_that_are_missing(spark):
+    protos = spark.createDataFrame([(0, "a", [1.0]), (1, None, [-1.0])], "position int, category string, embedding array<double>")
+    vectors = spark.createDataFrame([(0, None), (1, []), (2, [2.0])], "id int, embedding array<double>")
+    got = {x.id: (x.category, x.similarity, x.accepted) for x in M.nearest_prototype(vectors, protos).collect()}
+    assert got == {0: (None, -1.0, False), 1: (None, -1.0, False), 2: ("a", 1.0, True)}
+    assert {x.category for x in M.nearest_prototype(vectors, protos.limit(0)).collect()} == {None}

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import context_fixed as C
-from ..functions.lets import strip
+from ..functions.lets import fixed, let, lookup, strip
 from ..functions.patterns import SPACE
-from ..functions.lets import lookup
-
+from ..session import stored
 
 
 def segments(
@@ -44,49 +43,85 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
+BEST_TYPE = "struct<similarity:double,position:int,category:string,next:double>"
+
+
+def _better(sim: Column, p: Column, best: Column) -> Column:
+    """Larger similarity, then earlier position, then category."""
+    same = sim == best["similarity"]
+    return (
+        best["position"].isNull()
+        | (sim > best["similarity"])
+        | (same & (p["position"] < best["position"]))
+        | (same & (p["position"] == best["position"]) & (p["category"] < best["category"]))
+    )
+
+
+def _best_of(unit: Column, prototypes: Column, start: Column) -> Column:
+    """Best prototype, and the largest similarity among those of any other category: one pass, nothing is sorted."""
+
+    def step(best: Column, p: Column) -> Column:
+        # An empty vector has no size in common with any.
+        sim = F.when(F.size(p["unit"]) != F.size(unit), F.lit(-1.0)).otherwise(_dot(unit, p["unit"]))
+
+        def against(sim: Column) -> Column:
+            other = ~p["category"].eqNullSafe(best["category"])
+            first = best["position"].isNull()
+            return F.when(
+                _better(sim, p, best),
+                F.struct(
+                    sim.alias("similarity"),
+                    p["position"].alias("position"),
+                    p["category"].alias("category"),
+                    F.when(other & ~first, best["similarity"]).otherwise(best["next"]).alias("next"),
+                ),
+            ).otherwise(
+                F.struct(
+                    best["similarity"].alias("similarity"),
+                    best["position"].alias("position"),
+                    best["category"].alias("category"),
+                    F.when(other, F.greatest(best["next"], sim)).otherwise(best["next"]).alias("next"),
+                )
+            )
+
+        return let(sim, against)
+
+    return F.aggregate(prototypes, start, step)
+
+
 def nearest_prototype(
     vectors: DataFrame,
     prototypes: DataFrame,
     embedding: str = "embedding",
     min_similarity: float = C.MIN_SIMILARITY,
     min_margin: float = C.MIN_SIMILARITY_MARGIN,
-    max_prototypes: int = 10_000,
+    block: int = 2_000,
 ) -> DataFrame:
     """Closest prototype per vector, with the margin to the next category and a confidence.
 
-    ``prototypes`` has ``position``, ``category`` and ``embedding``, any number of rows per category. They come in as one
-    array by a scalar subquery, with no join; more than ``max_prototypes`` are refused rather than dropped.
+    ``prototypes`` has ``position``, ``category`` and ``embedding``, any number of rows, any number per category. They come in as
+    arrays of about ``block`` by scalar subqueries, with no join; each block goes on from the best of the blocks before, so a row
+    carries no more than that.
     """
-    if (n := prototypes.count()) > max_prototypes:
-        raise ValueError(f"{n} prototypes; at most {max_prototypes} fit in one value")
     unit = _unit(F.col("embedding").cast("array<double>")).alias("unit")
-    packed = prototypes.agg(F.array_sort(F.collect_list(F.struct("position", "category", unit))).alias("packed"))
+    known = prototypes.select(F.col("position").cast("int").alias("position"), "category", unit)
+    n_blocks = max(1, -(-prototypes.count() // block))
+    if n_blocks > 1:
+        known = stored(known, "prototypes")
     staged = vectors.withColumn("_unit", _unit(F.col(embedding).cast("array<double>"))).withColumn(
-        "_prototypes", packed.scalar()
+        "_best", F.lit(None).cast(BEST_TYPE)
     )
-    similarity = F.when(
-        (F.size(F.col("_unit")) == 0), F.array().cast("array<struct<order:double,position:int,category:string>>")
-    ).otherwise(
-        F.array_sort(
-            F.transform(
-                F.col("_prototypes"),
-                lambda p: F.struct(
-                    (
-                        -F.when(F.size(p["unit"]) != F.size(F.col("_unit")), F.lit(-1.0)).otherwise(
-                            _dot(F.col("_unit"), p["unit"])
-                        )
-                    ).alias("order"),
-                    p["position"].alias("position"),
-                    p["category"].alias("category"),
-                ),
-            )
-        )
+    nothing = F.struct(
+        F.lit(-1.0).alias("similarity"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("category"), F.lit(-1.0).alias("next")
     )
-    staged = staged.withColumn("_ranked", similarity)
-    best = F.get(F.col("_ranked"), F.lit(0))
-    similarity_best = F.greatest(-best["order"], F.lit(-1.0))
-    other = F.get(F.filter("_ranked", lambda r: ~r["category"].eqNullSafe(best["category"])), F.lit(0))
-    similarity_next = F.greatest(F.coalesce(-other["order"], F.lit(-1.0)), F.lit(-1.0))
+    for k in range(n_blocks):
+        own = known.where(F.pmod(F.xxhash64("position", "category"), F.lit(n_blocks)) == k) if n_blocks > 1 else known
+        packed = own.agg(F.collect_list(F.struct("position", "category", "unit")).alias("packed"))
+        best = _best_of(F.col("_unit"), F.col("_packed"), F.coalesce("_best", nothing))
+        staged = staged.withColumn("_packed", packed.scalar()).withColumn("_best", fixed(F.when(F.size("_unit") > 0, best))).drop("_packed")
+    best = F.col("_best")
+    similarity_best = F.greatest(best["similarity"], F.lit(-1.0))
+    similarity_next = F.coalesce(F.greatest(best["next"], F.lit(-1.0)), F.lit(-1.0))
     scaled = F.lit(0.7) + ((similarity_best - min_similarity) / max(1 - min_similarity, 0.01)) * F.lit(0.25)
     return (
         staged.withColumn("category", best["category"])
@@ -102,7 +137,7 @@ def nearest_prototype(
             ),
         )
         .withColumn("confidence", F.greatest(F.lit(0.7), F.least(F.lit(0.95), scaled)))
-        .drop("_unit", "_prototypes", "_ranked")
+        .drop("_unit", "_best")
     )
 
 
