@@ -31,6 +31,21 @@ def test_only_the_touched_region_is_encoded():
     assert n < 1000
 
 
+def test_a_long_insertion_gets_leaves_of_its_own():
+    counts, r = counter(RANKS, PATTERN), random.Random(2)
+    t = text(1, 20000)
+    tree = Tree.of(*counts.leaves(t))
+    for at in (70_000, 0, 30_000):
+        new = text(at, 3000)
+        t, tree, n = edit(counts, t, tree, at, at + 5, new)
+        assert len(new) <= n < len(new) + 2000 and tree.tokens[1] == len(counts.encoding.encode_ordinary(t)) and tree.chars[1] == len(t)
+        assert max(tree.chars[tree.half :]) < 1000
+        for _ in range(5):
+            start = r.randint(0, len(t))
+            t, tree, _ = edit(counts, t, tree, start, start, " word")
+            assert tree.tokens[1] == len(counts.encoding.encode_ordinary(t)) and tree.chars[1] == len(t)
+
+
 def test_edits_of_a_table(spark):
     counts = counter(RANKS, PATTERN)
     texts = [*ODD_TEXTS, text(1), text(2, 500)]

@@ -50,5 +50,5 @@ def test_stages_take_effect_on_what_is_left(spark):
 def test_registered():
     queries = __spark_entry__.queries()
     assert queries["pipeline"] is corpus_pipeline.run
-    assert sorted(int(q[2:].split("_")[0]) for q in queries if q.startswith("op") and q[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries if q.startswith("op") and q[2].isdigit()) == list(range(1, 14))
     assert public_tokenizers.path("word_bpe_49k.json")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, ship, stored, table_of
+from .common import as_bytes, chunks, free_name, ship, stored, table_of
 
 SHINGLE, HASHES, BITS, ROWS, BANDS = 5, 128, 4, 4, 28
 THRESHOLD, MARGIN = (75, 100), 0.2
@@ -351,9 +351,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: of each component one row of the document with the smallest id."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row = free_name(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    first = rows.groupBy(F.col("doc_id").cast("long").alias("_id"), digest.alias("_md5")).agg(F.min("_row").alias("_row"))
+    first = rows.groupBy(F.col("doc_id").cast("long").alias("_id"), digest.alias("_md5")).agg(F.min(row).alias(row))
     gone = near_duplicates(rows).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_md5").alias("_gone_md5")).distinct()
     stay = first.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_md5") == F.col("_gone_md5")), "left_anti")
-    return rows.join(stay.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(stay.select(row), row, "left_semi").select(*docs.columns)

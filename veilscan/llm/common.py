@@ -46,6 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, with as many underscores in front as it takes for no column's name to begin with it."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem = "_" + stem
+    return stem
+
+
 def as_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and UTF-8 text, whatever else the table holds."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))

@@ -138,8 +138,12 @@ def edit(counts: Counter, text: str, tree: Tree, start: int, end: int, new: str)
             break
         last = min(tree.half - 1, last + max(1, last - first))
     chars, tokens = sum(map(len, parts)), sum(map(counts.__getitem__, parts))
-    if chars > 64 * LEAF * (last - first + 1):  # a long insertion: leaves would grow without bound
-        return after, Tree.of(*counts.leaves(after)), len(after)
+    if chars > 64 * LEAF * (last - first + 1):  # a long insertion gets leaves of its own; all others keep their counts
+        used = int(np.flatnonzero(tree.chars[tree.half :]).max(initial=last)) + 1
+        old = tree.chars[tree.half :][:used].tolist(), tree.tokens[tree.half :][:used].tolist()
+        groups = [parts[i : i + LEAF] for i in range(0, len(parts), LEAF)]
+        new = [sum(map(len, g)) for g in groups], [sum(map(counts.__getitem__, g)) for g in groups]
+        return after, Tree.of(*(o[:first] + n + o[last + 1 :] for o, n in zip(old, new, strict=True))), chars
     width = last - first + 1
     share = -(-len(parts) // width)
     for i in range(width):

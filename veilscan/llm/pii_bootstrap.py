@@ -20,6 +20,7 @@ since instances are counted distinctly. Offsets are code points. Other columns a
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -134,7 +135,14 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             low = start + len(raw) - len(raw.lstrip(EDGE))
             found.append((low, low + len(word), -1, i, i, run_of.get(i, low), i not in run_of))
     found += [(s, e, kind, i, j, s, True) for (s, e, kind), (i, j) in first.items()]
-    plain = lambda i: re.sub("[0-9]", "0", words[i][2])[:40] if 0 <= i < len(words) else "^"
+
+    def plain(i: int) -> str:
+        """The word as patterns have it; a long one by its digest, so that different words stay different."""
+        if not 0 <= i < len(words):
+            return "^"
+        word = re.sub("[0-9]", "0", words[i][2])
+        return word if len(word) <= 40 else hashlib.sha256(word.encode("utf-8", "replace")).hexdigest()[:32]
+
     return [
         {
             "start": s, "end": e, "kind": kind, "instance": text[s:e].lower(), "run": run, "whole": whole,

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, chunks, ship, stored, table_of
+from .common import as_bytes, chunks, free_name, ship, stored, table_of
 
 WINDOW = 8
 TOGETHER = 1 << 20  # text bytes counted at a time; the arrays take some fifty times that
@@ -228,7 +228,7 @@ def _annotate(names: list[str], text: str):
 def keep_good(docs: DataFrame, text: str = "text", keep_from: float = 0.5, min_words: int = 20, most_repeats: int = 30, prior: float = 0.9) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns unchanged. Two narrow passes, no join."""
     model = fit_rules(stored(text_statistics(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))), "statistics"), prior)
-    at = "_quality_"
+    at = free_name(docs, "_quality_")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(at + c, T.LongType()) for c in COUNTS)])
     counted = docs.mapInArrow(_annotate([at + c for c in COUNTS], text), schema)
     _, _, kept = _verdict(model, at, keep_from, min_words, most_repeats)
