@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm.bbit_minhash import drop_near_duplicates
 from veilscan.llm.best_fit import pack
-from veilscan.llm.common import read, stored
+from veilscan.llm.common import free_name, read, stored
 from veilscan.llm.decontaminate import drop_contaminated
 from veilscan.llm.secret_forest import redact, secret_findings
 from veilscan.llm.weak_quality import keep_good
@@ -36,9 +36,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts and ``n_chars`` counted anew where there is one."""
     _, forest, words = secret_findings(docs, path="source")
-    clean = redact(docs.withColumn("_before", F.col("text")), forest, words, path="source")
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return clean.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+    before = free_name(docs, "_before")
+    clean = redact(docs.withColumn(before, F.col("text")), forest, words, path="source")
+    changed = ~F.col("text").eqNullSafe(F.col(before))
+    return clean.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
