@@ -81,6 +81,11 @@ hit AS (SELECT DISTINCT key FROM found)
 SELECT f.doc_id, CASE WHEN h.key IS NULL THEN name ELSE {SAFE} END AS name, h.key IS NOT NULL AS rewritten, md5(r.text) AS text_md5
 FROM ({FILES}) f JOIN rewritten r ON r.key = CAST(f.doc_id AS VARCHAR) LEFT JOIN hit h ON h.key = r.key
 WHERE {KIND} = 'supported_text'""", None, DOCS)
+ORACLES["safe_files_written"] = found(f""", {rewritten(MASK)},
+hit AS (SELECT DISTINCT key FROM found)
+SELECT f.doc_id, CASE WHEN h.key IS NULL THEN name ELSE {SAFE} END AS name, CAST(strlen(r.text) AS BIGINT) AS n_bytes, md5(r.text) AS text_md5
+FROM ({FILES}) f JOIN rewritten r ON r.key = CAST(f.doc_id AS VARCHAR) LEFT JOIN hit h ON h.key = r.key
+WHERE {KIND} = 'supported_text'""", None, DOCS)
 BATCH = f"""SELECT f.source, f.name, {KIND} AS kind, p.n, p.action <> 'sanitize_required' AS raw
 FROM ({FILES}) f JOIN policy p ON p.key = CAST(f.doc_id AS VARCHAR)"""
 ORACLES["batch_attach_verdict"] = judged(f"""SELECT source, COUNT(*) AS n_files,
@@ -709,6 +714,23 @@ WHERE r NOT IN (SELECT DISTINCT rule_id FROM found)""", [r for r in X.RULE_IDS i
 # --- streaming --------------------------------------------------------------
 
 TURNS = "SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS key, text FROM conversations"
+_N = len(X.RULE_IDS)
+_LONGER = "lambda p, q: CASE WHEN len(q) > len(p) THEN q ELSE p END"
+_BELOW = "list_filter(a, lambda c: c[len(c)] < b[1][1])"
+ORACLES["catalogue_order"] = f"""
+WITH base AS (SELECT s_suppkey AS k, i - 1 AS i, ({IDS})[i] AS rule_id FROM supplier, (SELECT unnest(range(1, {_N + 1})) AS i)),
+doc AS (
+  SELECT k, CASE WHEN i = k * 7 % {_N} AND k % 2 = 0 THEN 60 WHEN i = k * 11 % {_N} AND k % 6 = 0 THEN -5 ELSE i * 2 END AS p, rule_id FROM base WHERE NOT (i = k % {_N} AND k % 3 = 0)
+  UNION ALL SELECT k, 90, rule_id FROM base WHERE i = k * 5 % {_N} AND k % 4 = 1
+  UNION ALL SELECT k, 7, 'retired_rule' FROM base WHERE i = 0 AND k % 5 = 0),
+said AS (SELECT k, rule_id, count(*) AS n, min(p) AS p FROM doc GROUP BY k, rule_id),
+runs AS (SELECT k, list_reduce(list_reduce(list([[CAST(i AS INT)]] ORDER BY p, i), lambda a, b:
+    list_concat(a, [list_concat(CASE WHEN len({_BELOW}) = 0 THEN CAST([] AS INT[]) ELSE list_reduce({_BELOW}, {_LONGER}) END, b[1])])), {_LONGER}) AS run
+  FROM said JOIN base USING (k, rule_id) GROUP BY k),
+judged AS (SELECT k AS s_suppkey, rule_id, CASE WHEN i IS NULL THEN 'unknown rule' WHEN n IS NULL THEN 'not documented' WHEN n > 1 THEN 'repeated id'
+    WHEN NOT list_contains(run, i) THEN 'moved' END AS problem
+  FROM said FULL JOIN base USING (k, rule_id) LEFT JOIN runs USING (k))
+SELECT * FROM judged WHERE problem IS NOT NULL"""
 ORACLES["stream_scan"] = judged(f""", {rewritten(MASK)}
 SELECT c.conv_id, c.turn, c.role, p.n AS n_findings, p.action, p.severity, p.score, p.n > 0 AND p.action <> 'allow' AS needs_review, md5(r.text) AS safe_md5
 FROM conversations c JOIN policy p ON p.key = CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.turn AS VARCHAR) JOIN rewritten r ON r.key = p.key""", TURNS)

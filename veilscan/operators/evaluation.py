@@ -90,6 +90,44 @@ def catalogue(spark) -> DataFrame:
     )
 
 
+def longest_run(positions: Column) -> Column:
+    """A longest rising run of distinct positions, the one that ends first among equals; for the few entries of a catalogue."""
+    chains = "array<array<int>>"
+
+    def step(ends: Column, x: Column) -> Column:
+        below = F.filter(ends, lambda c: F.element_at(c, -1) < x)
+        longest = F.aggregate(below, F.array().cast("array<int>"), lambda best, c: F.when(F.size(c) > F.size(best), c).otherwise(best))
+        return F.concat(ends, F.array(F.concat(longest, F.array(x))))
+
+    every = F.aggregate(positions, F.array().cast(chains), step)
+    return F.aggregate(every, F.array().cast("array<int>"), lambda best, c: F.when(F.size(c) > F.size(best), c).otherwise(best))
+
+
+def check_catalogue_order(known: DataFrame, documented: DataFrame, group: str) -> DataFrame:
+    """Per documented catalogue (``group``), rules that are repeated, unknown, missing, or moved.
+
+    ``known`` has ``position`` and ``rule_id``; ``documented`` has ``group``, ``position`` and ``rule_id``, in an order of its own. A rule is
+    moved if it is not in the longest run of rules (first mentions) that keep the order of the known ones.
+    """
+    mentions = documented.groupBy(group, "rule_id").agg(F.count(F.lit(1)).alias("_n"), F.min("position").alias("_at"))
+    catalogue = known.agg(F.collect_list(F.struct("rule_id", F.col("position").cast("int").alias("_known"))))
+    wanted = documented.select(group).distinct().select(group, F.inline(catalogue.scalar()))
+    both = wanted.join(mentions, [group, "rule_id"], "full_outer")
+    # As many entries as the catalogue has rules.
+    order = both.where("_n IS NOT NULL AND _known IS NOT NULL").groupBy(group).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_known"))), lambda m: m["_known"]).alias("_order")
+    )
+    order = order.select(group, longest_run(F.col("_order")).alias("_run"))
+    out = both.join(order, group, "left")
+    problem = (
+        F.when(F.col("_known").isNull(), "unknown rule")
+        .when(F.col("_n").isNull(), "not documented")
+        .when(F.col("_n") > 1, "repeated id")
+        .when(~F.array_contains("_run", F.col("_known")), "moved")
+    )
+    return out.select(group, "rule_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def check_catalogue(known: DataFrame, documented: DataFrame) -> DataFrame:
     """Rules that are repeated, missing on one side, or documented with another prefix.
 

@@ -165,6 +165,18 @@ def bundles(spark: SparkSession, folder: str) -> DataFrame:
     ).select("p_partkey", "b.*", "signature_ok")
 
 
+def documented_catalogues(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule list per supplier, each with its own slips: a rule left out, moved, told twice, or not known."""
+    key, n = F.col("s_suppkey"), len(RULE_IDS)
+    ids = F.array(*[F.lit(x) for x in RULE_IDS])
+    base = read_table(spark, folder, "supplier").select(key, F.posexplode(ids).alias("i", "rule_id"))
+    moved = F.when((F.col("i") == key * 7 % n) & (key % 2 == 0), 60).when((F.col("i") == key * 11 % n) & (key % 6 == 0), -5).otherwise(F.col("i") * 2)
+    listed = base.where(~((F.col("i") == key % n) & (key % 3 == 0))).select(key, moved.cast("int").alias("position"), "rule_id")
+    twice = base.where((F.col("i") == key * 5 % n) & (key % 4 == 1)).select(key, F.lit(90).alias("position"), "rule_id")
+    old = base.where((F.col("i") == 0) & (key % 5 == 0)).select(key, F.lit(7).alias("position"), F.lit("retired_rule").alias("rule_id"))
+    return listed.unionByName(twice).unionByName(old)
+
+
 PACKING_SQL = """'Order ' || CAST(l_orderkey AS STRING) || ' needs Brand#' || CAST(1 + l_linenumber % 5 AS STRING) || CAST(1 + l_suppkey % 5 AS STRING)
 || ', not brand#' || CAST(1 + l_partkey % 5 AS STRING) || CAST(1 + l_orderkey % 5 AS STRING)"""
 

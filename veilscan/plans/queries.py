@@ -25,6 +25,7 @@ from ..operators import scan as S
 from ..operators import settings as ST
 from ..session import work_folder
 from ..sources.readers import parse_signed_bundles, read_table, read_text_files, safe_files
+from ..sources.safe_sink import read_files, write_files
 from ..streaming.messages import start_scan, start_versioned_scan
 from ..streaming.rules import publish_rules
 from . import derived as D
@@ -110,6 +111,16 @@ def safe_file_sink(spark, folder):
     return spark.read.parquet(target).select("doc_id", "name", "rewritten", F.md5("text").alias("text_md5"))
 
 
+@query("safe_files_written")
+def safe_files_written(spark, folder):
+    """Inspectable files written one by one under their safe names, and read back from their folders."""
+    target = work_folder(spark, "safe-single-files")
+    files = D.files(spark, folder).where(FL.file_kind(F.col("name")) == "supported_text").select(F.col("doc_id").cast("string").alias("key"), "name", "text")
+    write_files(safe_files(files, "mask"), target)
+    read = read_files(files.select("key"), target)
+    return read.select(F.col("key").cast("bigint").alias("doc_id"), "name", F.length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("text_md5"))
+
+
 @query("batch_attach_verdict")
 def batch_attach_verdict(spark, folder):
     files = P.with_policy(S.with_findings(D.files(spark, folder), "text"))
@@ -890,6 +901,12 @@ def catalogue_check(spark, folder):
     return E.check_catalogue(E.catalogue(spark), seen.distinct())
 
 
+@query("catalogue_order")
+def catalogue_order(spark, folder):
+    """The rule list of each supplier against the catalogue, order included."""
+    return E.check_catalogue_order(E.catalogue(spark), D.documented_catalogues(spark, folder), "s_suppkey")
+
+
 # --- streaming --------------------------------------------------------------
 
 
