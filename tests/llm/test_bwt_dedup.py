@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from veilscan.llm import bwt_dedup as B
@@ -40,9 +42,29 @@ def run(spark, texts):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in rows}
 
 
-@pytest.mark.parametrize("shard", [4096, 2])
-def test_equals_brute_force_with_whole_buckets_and_shards(spark, monkeypatch, shard):
-    monkeypatch.setattr(B, "SHARD", shard)
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 4096])
+def test_merged_transforms_equal_a_sort(monkeypatch, seed, part):
+    monkeypatch.setattr(B, "PART", part)
+    r = np.random.default_rng(seed)
+    group = np.sort(r.integers(0, 4, 60))
+    right = r.integers(0, 2, (60, 27)).astype(np.uint8)
+    right[:, : r.integers(0, 27)] = 1  # long common prefixes
+    right[30:] = right[r.integers(0, 30, 30)]  # and equal suffixes
+    order, common = B.merged(group, right)
+    rows = [(int(group[i]), right[i].tobytes()) for i in order]
+    assert sorted(order.tolist()) == list(range(60)) and rows == sorted(rows)
+    for k, (g, x) in enumerate(rows):
+        if not k or rows[k - 1][0] != g:
+            assert common[k] == -1
+        else:
+            assert common[k] == len(os.path.commonprefix([rows[k - 1][1], x]))
+
+
+@pytest.mark.parametrize(("shard", "part"), [(65_536, 4096), (65_536, 2), (5, 2), (2, 2)])
+def test_equals_brute_force_with_merged_parts_and_shards(spark, monkeypatch, shard, part):
+    for name, value in (("SHARD", shard), ("PART", part)):
+        monkeypatch.setattr(B, name, value)
     texts = cases()
     assert run(spark, texts) == brute(texts)
 

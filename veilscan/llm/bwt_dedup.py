@@ -7,20 +7,23 @@ equal distances, so windows are equal only if their anchors share the ``length -
 without a partner by the hash of those bytes are dropped, which loses nothing.
 
 For the rest, each anchor's suffix and the bytes before it go to the anchor's bucket, and large buckets to several shards of
-it. Buckets are settled as a Burrows-Wheeler merge settles its input:
+it. Buckets are settled by merging Burrows-Wheeler transforms:
 
-* suffixes start in one interval per bucket, and the interleave of the shard's sources is refined block by block: each round
-  reads the next bytes of the suffixes in intervals that are still shared and splits these; where neighbours part, their
-  common prefix is known. No suffix is compared as a whole, and settled ones are not touched again;
+* each ``PART`` suffixes of a bucket get a transform: their order, the common prefix of neighbours, and the bytes before them;
+* transforms are merged in pairs. The interleave of two starts as one source after the other and is refined by ``WORD`` bytes a
+  round, in those intervals only that hold suffixes of both: each source's common prefixes tell where its next bytes change, so
+  just the first suffix of each run is read, and whole runs are woven. No suffix is sorted again. Where neighbours part, their
+  common prefix is known; an interval of one source keeps what that source knew;
 * then the order is extended to the left as by the last-to-first mapping: the preceding byte (the transform's symbol) of
   every suffix refines the classes of equal left contexts by one byte a round. A window ``t`` bytes to the left of its
   anchor is repeated if another suffix has the same ``t`` symbols and a common prefix of ``length - t`` or more.
 
-Shards of one bucket are merged by digests of their distinct windows. Windows go back to their texts as runs of starts.
+A bucket beyond ``SHARD`` suffixes is dealt to several tasks, so that none holds an unbounded bucket; what their merged
+transforms leave open is settled by digests of their distinct windows. Windows go back to their texts as runs of starts.
 
 Defined results: null text is empty; texts shorter than ``length`` stay whole; matches never cross documents; equal texts
 are kept once as evidence and, from ``length`` bytes on, wholly removed. Other columns are ignored. An empty table gives no
-rows. Texts are known by a 64-bit hash and their length.
+rows. Texts are known by their 128-bit MD5, as two numbers.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, ship, stored, table_of
 
 LENGTH, SPAN, BLOCK = 200, 120, 24
 SEGMENT = 1 << 20
-SHARD = 4096
+SHARD, PART = 65_536, 4096
+WORD = 8
 TOGETHER = 16_384
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -157,44 +161,93 @@ def _matrix(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, s
     return out
 
 
-def interleave(group: np.ndarray, right: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by group and bytes, and each one's common prefix with the one before it (-1 between groups).
-
-    ``right`` has a suffix per row; the first ``skip`` bytes of a group's suffixes may differ only by a chance of hashing.
-    """
+def _words(right: np.ndarray) -> np.ndarray:
+    """The bytes of each row in words that compare as the bytes do."""
     m, width = right.shape
-    padded = np.zeros((m, -(-width // 8) * 8), np.uint8)
+    padded = np.zeros((m, -(-width // WORD) * WORD), np.uint8)
     padded[:, :width] = right
-    blocks = padded.view(">u8").astype(np.uint64)
+    return padded.view(">u8").astype(np.uint64)
+
+
+def _parted(value: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many bytes of two words agree, from the first on."""
+    return ((value ^ other).astype(">u8").view(np.uint8).reshape(-1, WORD) != 0).argmax(axis=1)
+
+
+def transform(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by group and bytes, and each one's common prefix with the one before it (-1 between groups)."""
     order = np.argsort(group, kind="stable")
     head = np.concatenate([[True], group[order][1:] != group[order][:-1]])  # first of an interval
-    common = np.where(head, -1, width)
-    for b in range(blocks.shape[1]):
+    common = np.where(head, -1, words.shape[1] * WORD)
+    for b in range(words.shape[1]):
         interval = np.cumsum(head) - 1
-        shared = np.bincount(interval)[interval] > 1
-        at = np.flatnonzero(shared)
+        at = np.flatnonzero(np.bincount(interval)[interval] > 1)
         if not at.size:
             break
-        value = blocks[order[at], b]
+        value = words[order[at], b]
         local = np.lexsort((value, interval[at]))
         order[at], value = order[at[local]], value[local]
-        inner = ~head[at]  # intervals keep their places
         differs = np.zeros(len(at), bool)
-        differs[1:] = inner[1:] & (value[1:] != value[:-1])
+        differs[1:] = ~head[at[1:]] & (value[1:] != value[:-1])  # intervals keep their places
         k = np.flatnonzero(differs)
-        apart = (value[k] ^ value[k - 1]).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
-        common[at[k]] = 8 * b + apart.argmax(axis=1)
+        common[at[k]] = WORD * b + _parted(value[k], value[k - 1])
         head[at[k]] = True
     return order, common
 
 
+def interleave(pair: np.ndarray, source: np.ndarray, words: np.ndarray, order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the two transforms of each pair: ``order`` has their suffixes one source after the other, ``common`` each source's prefixes."""
+    full = words.shape[1] * WORD
+    order, own = order.copy(), common.copy()
+    head = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])
+    common = np.where(head, -1, full)
+    for b in range(words.shape[1] + 1):
+        interval = np.cumsum(head) - 1
+        second = np.bincount(interval, weights=source[order])[interval]
+        mixed = (second > 0) & (second < np.bincount(interval)[interval])
+        at = np.flatnonzero(mixed)
+        if b == words.shape[1] or not at.size:
+            break
+        # Runs: suffixes of one source and interval whose next word is the same, as the source's own prefixes tell.
+        side, place = source[order[at]], interval[at]
+        first = (own[at] < WORD * (b + 1)) | head[at]
+        first[1:] |= side[1:] != side[:-1]
+        run = np.flatnonzero(first)
+        size = np.diff(np.append(run, len(at)))
+        value, place = words[order[at[run]], b], place[run]
+        woven = np.lexsort((side[run], value, place))
+        size, value, place, run = size[woven], value[woven], place[woven], run[woven]
+        begin = np.cumsum(size) - size
+        moved = np.arange(len(at)) + np.repeat(run - begin, size)
+        order[at], own[at] = order[at[moved]], own[at[moved]]
+        k = np.flatnonzero((place[1:] == place[:-1]) & (value[1:] != value[:-1])) + 1
+        common[at[begin[k]]] = WORD * b + _parted(value[k], value[k - 1])
+        head[at[begin[k]]] = True
+    return order, np.where(head | mixed, common, own)
+
+
+def merged(group: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order and common prefixes of each group's suffixes, from transforms of ``PART`` suffixes merged in pairs."""
+    words = _words(right)
+    by_group = np.argsort(group, kind="stable")
+    new = np.concatenate([[True], group[by_group][1:] != group[by_group][:-1]])
+    part = np.empty(len(group), np.int64)
+    part[by_group] = (np.arange(len(group)) - np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))) // PART
+    wide = int(part.max()) + 1
+    order, common = transform(group * wide + part, words)
+    while part.any():
+        source, part = part & 1, part >> 1
+        order, common = interleave(group * wide + part, source, words, order, common)
+    return order, np.minimum(common, right.shape[1])
+
+
 def repeated(group: np.ndarray, left: np.ndarray, n_left: np.ndarray, right: np.ndarray, n_right: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Per suffix and distance ``t``: whether its window is there, and whether another suffix of the group has it too.
 
     ``left`` has the bytes before the anchor, nearest first.
     """
     m = len(group)
-    order, common = interleave(group, right, length - SPAN + 1)
+    order, common = merged(group, right)
     group, left, n_left, n_right = group[order], left[order], n_left[order], n_right[order]
     twice = np.zeros((m, SPAN), bool)
     symbols = np.unique(group, return_inverse=True)[1].astype(np.int64)
@@ -311,13 +364,18 @@ def _cut(length: int, with_text: bool):
     return run
 
 
+def _half(start: int) -> Column:
+    """Half of the text's MD5 as a signed number."""
+    return F.conv(F.substring(F.md5("text"), start, 16), 16, -10).cast("long")
+
+
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
     """Per document: bytes, bytes and runs removed, digest of the rest, the runs, and the rest itself unless ``with_text`` is off."""
     if length < SPAN + BLOCK:
         raise ValueError(f"length must be at least {SPAN + BLOCK}")
     ship(docs.sparkSession)
     table = as_bytes(docs).withColumn("text", F.coalesce("text", F.lit(b"")))
-    table = table.select("doc_id", "text", F.xxhash64("text").alias("tid"), F.octet_length("text").cast("long").alias("n"))
+    table = table.select("doc_id", "text", _half(1).alias("tid"), _half(17).alias("n"))
     places = stored(table.select("tid", "n", "text").mapInArrow(_places(length), PLACES_DDL), "places")
     keys = places.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keys = keys.select("key", F.ceil(F.col("size") / SHARD).alias("shards"))
