@@ -44,7 +44,8 @@ def test_equals_brute_force_in_one_block_and_in_many(spark):
     items, texts = cases(spark)
     want = {i: brute(t, items) for i, t in enumerate(texts)}
     assert run(spark, items, texts) == want
-    assert run(spark, items, texts, block_bytes=100) == want
+    assert run(spark, items, texts, block_bytes=100) == want  # more blocks than are held at once
+    assert run(spark, items, texts, block_bytes=300) == want
 
 
 def test_repeated_rows_and_empty_tables(spark):

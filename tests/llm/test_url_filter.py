@@ -1,3 +1,4 @@
+import random
 import re
 
 from veilscan.llm.queries import URL_RULES
@@ -15,11 +16,12 @@ def brute(url, rules, default="allow"):
     host = re.match(r"[^/?#]*", rest).group()
     path = re.match(r"[^?#]*", rest[len(host) :], re.S).group()
     host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
-    best = None
+    best, least = None, None
     for rule, action in rules:
         h, _, p = rule.partition("/")
-        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
-            best = (rule, action)
+        rank = (-len(rule), action != "block", rule)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or rank < least):
+            best, least = (rule, action), rank
     return host, path, best and best[0], best[1] if best else default
 
 
@@ -43,6 +45,17 @@ def test_rules_of_many_shapes(spark):
     assert run(spark, rows, rules) == want
 
 
+def test_rules_of_random_hosts_and_folders(spark):
+    r = random.Random(3)
+
+    def address():
+        return ".".join(r.choice("ab") for _ in range(r.randint(1, 4))) + "/" + "".join(r.choice("ab//") for _ in range(r.randint(0, 7)))
+
+    rules = {address(): r.choice(["allow", "block"]) for _ in range(60)}
+    rows = [(i, "http://" + address(), "h", "r", 1) for i in range(300)]
+    assert run(spark, rows, list(rules.items())) == sorted(((i, *brute(u, list(rules.items()))) for i, u, *_ in rows), key=str)
+
+
 def test_ties_and_empty_tables(spark):
     assert run(spark, [(1, "http://d.net/", "", "", 1)], [("d.net/", "allow"), ("d.net/", "block")])[0][4] == "block"
     pages = spark.createDataFrame([(1, "http://d.net/")], "page_id long, url string")

@@ -11,7 +11,8 @@ words is a byte string that occurs exactly where its words do. Per class of wind
 Many stretches ("lanes") of a buffer of texts are searched at once, each jumping by its own shifts.
 
 Benchmark words are taken in blocks of bounded size (``block_bytes``); each block is broadcast and searched in a pass
-over the documents, and passes are merged, so no benchmark is too large for an executor.
+over the documents, and passes are merged. No more than ``AT_ONCE`` blocks are on the driver and in a task at once, so no
+benchmark is too large for either; a large one takes more passes.
 
 Defined results: null or empty text has no words and no hits; null item texts have no windows; a null item id counts as
 the item ``null``; repeated items with one id count once; repeated documents give one row each; other columns of either
@@ -20,6 +21,7 @@ table are ignored; an empty benchmark leaves all documents clean.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -36,6 +38,8 @@ FORM = bytes(
 )
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LANE = 1024
+#: Blocks of item words that the driver and a task hold at once.
+AT_ONCE = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -200,8 +204,11 @@ def _keep(name: str, block, size: int, text: str):
     return run
 
 
-def _item_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[tuple[str, object]]:
-    """The item words in named broadcasts of about ``block_bytes`` each; one empty block if there are none."""
+def _item_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[list[tuple[str, object]]]:
+    """The item words in named broadcasts of about ``block_bytes`` each, ``AT_ONCE`` at a time; one empty block if there are none.
+
+    The driver fetches a block when its turn comes. Broadcasts of one list are gone when the next list is asked for.
+    """
     spark = benchmark.sparkSession
     ship(spark)
     items = benchmark.select(
@@ -211,28 +218,51 @@ def _item_blocks(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[
     total = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     numbered = segments.withColumn("block", F.pmod(F.xxhash64("item", "part", "words"), F.lit(n_blocks)))
-    for b in range(n_blocks):
-        rows = numbered.where(F.col("block") == b).select("item", "words").collect()
-        yield uuid.uuid4().hex, spark.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in rows])
+    if n_blocks > AT_ONCE:
+        numbered = stored(numbered.repartitionByRange("block"), "blocks")
+    for start in range(0, n_blocks, AT_ONCE):
+        some = []
+        for b in range(start, min(start + AT_ONCE, n_blocks)):
+            rows = numbered.where(F.col("block") == b).select("item", "words").collect()
+            some.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in rows])))
+        yield some
+        if start + AT_ONCE < n_blocks:
+            for _, block in some:
+                block.destroy()
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
-    """``doc_id, n_words, hit_words, items`` per document: words inside occurrences of item windows of ``size`` words."""
-    blocks = list(_item_blocks(benchmark, size, block_bytes))
+    """``doc_id, n_words, hit_words, items`` per document: words inside occurrences of item windows of ``size`` words.
+
+    A benchmark of more than ``AT_ONCE`` blocks is searched in several jobs, each written down before the next blocks come.
+    """
     table = as_bytes(docs)
-    table = table.withColumn("digest", F.unhex(F.md5("text")) if len(blocks) > 1 else F.lit(None).cast("binary"))
-    passes = [table.mapInArrow(_search(name, block, size), FOUND_DDL) for name, block in blocks]
-    if len(passes) == 1:
-        return passes[0].drop("digest")
-    merged = passes[0]
-    for more in passes[1:]:
-        merged = merged.unionByName(more)
+    blocks = _item_blocks(benchmark, size, block_bytes)
+    passes, last = [], next(blocks)
+    table = table.withColumn("digest", F.unhex(F.md5("text")) if len(last) > 1 else F.lit(None).cast("binary"))
+
+    def search(some: list[tuple[str, object]]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [table.mapInArrow(_search(name, block, size), FOUND_DDL) for name, block in some])
+
+    n_blocks = len(last)
+    while len(last) == AT_ONCE:
+        found = search(last)
+        # Asking for the next blocks ends these, so their result is written first.
+        written = stored(found, "hits")
+        passes.append(written)
+        last = next(blocks, [])
+        n_blocks += len(last)
+    if last:
+        passes.append(search(last))
+    merged = functools.reduce(DataFrame.unionByName, passes)
+    if n_blocks == 1:
+        return merged.drop("digest")
     # Rows of one id and text have one result; their number comes back at the end.
     merged = merged.groupBy("doc_id", "digest").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / F.lit(len(passes))).cast("int").alias("copies"),
+        (F.count("*") / F.lit(n_blocks)).cast("int").alias("copies"),
     )
     return merged.select("doc_id", "n_words", "hit_words", "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
@@ -249,8 +279,12 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 2 << 20) -> DataFrame:
     """The rows of ``docs`` without any occurrence of an item window, all columns unchanged."""
-    for k, (name, block) in enumerate(_item_blocks(benchmark, size, block_bytes)):
-        if k and k % 4 == 0:  # at most four passes, each with a worker of its own, in one task
+    blocks = _item_blocks(benchmark, size, block_bytes)
+    some = next(blocks)
+    while some:
+        for name, block in some:
+            docs = docs.mapInArrow(_keep(name, block, size, "text"), docs.schema)
+        if len(some) == AT_ONCE:  # written before the next blocks come
             docs = stored(docs, "clean")
-        docs = docs.mapInArrow(_keep(name, block, size, "text"), docs.schema)
+        some = next(blocks, None) if len(some) == AT_ONCE else None
     return docs

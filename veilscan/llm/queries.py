@@ -47,7 +47,8 @@ def op2_weak_quality(spark, folder):
 
 @query
 def op3_url_filter(spark, folder):
-    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    values = ", ".join(f"('{rule}', '{action}')" for rule, action in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules (rule, action)")
     return url_verdicts(read(spark, folder, "pages"), rules)
 
 
