@@ -150,3 +150,11 @@ def test_vectors_and_prototypes_that_are_missing(spark):
     got = {x.id: (x.category, x.similarity, x.accepted) for x in M.nearest_prototype(vectors, protos).collect()}
     assert got == {0: (None, -1.0, False), 1: (None, -1.0, False), 2: ("a", 1.0, True)}
     assert {x.category for x in M.nearest_prototype(vectors, protos.limit(0)).collect()} == {None}
+
+
+def test_white_space_at_the_ends_does_not_make_a_text_long_enough(spark):
+    body = "社外秘" + "x" * 36
+    texts = [body, body + "y", body + " ", "\u3000" + body, "\n " + body + "\ufeff\t", " " + body + "y ", "", " ", None]
+    df = X.with_hint(X.with_signals(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text"), "text")
+    got = {r["id"]: r["hint"]["offer"] for r in df.collect()}
+    assert got == {0: False, 1: True, 2: False, 3: False, 4: False, 5: True, 6: False, 7: False, 8: False}
