@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilscan import select_rules
 from veilscan.operators import bundles as B
 from veilscan.operators.scan import resolve_column
+from veilscan.plans.queries import QUERIES
 from veilscan.streaming.messages import start_versioned_scan
 from veilscan.streaming.rules import newest_version, publish_rules, rules_of_version
 
@@ -76,3 +77,14 @@ def test_new_version_takes_effect_and_a_replayed_batch_keeps_its_own(spark, tmp_
     assert newest_version(spark, rules) == 3 and [r.id for r in rules_of_version(spark, rules, 2)] == ["date"]
     with pytest.raises(Exception, match="(?i)exist"):
         publish_rules(spark, rules, 3, [])
+
+
+def test_stream_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
+    turns = spark.createDataFrame([(i, 0, "user", f"a{i}@b.co") for i in range(6)], "conv_id long, turn long, role string, text string")
+    turns.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    turns.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "written").glob("*.parquet")), tmp_path / "one" / "conversations.parquet")
+    for folder in ("one", "many"):
+        got = QUERIES["stream_scan"](spark, str(tmp_path / folder)).collect()
+        assert sorted((r["conv_id"], r["n_findings"]) for r in got) == [(i, 1) for i in range(6)]
