@@ -9,7 +9,7 @@ from ..functions.fixed import RULE_IDS
 from ..functions.lets import fixed
 from ..sources.readers import parse_signed_bundles, read_table
 from ..sources.schemas import FIXTURE_SCHEMA
-from .corpus import memos, spread
+from .corpus import dealt, memos, spread
 
 # Plain SQL that builds the same value in any engine.
 FILE_NAME_SQL = """source || '/' || CASE doc_id % 9
@@ -61,7 +61,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def spans_of_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Twelve spans per order with all kinds of overlap, some of them not valid."""
-    orders = spread(read_table(spark, folder, "orders"))
+    orders = dealt(read_table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
     levels = F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")])
     ids = F.array(*[F.lit(x) for x in RULE_IDS])
 
@@ -115,7 +115,7 @@ def installs(spark: SparkSession, folder: str) -> DataFrame:
 
 def bundles(spark: SparkSession, folder: str) -> DataFrame:
     """A signed bundle per part, written as JSON text and parsed back by the bundle source."""
-    part = read_table(spark, folder, "part")
+    part = dealt(read_table(spark, folder, "part").select("p_partkey", "p_name", "p_size", "p_brand"))
     key, size = F.col("p_partkey"), F.col("p_size")
 
     def rule(i: int):
