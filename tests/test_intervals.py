@@ -2,6 +2,7 @@
 
 import random
 
+from veilscan.operators import intervals
 from veilscan.operators.intervals import interval_join, resolve_span_rows
 
 from .plain import RANKS, greedy
@@ -41,3 +42,23 @@ def test_one_crowded_text_and_no_rows(spark):
     df = spark.range(20_000).selectExpr("'k' AS key", "CAST(id % 50 AS int) AS start", "CAST(id % 50 + 60 + id % 7 AS int) AS end", "'p' AS rule_id", "'low' AS risk_level", "CAST(id AS string) AS span_id")
     assert resolve_span_rows(df, ["key"]).count() == 1
     assert resolve_span_rows(df.limit(0), ["key"]).count() == 0
+
+
+def test_texts_of_few_spans_need_no_rounds(spark, monkeypatch):
+    ddl = "key string, start int, end int, rule_id string, risk_level string, span_id string"
+    df = spark.createDataFrame(rows_of(3, 90, 40, 12), ddl)
+    written, write = [], intervals.stored
+    monkeypatch.setattr(intervals, "stored", lambda df, name: written.append(name) or write(df, name))
+    few = sorted(map(tuple, resolve_span_rows(df, ["key"]).collect()), key=str)
+    assert "marked-spans" not in written
+    for limit in (0, 25):  # none, or only some of the texts, are settled in one step
+        assert sorted(map(tuple, resolve_span_rows(df, ["key"], few=limit).collect()), key=str) == few
+    assert "marked-spans" in written
+
+
+def test_rows_of_one_span_id_stay_or_go_together(spark):
+    rows = [("x", 0, 5, "p", "high", "a"), ("x", 3, 9, "p", "low", "b"), ("y", 1, 4, "q", "low", "c"), ("y", 2, 6, "q", "high", None)]
+    ddl = "key string, start int, end int, rule_id string, risk_level string, span_id string"
+    twice = [rows[0], rows[0], rows[1], rows[1], rows[2]]
+    assert sorted(r["span_id"] for r in resolve_span_rows(spark.createDataFrame(twice, ddl), ["key"]).collect()) == ["a", "a", "c"]
+    assert sorted(r["start"] for r in resolve_span_rows(spark.createDataFrame(rows, ddl), ["key"]).collect()) == [0, 2]

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
+from ..functions.lets import fixed
 from ..functions.spans import risk_rank
 from ..session import stored
 
 WIDTH = 32
+#: Spans of one text that are settled within one row.
+FEW = 256
 
 
 def in_buckets(spans: DataFrame, width: int, start: str = "start", end: str = "end") -> DataFrame:
@@ -57,18 +61,18 @@ def strength() -> Column:
     )
 
 
-def resolve_span_rows(spans: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
-    """The strongest of overlapping spans, as :func:`functions.spans.resolve_overlaps` keeps them, for spans that come as rows.
+def _settled(ranked: Column, array_type: DataType) -> Column:
+    """Of the spans of one text, the strongest first, those that overlap none taken before."""
+    return F.aggregate(
+        ranked,
+        F.array().cast(array_type),
+        lambda taken, s: F.when(F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])), taken).otherwise(
+            F.concat(taken, F.array(s))
+        ),
+    )
 
-    ``spans`` has ``keys``, ``start``, ``end``, ``rule_id``, ``risk_level`` and ``span_id``, unique in the table, which also orders
-    what is equal otherwise. In each round the strongest open span of every bucket is found by an aggregate; one that leads all its
-    buckets is kept, and what overlaps it goes by an interval join. Kept spans do not overlap, so a bucket row meets few of a
-    round. Buckets get narrower by half each round, down to single characters, where a span waits only for stronger ones that truly
-    overlap it. No text is in one task: its buckets are spread. Rounds end when nothing is open; each is written to the work folder.
-    """
-    spark = spans.sparkSession
-    columns = [*keys, "start", "end", "rule_id", "risk_level", "span_id"]
-    left = stored(spans.where("start >= 0 AND end > start").select(*columns), "open-spans")
+
+def _in_rounds(left: DataFrame, keys: list[str], columns: list[str], width: int) -> DataFrame:
     kept = left.limit(0)
     while not left.isEmpty():
         placed = in_buckets(left, width).withColumn("_rank", strength())
@@ -83,3 +87,31 @@ def resolve_span_rows(spans: DataFrame, keys: list[str], width: int = WIDTH) ->
         kept = kept.unionByName(new)
         width = max(1, width // 2)
     return kept
+
+
+def resolve_span_rows(spans: DataFrame, keys: list[str], width: int = WIDTH, few: int = FEW) -> DataFrame:
+    """The strongest of overlapping spans, as :func:`functions.spans.resolve_overlaps` keeps them, for spans that come as rows.
+
+    ``spans`` has ``keys``, ``start``, ``end``, ``rule_id``, ``risk_level`` and ``span_id``, unique in the table, which also orders
+    what is equal otherwise. The spans of a text with at most ``few`` of them are gathered and settled in one step. Texts with more
+    go through rounds: in each, the strongest open span of every bucket is found by an aggregate; one that leads all its buckets is
+    kept, and what overlaps it goes by an interval join. Kept spans do not overlap, so a bucket row meets few of a round. Buckets
+    get narrower by half each round, down to single characters, where a span waits only for stronger ones that truly overlap it. No
+    such text is in one task: its buckets are spread. Rounds end when nothing is open; each is written to the work folder. A text
+    that holds a ``span_id`` twice takes the rounds too, where rows of one id stay or go together.
+    """
+    columns = [*keys, "start", "end", "rule_id", "risk_level", "span_id"]
+    valid = stored(spans.where("start >= 0 AND end > start").select(*columns), "open-spans")
+    crowded = stored(valid.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > few), "crowded-texts")
+    crowded = crowded.select(*[F.col(key).alias(f"_{i}") for i, key in enumerate(keys)])
+    own = F.lit(True)
+    for i, key in enumerate(keys):
+        own = own & valid[key].eqNullSafe(crowded[f"_{i}"])
+    ranked = F.struct(*[strength()[c].alias(c) for c in ("risk", "length", "start", "rule_id", "span_id")], "end", "risk_level")
+    texts = valid.join(crowded, own, "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list(ranked)).alias("_spans"))
+    twice = F.size("_spans") > F.size(F.array_distinct(F.transform("_spans", lambda s: s["span_id"])))
+    settled = F.when(twice, F.col("_spans")).otherwise(_settled(F.col("_spans"), texts.schema["_spans"].dataType))
+    texts = texts.select(*keys, twice.alias("_twice"), fixed(settled).alias("_spans"))
+    rows = stored(texts.select(*keys, "_twice", F.explode("_spans").alias("_s")).select("_twice", *keys, *[f"_s.{c}" for c in columns[len(keys) :]]), "settled-spans")
+    left = stored(valid.join(crowded, own, "left_semi").unionByName(rows.where("_twice").drop("_twice")), "open-spans")
+    return rows.where("NOT _twice").drop("_twice").unionByName(_in_rounds(left, keys, columns, width))
