@@ -47,6 +47,41 @@ def test_terms_are_found_in_one_pass_and_all_of_them(spark):
         assert got == [(start, end, reason, -order, "term") for order, start, _, _, end, reason in sorted(want)], r["text"]
 
 
+def plain_windows(text, signals, budget, size):
+    def tidy(w):
+        return re.sub("\n{3,}", "\n\n", re.sub("[\\s　]+\n", "\n", w)).strip(" \t\n　")
+
+    pad, islands = max(C.MIN_WINDOW_PADDING, size // 2), []
+    spans = sorted((max(0, s - pad), -score, i, min(len(text), e + pad), reason) for i, (s, e, reason, score) in enumerate(signals))
+    for start, order, _, end, reason in spans:
+        if islands and start <= islands[-1][2]:
+            last = islands[-1]
+            islands[-1] = (min(order, last[0]), last[1], max(end, last[2]), reason if order < last[0] else last[3])
+        else:
+            islands.append((order, start, end, reason))
+    out, used = [], 0
+    for _, start, end, reason in sorted(islands):
+        window = tidy(text[start : start + min(end - start, budget - used)]) if used < budget else ""
+        if window and window not in [w for w, _ in out]:
+            out, used = out + [(window, reason)], used + len(window)
+    head = tidy(text[: min(budget, size)])
+    return out or ([(head, "near_business_context")] if head else [])
+
+
+def test_windows_of_one_island_and_of_many(spark):
+    pick, rows = random.Random(3), []
+    for n in (0, 1, 1, 2, 2, 3, 5, 8, 70, 140):
+        for length in (0, 30, 300, 4000):
+            text = "".join(pick.choice("ab \n\n　あ漢") for _ in range(length))
+            starts = [pick.randint(0, max(0, length - 1)) for _ in range(n if length else 0)]
+            rows.append((text, [(s, min(length, s + pick.randint(1, 9)), f"r{s % 4}", s % 3) for s in starts]))
+    df = spark.createDataFrame(rows, "text string, signals array<struct<start:int,end:int,reason:string,score:int>>")
+    for budget, size in [(1200, 360), (220, 120), (5, 3)]:
+        for r in X.with_windows(df, "text", max_input_chars=budget, window_chars=size).collect():
+            want = plain_windows(r["text"], [tuple(s) for s in r["signals"]], budget, size)
+            assert [tuple(w) for w in r["windows"]] == want, (r["text"], budget)
+
+
 def test_no_guard_stops_a_hit(spark):
     words = "0 1 12 2026 4111 1111 - / . , 月 日 年 4111111111111111 a Z abcdefgh12345678 x 0000000000000 090 - 1234 5678 user@a.bc 10.0.0.7 ab.cdefghijkl. 番号".split(" ") + [" ", "\n"]
     pick = random.Random(5)
